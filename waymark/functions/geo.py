@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 EARTH_M = 6_371_008.8
 #: A rule takes the distance it measures by as an argument.
@@ -51,7 +52,7 @@ def ellipsoid_m(lat1, lon1, lat2, lon2) -> np.ndarray:
     return np.where(sin_s == 0, 0.0, b * big * (sigma - bend)).astype(np.float32)
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(FloatType())
 def geo_distance_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """The ellipsoid's distance for queries; null where a coordinate is."""
     out = pd.Series(ellipsoid_m(lat1.fillna(0), lon1.fillna(0), lat2.fillna(0), lon2.fillna(0)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.config import DAY_MS, Stays
 from waymark.functions.geo import Distance, haversine_m
-from waymark.operators.tracks import BY_START
+from waymark.operators.tracks import by_start
 
 
 def between_tracks(ends: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def between_tracks(ends: DataFrame) -> DataFrame:
     ends: device_id, track_id, started_at, ended_at, start_lat, start_lon, end_lat,
     end_lon, and optionally start_pin, end_pin, start_cluster, end_cluster.
     """
-    nxt = lambda c, name: F.lead(c).over(BY_START).alias(name)
+    nxt = lambda c, name: F.lead(c).over(by_start()).alias(name)
     more = [c for c in ("pin", "cluster") if f"end_{c}" in ends.columns]
     cols = [F.col(f"end_{c}").alias(f"from_{c}") for c in more] + [nxt(f"start_{c}", f"to_{c}") for c in more]
     pairs = ends.select("device_id", F.col("track_id").alias("after_track_id"), nxt("track_id", "next_id"), F.col("ended_at").alias("start"), nxt("started_at", "end"), F.col("end_lat").alias("from_lat"), F.col("end_lon").alias("from_lon"), nxt("start_lat", "to_lat"), nxt("start_lon", "to_lon"), *cols)

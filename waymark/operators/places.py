@@ -111,8 +111,9 @@ def greedy_clusters(ends: DataFrame, pins: DataFrame, rule: Stays = Stays()) ->
         return out
 
     e = ends.where("lat is not null and lon is not null").select("device_id", "track_id", "started_at", "is_start", "lat", "lon")
-    s = pins.select("device_id", "seed_index", "lat", "lon", "radius_m").join(e.select("device_id").distinct(), "device_id", "left_semi")
-    return e.groupBy("device_id").cogroup(s.groupBy("device_id")).applyInPandas(lead, CLUSTERED)
+    used = e.select(F.col("device_id").alias("device")).distinct()
+    s = pins.select(F.col("device_id").alias("device"), "seed_index", "lat", "lon", "radius_m").join(used, "device", "left_semi")
+    return e.groupBy("device_id").cogroup(s.groupBy("device")).applyInPandas(lead, CLUSTERED)
 
 
 def centroids(members: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Points come in order of (ts_ms, seq) within (device_id, track_id).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.config import Quality
@@ -14,7 +14,10 @@ from waymark.schemas import ceiling_kmh
 
 TRACK = ("device_id", "track_id")
 ORDER = ("ts_ms", "seq")
-IN_ORDER = Window.partitionBy(*TRACK).orderBy(*ORDER)
+
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy(*TRACK).orderBy(*ORDER)
 
 
 def good(points: DataFrame) -> DataFrame:
@@ -23,15 +26,15 @@ def good(points: DataFrame) -> DataFrame:
 
 def with_seams(points: DataFrame, distance: Distance = haversine_m) -> DataFrame:
     """Adds seam_m, the metres from the previous row (0 for the first), and dt_ms, the time since."""
-    d = distance(F.lag("lat").over(IN_ORDER), F.lag("lon").over(IN_ORDER), F.col("lat"), F.col("lon"))
-    return points.withColumn("seam_m", F.coalesce(d, F.lit(0.0))).withColumn("dt_ms", F.col("ts_ms") - F.lag("ts_ms").over(IN_ORDER))
+    d = distance(F.lag("lat").over(in_order()), F.lag("lon").over(in_order()), F.col("lat"), F.col("lon"))
+    return points.withColumn("seam_m", F.coalesce(d, F.lit(0.0))).withColumn("dt_ms", F.col("ts_ms") - F.lag("ts_ms").over(in_order()))
 
 
 def with_speeds(points: DataFrame) -> DataFrame:
     """Adds speed_kmh: as reported, else that of the seam, else the last one known, 0 for the first."""
     p = points if "seam_m" in points.columns else with_seams(points)
     own = F.when(F.col("speed") >= 0, F.col("speed") * 3.6).when(F.col("dt_ms") > 0, F.col("seam_m") / (F.col("dt_ms") / F.lit(1000.0)) * 3.6)
-    return p.withColumn("speed_kmh", F.coalesce(F.last(own, True).over(IN_ORDER), F.lit(0.0)))
+    return p.withColumn("speed_kmh", F.coalesce(F.last(own, True).over(in_order()), F.lit(0.0)))
 
 
 def carried_breaks(points: DataFrame) -> DataFrame:
@@ -45,16 +48,16 @@ def carried_breaks(points: DataFrame) -> DataFrame:
 
 def stretches(points: DataFrame) -> DataFrame:
     """Adds stretch to points with break: a new number at each break but the first row's."""
-    p = points.withColumn("_n", F.row_number().over(IN_ORDER))
+    p = points.withColumn("_n", F.row_number().over(in_order()))
     cut = F.when(F.col("break") & (F.col("_n") > 1), 1).otherwise(0)
-    return p.withColumn("stretch", F.sum(cut).over(IN_ORDER)).drop("_n")
+    return p.withColumn("stretch", F.sum(cut).over(in_order())).drop("_n")
 
 
 def smoothed(points: DataFrame, value: str, half_ms: int = 7_500) -> DataFrame:
     """Adds smooth: the mean of values within half_ms before and after, in runs without breaks or nulls."""
     is_null = F.col(value).isNull()
-    start = F.coalesce(is_null != F.lag(is_null).over(IN_ORDER), F.lit(True)) | F.col("segment_start")
-    p = points.withColumn("_run", F.sum(start.cast("int")).over(IN_ORDER))
+    start = F.coalesce(is_null != F.lag(is_null).over(in_order()), F.lit(True)) | F.col("segment_start")
+    p = points.withColumn("_run", F.sum(start.cast("int")).over(in_order()))
     near = Window.partitionBy(*TRACK, "_run").orderBy("ts_ms").rangeBetween(-half_ms, half_ms)
     return p.withColumn("smooth", F.avg(value).over(near)).drop("_run")
 
@@ -71,10 +74,10 @@ def color_runs(points: DataFrame) -> DataFrame:
     A run starts at a break, or on the last point before its colour starts; it has
     two points at least.
     """
-    p = points.withColumn("n", F.row_number().over(IN_ORDER)).withColumn("was", F.lag("band").over(IN_ORDER))
+    p = points.withColumn("n", F.row_number().over(in_order())).withColumn("was", F.lag("band").over(in_order()))
     cut = F.col("break") | (F.col("n") == 1)
     new = cut | ~F.col("band").eqNullSafe(F.col("was"))
-    p = p.withColumn("_cut", cut).withColumn("run", F.sum(new.cast("int")).over(IN_ORDER))
+    p = p.withColumn("_cut", cut).withColumn("run", F.sum(new.cast("int")).over(in_order()))
     runs = p.groupBy(*TRACK, "run").agg(F.min("n").alias("a"), F.max("n").alias("last_row"), F.first("band").alias("band"), F.bool_or("_cut").alias("_cut"))
     runs = runs.withColumn("first_row", F.when(F.col("_cut"), F.col("a")).otherwise(F.col("a") - 1))
     return runs.where("last_row > first_row and band is not null").select(*TRACK, "band", "first_row", "last_row")
@@ -82,7 +85,7 @@ def color_runs(points: DataFrame) -> DataFrame:
 
 def leading_stray(points: DataFrame, rule: Quality = Quality()) -> DataFrame:
     """Tracks with stray: the first fix is off if its seam is fast, and much longer than the next ones."""
-    p = with_seams(points).withColumn("n", F.row_number().over(IN_ORDER)).where("n <= 5")
+    p = with_seams(points).withColumn("n", F.row_number().over(in_order())).where("n <= 5")
     kmh = F.when(F.col("dt_ms") > 0, F.col("seam_m") / (F.col("dt_ms") / F.lit(1000.0)) * 3.6)
     at = lambda k: F.max(F.when(F.col("n") == k, kmh))
     later = F.max(F.when(F.col("n") > 2, kmh))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.config import Keep, Stays
 from waymark.functions.geo import Distance, haversine_m
 from waymark.operators.points import ORDER, TRACK, good, with_seams
 
-BY_START = Window.partitionBy("device_id").orderBy("started_at", "track_id")
+
+def by_start() -> WindowSpec:
+    return Window.partitionBy("device_id").orderBy("started_at", "track_id")
 
 
 def stats(points: DataFrame, distance: Distance = haversine_m) -> DataFrame:
@@ -54,7 +56,7 @@ def verdict(rows: DataFrame, rule: Keep = Keep()) -> Column:
 
 def neighbours(tracks: DataFrame) -> DataFrame:
     """The kept tracks before and after each one."""
-    return tracks.select(*TRACK, F.lag("track_id").over(BY_START).alias("before"), F.lead("track_id").over(BY_START).alias("after"))
+    return tracks.select(*TRACK, F.lag("track_id").over(by_start()).alias("before"), F.lead("track_id").over(by_start()).alias("after"))
 
 
 def spanning(candidates: DataFrame, points: DataFrame) -> DataFrame:
@@ -83,7 +85,7 @@ def overlapping(candidates: DataFrame, points: DataFrame, bucket_ms: int = 3_600
 
 def merge_plans(tracks: DataFrame, rule: Stays = Stays()) -> DataFrame:
     """Neighbouring tracks that can be one: a short closed interval between, same activity and source."""
-    nxt = lambda c: F.lead(c).over(BY_START)
+    nxt = lambda c: F.lead(c).over(by_start())
     t = tracks.select(*TRACK, "activity", "source", "ended_at", nxt("track_id").alias("next_id"), nxt("started_at").alias("next_start"), nxt("activity").alias("next_activity"), nxt("source").alias("next_source"))
     gap = F.col("next_start") - F.col("ended_at")
     ok = gap.between(0, rule.merge_ms) & (F.col("activity") == F.col("next_activity")) & F.col("source").eqNullSafe(F.col("next_source"))
