@@ -27,6 +27,13 @@ def flat_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.greatest(F.abs(lat2 - lat1), F.abs(lon2 - lon1)) * F.lit(100_000.0)
 
 
+def sphere_m(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Metres on a sphere; arrays of degrees."""
+    a1, o1, a2, o2 = (np.radians(np.asarray(x, np.float64)) for x in (lat1, lon1, lat2, lon2))
+    a = np.sin((a2 - a1) / 2) ** 2 + np.cos(a1) * np.cos(a2) * np.sin((o2 - o1) / 2) ** 2
+    return 2 * EARTH_M * np.arcsin(np.sqrt(a))
+
+
 def ellipsoid_m(lat1, lon1, lat2, lon2) -> np.ndarray:
     """Metres on the WGS84 ellipsoid by Vincenty's inverse formula, as float32; arrays of degrees."""
     a, f = 6_378_137.0, 1 / 298.257223563

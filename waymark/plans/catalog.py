@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
-from waymark.operators import intervals, journeys, places, points, totals, tracks
+from waymark.config import Dwell, Edge
+from waymark.operators import cities, dwells, intervals, journeys, motion, places, points, suggest, totals, tracks
 from waymark.plans.ctes import BY_FIX, BY_START, DAY, TRACK, haversine, sql
 from waymark.plans.history import NOW_MS, History
+from waymark.sources import gpx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -503,3 +505,126 @@ def journey_names(h: History) -> DataFrame:
     t = journeys.time_by_place(h.windows, h.pin_stays.select("device_id", F.col("label").alias("place"), "start", "end"))
     n = journeys.names(t.select("device_id", "first_night", F.col("place").alias("name"), "ms"))
     return n.withColumn("title", text.title(F.col("names")))
+
+
+# --- motion, stops at the edges, lines
+
+WALK = f"(select *, len(w) as n, len(w) // 2 as half from (select *, list(struct_pack(t := ts_ms, y := lat, x := lon)) over (partition by {TRACK} order by ts_ms range between 400000 preceding and current row) as w from pts where not ignored))"
+MEAN = {f"{side}_{c}": f"list_avg(list_transform({part}, lambda e: e.{c}))" for side, part in (("a", "w[1:half]"), ("b", "w[half + 1:n]")) for c in "tyx"}
+MOTION = f"""(select *, case when moved is null then 'UNKNOWN' when moved >= 40 then case when s > 0 then 'MOVING' else 'UNKNOWN' end when near then 'STOPPED' else 'UNKNOWN' end as motion from (
+    select *, case when n >= 4 and w[n].t - w[1].t >= 200000 then {haversine("a_y", "a_x", "b_y", "b_x")} end as moved, (floor(b_t) - floor(a_t)) / 1000e0 as s,
+      list_bool_and(list_transform(w, lambda e: {haversine("w[1].y", "w[1].x", "e.y", "e.x")} <= 15)) as near
+    from (select *, {", ".join(f"{v} as {k}" for k, v in MEAN.items())} from {WALK})))"""
+
+
+@query(f"select {TRACK}, seq::bigint as seq, motion, round(case when motion = 'MOVING' then moved / s end, 6) as motion_mps from {MOTION}")
+def movement_verdict(h: History) -> DataFrame:
+    m = motion.verdicts(points.good(h.points), span_ms=200_000)
+    return m.select(*KEY, long("seq"), "motion", F.round("motion_mps", 6).alias("motion_mps"))
+
+
+def carried(which: str) -> str:
+    return f"sum(case when {which} and lag_{which} then least(dt, 35000) else 0 end)"
+
+
+@query(
+    f"""select {TRACK}, still_ms, moving_ms, still_ms >= 60000 or moving_ms >= 120000 as proven from (select {TRACK}, {carried("still")}::bigint as still_ms, {carried("fast")}::bigint as moving_ms
+    from (select *, lag(still) over w as lag_still, lag(fast) over w as lag_fast, ts_ms - lag(ts_ms) over w as dt from (select *, motion = 'MOVING' and track_id % 4 = 0 as still, coalesce(motion = 'MOVING' and moved / s > 1.5e0, false) as fast from {MOTION})
+      window w as ({BY_FIX})) group by all)"""
+)
+def carrier_evidence(h: History) -> DataFrame:
+    m = motion.verdicts(points.good(h.points), span_ms=200_000).withColumn("still_parked", F.col("track_id") % 4 == 0)
+    return motion.carrier_evidence(m, F.lit(1.5))
+
+
+@query()
+def arrivals(h: History) -> DataFrame:
+    """Standstills of four minutes or more, with fixes of a minute apart taken as near within 60 m."""
+    from waymark.config import Live
+
+    return motion.arrivals(motion.verdicts(points.good(h.points), 200_000, Live(still_m=60.0, moving_m=120.0)))
+
+
+#: Tuned to fixes that are a minute or two apart.
+SPARSE = Dwell(corral_m=80.0, min_s=120.0, soft_exit_s=300.0, hard_exit_m=160.0, drift_m_min=40.0, decimate_s=1.0)
+
+
+@query()
+def dwell_stops(h: History) -> DataFrame:
+    return dwells.dwells(h.points, SPARSE).select(*KEY, "entry_ms", "exit_ms", r("lat", 6), r("lon", 6), "samples")
+
+
+@query()
+def edge_stays(h: History) -> DataFrame:
+    return dwells.edge_stays(h.points, Edge(bin_s=60.0, tolerance_s=120.0, moving_mps=0.5, lookback_s=300.0), SPARSE)
+
+
+@query()
+def settled_fixes(h: History) -> DataFrame:
+    p = dwells.settled(h.points, Edge(bin_s=60.0, tolerance_s=120.0, moving_mps=0.5, lookback_s=300.0), SPARSE)
+    return p.where("ignored").groupBy(*KEY).agg(F.count("*").alias("ignored"), F.count_if(F.col("ignore_reason") == "edge_stay").alias("edge_stay"))
+
+
+@query()
+def polyline_simplify(h: History) -> DataFrame:
+    return dwells.simplified(h.points, 2e-4)
+
+
+@query()
+def gpx_documents(h: History) -> DataFrame:
+    return gpx.gpx_documents(h.tracks, h.points)
+
+
+# --- cities and names
+
+
+@query(
+    """select o.device_id, o.place_id, case when o.population_k = 0 then o.name else coalesce(b.name, o.name) end as city, o.country, round(case when o.population_k = 0 then o.d else coalesce(b.d, o.d) end, 3) as city_m from local o
+    left join (select * from (select r.place_id, r.name, r.d, row_number() over (partition by r.place_id order by r.population_k desc, r.d) as k from own r join local l on l.place_id = r.place_id
+      where r.d <= l.d + 5000 and r.population_k > l.population_k and r.population_k >= 3 * l.population_k) where k = 1) b on b.place_id = o.place_id"""
+)
+def city_naming(h: History) -> DataFrame:
+    return cities.named(h.pins, h.atlas, geo.sphere_m).select("device_id", "place_id", "city", "country", r("city_m"))
+
+
+@query("select name, country, population_k, starts_with(lower(name), 'city 1') as prefix from atl where contains(lower(name), 'city 1') order by prefix desc, population_k desc, lat, lon, name limit 10")
+def top_cities_by_name(h: History) -> DataFrame:
+    return cities.by_name(h.atlas, " Citý 1").select("name", "country", long("population_k"), "prefix")
+
+
+LABELS = "(select n_name as label, r_name as category from nation join region on n_regionkey = r_regionkey)"
+FEATURES = "(select {key}, unnest(list_concat(list_transform(string_split(c, ' '), lambda w: 'w:' || w), list_transform(range(1, length(c) + 1), lambda i: 'c:' || substr(' ' || c || ' ', i, 3)), list_transform(range(1, length(c)), lambda i: 'c:' || substr(' ' || c || ' ', i, 4)))) as feature from (select *, trim(regexp_replace(lower({name}), '[^a-z0-9]+', ' ', 'g')) as c from {source}))"
+COUNTS = FEATURES.format(key="category", name="label", source=LABELS)
+
+
+def labels(h: History) -> DataFrame:
+    t = lambda name: h.spark.read.parquet(f"{h.sf_dir}/{name}.parquet")
+    return t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("label"), F.col("r_name").alias("category"))
+
+
+@query(f"select category, feature, count(*) as n from {COUNTS} group by all")
+def suggester_features(h: History) -> DataFrame:
+    return suggest.counts(labels(h))
+
+
+@query(
+    f"""with cnt as (select category, feature, count(*) as n from {COUNTS} group by all),
+    voc as (select count(distinct feature) as v from cnt), ex as (select category, count(*) as m from {LABELS} group by all),
+    per as (select c.category, sum(n) + 0.35e0 * max(v) as den, ln(max(m) / (select sum(m) from ex)::double) as prior from cnt c join ex on ex.category = c.category cross join voc group by all),
+    f as (select name, feature from {FEATURES.format(key="name", name="name", source="(select distinct n_name as name from nation)")}), k as (select name, count(*) as k from f group by all),
+    s as (select k.name, k.k, per.category, prior + sum(ln((coalesce(cnt.n, 0) + 0.35e0) / den)) as score from k join f on f.name = k.name cross join per left join cnt on cnt.category = per.category and cnt.feature = f.feature group by k.name, k.k, per.category, prior)
+    select name, rank, category, round(score, 6) as score from (select *, row_number() over (partition by name order by score desc, category) as rank, max(score) over (partition by name) as best from s) where rank <= 3 and (best - score) / k <= 0.2"""
+)
+def suggest_categories(h: History) -> DataFrame:
+    s = suggest.suggestions(labels(h).select(F.col("label").alias("name")), labels(h))
+    return s.select("name", "rank", "category", r("score", 6))
+
+
+@query(f"select * from ({SLICE.replace('select w.device_id, w.first_night, t.kind, t.ref_id,', 'select w.device_id, w.first_night, t.filed_at // ' + str(DAY) + ' as day, t.kind, t.ref_id,')}) where until > at_ms and day = (select min(filed_at // {DAY}) + 3 from tline)")
+def journey_day(h: History) -> DataFrame:
+    """What a journey's window holds of one day, the fourth of all."""
+    day = F.unix_date(intervals.local_date(F.col("filed_at"))).cast("long")
+    t = h.timeline.withColumn("day", day)
+    first = t.agg((F.min("day") + 3).alias("the_day"))
+    rows = t.join(F.broadcast(first), F.col("day") == F.col("the_day")).drop("the_day")  # one row
+    return journeys.journey_slice(h.windows, rows.drop("day", "filed_at")).withColumnRenamed("at", "at_ms").crossJoin(F.broadcast(first)).withColumnRenamed("the_day", "day")

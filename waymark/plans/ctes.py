@@ -59,9 +59,15 @@ CTES = {
     "st": f"""select n.device_id, n.track_id, ignored_count, coalesce(good_count, 0) as good_count, coalesce(distance_m, 0e0) as distance_m, first_ms, last_ms, start_lat, start_lon, end_lat, end_lon, coalesce(extent_m, 0e0) as extent_m
       from (select {TRACK}, count(*) filter (where ignored) as ignored_count from pts group by all) n left join gst on n.device_id = gst.device_id and n.track_id = gst.track_id""",
     "ends": f"select t.*, st.* exclude ({TRACK}) from trk t join st using ({TRACK})",
-    "pins": """select device_id, device_id * 10 + i as place_id, i as seed_index, ['Home', 'Work', 'Gym', 'Shop'][i + 1] as label, ['home', 'work', 'sport', 'shop'][i + 1] as category,
+    "pins": """select device_id, device_id * 10 + i as place_id, i as seed_index, ['Home', 'Work', 'Gym', 'Shop'][i + 1] as label, ['home', 'work', 'sports', 'shopping'][i + 1] as category,
         38e0 + device_id * 0.01e0 + i * 0.004e0 as lat, -9e0 + device_id * 0.01e0 + i * i * 0.002e0 as lon, 150e0 + i * 50e0 as radius_m
       from (select distinct device_id, unnest(range(0, 4)) as i from trk)""",
+    "atl": """select *, case when k % 13 = 0 then 'XB' when lon < -8e0 then 'XA' else 'XC' end as country
+      from (select k, 37.9e0 + (k * 37 % 400) * 0.01e0 as lat, -9.2e0 + (k * 53 % 400) * 0.008e0 as lon, case when k % 9 = 0 then 0 else k * k % 89 end as population_k, 'City ' || k as name from (select unnest(range(0, 400)) as k))""",
+    "reach": f"select *, min(d) over (partition by place_id) as d0, row_number() over (partition by place_id order by d) as n from (select p.device_id, p.place_id, a.name, a.country, a.population_k, {haversine('p.lat', 'p.lon', 'a.lat', 'a.lon')} as d from pins p cross join atl a)",
+    "voted": "select place_id, country from (select *, row_number() over (partition by place_id order by votes desc, first) as k from (select place_id, country, count(*) as votes, min(n) as first from reach where n <= 5 and d <= d0 + 25000 group by all)) where k = 1",
+    "own": "select r.* from reach r join voted v on v.place_id = r.place_id and v.country = r.country where d <= d0 + 25000",
+    "local": "select * from (select *, row_number() over (partition by place_id order by d) as k from own) where k = 1",
     "endp": """select device_id, track_id, true as is_start, started_at as at_ms, start_lat as lat, start_lon as lon from ends where start_lat is not null
       union all select device_id, track_id, false, ended_at, end_lat, end_lon from ends where end_lat is not null""",
     "near": f"""select e.*, p.seed_index as pin, {haversine('e.lat', 'e.lon', 'p.lat', 'p.lon')} as metres, p.radius_m from endp e join pins p on e.device_id = p.device_id

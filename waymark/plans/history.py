@@ -34,6 +34,10 @@ class History:
     def pins(self) -> DataFrame:
         return event_tracks.pins(self.tracks)
 
+    @cached_property
+    def atlas(self) -> DataFrame:
+        return event_tracks.atlas(self.spark)
+
     @cached_property
     def stats(self) -> DataFrame:
         return tracks.stats(self.points)

@@ -31,7 +31,28 @@ ACTIVITIES = {
     "UNKNOWN": ("OTHER", 220.0),
 }
 
-# Categories of places that don't count in totals of time, and those that are no visits.
+# Categories of places in their order, and the group of each.
+CATEGORIES = {
+    "friends_family": "home_people",
+    "home": "home_people",
+    "groceries": "errands",
+    "food": "errands",
+    "shopping": "errands",
+    "services": "errands",
+    "health": "errands",
+    "kids_school": "routine",
+    "sports": "routine",
+    "work": "routine",
+    "outdoors": "away",
+    "sightseeing": "away",
+    "travel": "away",
+    "entertainment": "away",
+    "parking": "transient",
+    "transit": "transient",
+    "gas_station": "transient",
+    "service_area": "transient",
+}
+# Categories that don't count in totals of time, and those that are no visits.
 NOT_IN_TOTALS = ("home", "parking", "transit", "gas_station", "service_area")
 NOT_VISITED = ("transit", "gas_station", "service_area")
 
