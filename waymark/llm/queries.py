@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm import chat_tools, decontaminate, katz, lang_id, mixing, ngram_join, secret_scan, token_bin, url_rules, vector_dedup
 from waymark.llm.common import stored, table, word_count
+from waymark.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: The rules that op9 judges by.
 URL_RULES = [
@@ -95,5 +96,3 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_tools, op2_vector_dedup, op3_decontaminate, op4_token_bin, op5_secret_scan, op6_ngram_join, op7_lang_id, op8_mixing, op9_url_rules, op10_katz)}
-
-ORACLE_SQL: dict[str, str] = {}
