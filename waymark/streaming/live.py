@@ -249,7 +249,8 @@ class LiveProcessor(StatefulProcessor):
     def frame(self, key, events: list[dict]) -> pd.DataFrame:
         names = [x.split()[0] for x in OUTPUT.split(", ")]
         out = pd.DataFrame([{"device_id": key[0]} | e for e in events]).reindex(columns=names)
-        return out.astype({"seq": "Int64", "device_id": "int64", "track_no": "int64", "at_ms": "int64"}).astype({"segment_start": "boolean"})
+        plain = {c: out[c].astype(object).where(out[c].notna(), None) for c in ("event", "activity", "reason", "motion")}
+        return out.assign(**plain).astype({"seq": "Int64", "device_id": "int64", "track_no": "int64", "at_ms": "int64", "segment_start": "boolean"})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         r, events = self.load(), []
