@@ -77,7 +77,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_CODE = mix(np.arange(1, 257, dtype=np.uint64))
+#: A random number for each byte.
+BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -121,4 +122,4 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(space & ~before)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return window_hashes(_CODE[_FOLD[data]], starts, ends), np.searchsorted(starts, bounds)
+    return window_hashes(BYTE_CODES[_FOLD[data]], starts, ends), np.searchsorted(starts, bounds)

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,60 +21,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import shared_dir
+from waymark.llm.common import BYTE_CODES, shared_dir, slices, window_hashes
 
-#: Chunks of text that a task remembers with their ids, at most.
-CACHE_CHUNKS = 400_000
-#: White space before a space or a line end: such a text isn't cut into chunks.
-_RUN = re.compile(r"\s[ \n]")
+#: Ids of chunks of text that a task remembers, at most.
+CACHE_IDS = 4_000_000
 MANIFEST = "shard string, first_doc long, n_docs long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def chunk_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where chunks of the texts data[bounds[i]:bounds[i + 1]] start: at texts, and at white space after anything else.
+
+    What may be white space in more than one byte isn't cut behind.
+    """
+    space = np.isin(data, [0x20, 0x0A])
+    at = np.flatnonzero(space[1:]) + 1
+    a, b, c = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+    maybe = (a <= 0x20) | ((b == 0xC2) & ((a == 0x85) | (a == 0xA0))) | ((c == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((c == 0xE1) & (b == 0x9A)) | ((c == 0xE3) & (b == 0x80))
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    return np.union1d(starts, at[~maybe])
+
+
 class CachedEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
-    A byte-level BPE first cuts a text where a space or a line end follows a
-    character and precedes another one, and ids never reach over such a cut, so
-    chunks encode to the same ids as in their text. Other texts are encoded whole.
+    A byte-level BPE first cuts a text into words with the white space before them:
+    it always cuts between white space and what isn't white space before it, and ids
+    never reach over a cut. So chunks encode to the same ids as in their text. They
+    are told apart by 64-bit hashes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.kind).tobytes() for x in done]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if _RUN.search(text):
-                cut.append(None)
-                continue
-            chunks = []
-            for n, line in enumerate(text.split("\n")):
-                head, *rest = line.split(" ")
-                if n:
-                    chunks.append("\n" + head)
-                elif head:
-                    chunks.append(head)
-                chunks += [" " + x for x in rest]
-            cut.append(chunks)
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        missing = list({x for chunks in cut if chunks for x in chunks if x not in self.cache})
-        self.cache.update(zip(missing, self.whole(missing)))
-        rest = iter(self.whole([t for t, chunks in zip(texts, cut) if chunks is None]))
-        get = self.cache.__getitem__
-        return [next(rest) if chunks is None else b"".join(map(get, chunks)) for chunks in cut]
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.end_id = end_id
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.array([self.end_id], self.kind)
+
+    def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        done = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+        n = np.array([len(x.ids) for x in done], np.int64)
+        at = len(self.ids) + np.cumsum(n) - n
+        self.ids = np.concatenate([self.ids, *(np.array(x.ids, self.kind) for x in done)])
+        self.hashes, self.at, self.n = (np.concatenate(x) for x in ((self.hashes, hashes), (self.at, at), (self.n, n)))
+        order = np.argsort(self.hashes)
+        self.hashes, self.at, self.n = self.hashes[order], self.at[order], self.n[order]
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, each text's with the end id; how many each text has."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        starts = chunk_starts(data, bounds)
+        ends = np.append(starts[1:], len(data))
+        hashes, first, of = np.unique(window_hashes(BYTE_CODES[data], starts, ends), return_index=True, return_inverse=True)
+        if len(self.ids) > CACHE_IDS:
+            self.clear()
+        new = ~np.isin(hashes, self.hashes, assume_unique=True)
+        if new.any():
+            self.learn(hashes[new], [data[starts[i] : ends[i]].tobytes() for i in first[new].tolist()])
+        k = np.searchsorted(self.hashes, hashes)[of]
+        until = np.searchsorted(starts, bounds[1:])  # a text's end id stands behind its last chunk
+        at, n = np.insert(self.at[k], until, 0), np.insert(self.n[k], until, 1)
+        total = np.cumsum(n)
+        lengths = np.diff(total[until + np.arange(len(texts))], prepend=0)
+        return self.ids[np.repeat(at - total + n, n) + np.arange(total[-1])], lengths
 
 
 def _local(uri: str) -> str:
@@ -109,19 +125,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
         lengths, ids, path = [], [], f"{root}/{shard}"
         with open(f"{path}.bin.part", "wb") as out:
             for batch in batches:
-                encoder = encoder or CachedEncoder(tokenizer)
-                end = np.array([end_id], encoder.kind).tobytes()
-                texts = batch.column(1).to_pylist()
+                encoder = encoder or CachedEncoder(tokenizer, end_id)
                 ids.append(batch.column(0).fill_null(-1).to_numpy().astype("<i8"))
-                for first in range(0, len(texts), 256):
-                    for code in encoder([x or "" for x in texts[first : first + 256]]):
-                        out.write(code + end)
-                        lengths.append((len(code) + len(end)) // encoder.kind.itemsize)
+                for _, texts in slices(batch.column(1)):
+                    codes, n = encoder(texts)
+                    out.write(codes.tobytes())
+                    lengths.append(n)
         if not lengths:
             os.remove(f"{path}.bin.part")
             return
         os.replace(f"{path}.bin.part", f"{path}.bin")
-        offsets, ids = np.concatenate(([0], np.cumsum(lengths))).astype("<i8"), np.concatenate(ids)
+        offsets, ids = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype("<i8"), np.concatenate(ids)
         _put(f"{path}.idx", [offsets.tobytes()])
         _put(f"{path}.ids", [ids.tobytes()])
         row = {"shard": [shard], "first_doc": [int(ids[0])], "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]}
@@ -129,8 +143,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
 
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    # one row a shard; partitions are in order of doc_id
-    shards = [x.asDict() for x in dealt.mapInArrow(encode, MANIFEST).orderBy("first_doc").collect()]
+    # one row a shard, in order of partitions and so of doc_id; sorting here would encode once more to find ranges
+    shards = [x.asDict() for x in dealt.mapInArrow(encode, MANIFEST).collect()]
     base = 0
     for x in shards:
         x["base"] = base
