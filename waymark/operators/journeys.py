@@ -114,6 +114,24 @@ def names(times: DataFrame, rule: Journeys = Journeys()) -> DataFrame:
     return n.groupBy("device_id", "first_night").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: x["name"]).alias("names"))
 
 
+def spent(windows: DataFrame, stays: DataFrame, moves: DataFrame) -> DataFrame:
+    """Per journey the time at each name and in each city: device_id, first_night, kind (name or city), key, ms.
+
+    stays: device_id, start, end, name, city, visited; moves (tracks): device_id,
+    start, end, and name and city of both ends as start_name, end_name, start_city,
+    end_city. A place that is no visit counts for neither; a move counts where both
+    its ends have the same name, and the same city.
+    """
+    w = windows.select("device_id", "first_night", F.col("a").alias("c"), F.col("b").alias("d"))
+    kinds = lambda name, city: F.explode(F.array(F.struct(F.lit("name").alias("kind"), name.alias("key")), F.struct(F.lit("city").alias("kind"), city.alias("key"))))
+    both = lambda c: F.when(F.col(f"start_{c}") == F.col(f"end_{c}"), F.col(f"start_{c}"))
+    at = stays.where("visited").select("device_id", F.col("start").alias("a"), F.col("end").alias("b"), kinds(F.col("name"), F.col("city")).alias("x"))
+    on = moves.select("device_id", F.col("start").alias("a"), F.col("end").alias("b"), kinds(both("name"), both("city")).alias("x"))
+    rows = at.unionByName(on).select("device_id", "a", "b", "x.*").where("key is not null")
+    j = overlap_join(rows, w).withColumn("ms", F.least("b", "d") - F.greatest("a", "c"))
+    return j.groupBy("device_id", "first_night", "kind", "key").agg(F.sum("ms").alias("ms"))
+
+
 def by_year(journeys: DataFrame) -> DataFrame:
     """Journeys and nights per year of the first covered day."""
     year = F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.col("first_at") - DAY_MS) / DAY_MS).cast("int")))

@@ -16,6 +16,7 @@ from waymark.config import Dwell, Edge
 from waymark.operators import cities, dwells, intervals, journeys, motion, places, points, suggest, totals, tracks
 from waymark.plans.ctes import BY_FIX, BY_START, DAY, TRACK, haversine, sql
 from waymark.plans.history import NOW_MS, History
+from waymark.schemas import NOT_VISITED
 from waymark.sources import gpx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -578,11 +579,7 @@ def gpx_documents(h: History) -> DataFrame:
 # --- cities and names
 
 
-@query(
-    """select o.device_id, o.place_id, case when o.population_k = 0 then o.name else coalesce(b.name, o.name) end as city, o.country, round(case when o.population_k = 0 then o.d else coalesce(b.d, o.d) end, 3) as city_m from local o
-    left join (select * from (select r.place_id, r.name, r.d, row_number() over (partition by r.place_id order by r.population_k desc, r.d) as k from own r join local l on l.place_id = r.place_id
-      where r.d <= l.d + 5000 and r.population_k > l.population_k and r.population_k >= 3 * l.population_k) where k = 1) b on b.place_id = o.place_id"""
-)
+@query("select device_id, place_id, city, country, round(city_m, 3) as city_m from pcity")
 def city_naming(h: History) -> DataFrame:
     return cities.named(h.pins, h.atlas, geo.sphere_m).select("device_id", "place_id", "city", "country", r("city_m"))
 
@@ -628,3 +625,85 @@ def journey_day(h: History) -> DataFrame:
     first = t.agg((F.min("day") + 3).alias("the_day"))
     rows = t.join(F.broadcast(first), F.col("day") == F.col("the_day")).drop("the_day")  # one row
     return journeys.journey_slice(h.windows, rows.drop("day", "filed_at")).withColumnRenamed("at", "at_ms").crossJoin(F.broadcast(first)).withColumnRenamed("the_day", "day")
+
+
+def place_names(h: History) -> DataFrame:
+    """Each pin's name on a journey: a home's own label, else its city."""
+    c = cities.named(h.pins, h.atlas, geo.sphere_m)
+    name = F.when(F.col("category").isin("home", "friends_family"), F.col("label")).otherwise(F.coalesce("city", "label"))
+    return c.select("device_id", F.col("seed_index").alias("pin"), name.alias("name"), F.concat_ws(", ", "city", "country").alias("city"), "country", "category")
+
+
+OVERLAP = "least({s}, w.b) - greatest({f}, w.a)"
+AT_STAY, ON_MOVE = OVERLAP.format(s='s."end"', f='s."start"'), OVERLAP.format(s="t.ended_at", f="t.started_at")
+
+
+@query(
+    f"""select device_id, first_night, kind, key, sum(ms)::bigint as ms from (
+      select w.device_id, w.first_night, unnest(['name', 'city']) as kind, unnest([n.name, n.city]) as key, {AT_STAY} as ms from win w join pstay s on s.device_id = w.device_id and s."start" < w.b and w.a < s."end" join pname n on n.device_id = s.device_id and n.pin = s.pin
+      union all select w.device_id, w.first_night, unnest(['name', 'city']), unnest([case when a.name = b.name then a.name end, case when a.city = b.city then a.city end]), {ON_MOVE}
+      from win w join pinned t on t.device_id = w.device_id and t.started_at < w.b and w.a < t.ended_at join pname a on a.device_id = t.device_id and a.pin = t.start_pin join pname b on b.device_id = t.device_id and b.pin = t.end_pin) where key is not null group by all"""
+)
+def journey_spent(h: History) -> DataFrame:
+    names = place_names(h)
+    stays = h.pin_stays.select("device_id", "pin", "start", "end").join(names, ["device_id", "pin"]).withColumn("visited", ~F.col("category").isin(*NOT_VISITED))
+    side = lambda s: names.select("device_id", F.col("pin").alias(f"{s}_pin"), F.col("name").alias(f"{s}_name"), F.col("city").alias(f"{s}_city"))
+    t = h.pinned.select("device_id", F.col("started_at").alias("start"), F.col("ended_at").alias("end"), "start_pin", "end_pin")
+    moves = t.join(side("start"), ["device_id", "start_pin"]).join(side("end"), ["device_id", "end_pin"])
+    return journeys.spent(h.windows, stays, moves)
+
+
+@query('select w.device_id, w.first_night, count(distinct n.city) as cities, count(distinct n.country) as countries, list_sort(list(distinct n.country)) as which from win w join pstay s on s.device_id = w.device_id and s."start" < w.b and w.a < s."end" join pname n on n.device_id = s.device_id and n.pin = s.pin group by all')
+def journey_countries(h: History) -> DataFrame:
+    """How many cities and countries each journey's stays touch."""
+    s = h.pin_stays.select("device_id", "pin", F.col("start").alias("a"), F.col("end").alias("b")).join(place_names(h), ["device_id", "pin"])
+    j = intervals.overlap_join(s, h.windows.select("device_id", "first_night", F.col("a").alias("c"), F.col("b").alias("d")))
+    return j.groupBy("device_id", "first_night").agg(F.count_distinct("city").alias("cities"), F.count_distinct("country").alias("countries"), F.sort_array(F.collect_set("country")).alias("which"))
+
+
+# --- lists of places
+
+
+@query(
+    """select device_id, place_id, label, visits, row_number() over (partition by device_id order by last_seen desc nulls last, lower(label), place_id) as by_last, row_number() over (partition by device_id order by visits desc, lower(label), place_id) as by_visits
+    from (select p.device_id, p.place_id, p.label, count(s.after_track_id) as visits, max(s."end") as last_seen from pins p left join pstay s on s.device_id = p.device_id and s.place_id = p.place_id and s."end" != s."start" group by all)"""
+)
+def places_list(h: History) -> DataFrame:
+    """Each device's places by when they were last seen, and by visits."""
+    s = places.summaries(h.pin_stays.select("device_id", "pin", "start", "end"), h.pins, NOW_MS)
+    rank = lambda *by: F.row_number().over(Window.partitionBy("device_id").orderBy(*by, F.lower("label"), "place_id")).cast("long")
+    return s.select("device_id", "place_id", "label", "visits", rank(F.desc_nulls_last("last_seen")).alias("by_last"), rank(F.desc("visits")).alias("by_visits"))
+
+
+@query(f"""select device_id, track_id, list_sort(list(place_id)) as places from (select distinct e.device_id, e.track_id, p.place_id from endp e join pins p on p.device_id = e.device_id where {haversine('e.lat', 'e.lon', 'p.lat', 'p.lon')} <= 150) group by all""")
+def related_places(h: History) -> DataFrame:
+    """Places within 150 m of either end of a track."""
+    near = places.near_pairs(h.endpoints, h.pins.withColumn("radius_m", F.lit(150.0)))
+    return near.groupBy(*KEY).agg(F.sort_array(F.collect_set("pin_place_id")).alias("places"))
+
+
+@query(f"select device_id, activity, count(*) as tracks, round(sum(distance_m), 3) as metres, round(case when sum(ended_at - started_at) > 0 then sum(distance_m) / (sum(ended_at - started_at) / 1000e0) * 3.6e0 else 0e0 end, 3) as kmh from ends group by all")
+def average_speeds(h: History) -> DataFrame:
+    ms = F.sum(F.col("ended_at") - F.col("started_at"))
+    kmh = F.when(ms > 0, F.sum("distance_m") / (ms / F.lit(1000.0)) * 3.6).otherwise(F.lit(0.0))
+    return h.ends.groupBy("device_id", "activity").agg(F.count("*").alias("tracks"), F.round(F.sum("distance_m"), 3).alias("metres"), F.round(kmh, 3).alias("kmh"))
+
+
+@query(f"select device_id, track_id, min(lat) as south, max(lat) as north, min(lon) as west, max(lon) as east from pts group by all")
+def bounding_boxes(h: History) -> DataFrame:
+    return h.points.groupBy(*KEY).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+
+
+@query(f"select device_id, track_id, seq::bigint as seq, ts_ms from (select *, row_number() over ({BY_FIX}) as n from pts where not ignored) where n <= 3")
+def first_good_fixes(h: History) -> DataFrame:
+    p = points.good(h.points).withColumn("n", F.row_number().over(points.in_order()))
+    return p.where("n <= 3").select(*KEY, long("seq"), "ts_ms")
+
+
+@query("select device_id, day, night_no::bigint as night_no, first_night from (select *, row_number() over (partition by device_id, day order by first_night desc) as k from (select device_id, first_night, day, row_number() over (partition by device_id, first_night order by day) as night_no from (" + f"select device_id, first_night, unnest(range((first_at - {DAY}) // {DAY}, last_at // {DAY} + 1)) as day from jrn" + "))) where k = 1")
+def away_days(h: History) -> DataFrame:
+    """The number of each day within its journey; a day that two share is the later one's."""
+    d = journeys.days_covered(h.journeys)
+    n = d.withColumn("night_no", F.row_number().over(Window.partitionBy("device_id", "first_night").orderBy("day")).cast("long"))
+    best = n.groupBy("device_id", "day").agg(F.max(F.struct("first_night", "night_no")).alias("x"))
+    return best.select("device_id", "day", "x.night_no", "x.first_night")

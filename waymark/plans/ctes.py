@@ -68,6 +68,10 @@ CTES = {
     "voted": "select place_id, country from (select *, row_number() over (partition by place_id order by votes desc, first) as k from (select place_id, country, count(*) as votes, min(n) as first from reach where n <= 5 and d <= d0 + 25000 group by all)) where k = 1",
     "own": "select r.* from reach r join voted v on v.place_id = r.place_id and v.country = r.country where d <= d0 + 25000",
     "local": "select * from (select *, row_number() over (partition by place_id order by d) as k from own) where k = 1",
+    "pcity": """select o.device_id, o.place_id, case when o.population_k = 0 then o.name else coalesce(b.name, o.name) end as city, o.country, case when o.population_k = 0 then o.d else coalesce(b.d, o.d) end as city_m from local o
+      left join (select * from (select r.place_id, r.name, r.d, row_number() over (partition by r.place_id order by r.population_k desc, r.d) as k from own r join local l on l.place_id = r.place_id
+        where r.d <= l.d + 5000 and r.population_k > l.population_k and r.population_k >= 3 * l.population_k) where k = 1) b on b.place_id = o.place_id""",
+    "pname": """select p.device_id, p.seed_index as pin, p.place_id, case when p.category = 'home' then p.label else c.city end as name, c.city || ', ' || c.country as city, c.country from pins p join pcity c on c.place_id = p.place_id""",
     "endp": """select device_id, track_id, true as is_start, started_at as at_ms, start_lat as lat, start_lon as lon from ends where start_lat is not null
       union all select device_id, track_id, false, ended_at, end_lat, end_lon from ends where end_lat is not null""",
     "near": f"""select e.*, p.seed_index as pin, {haversine('e.lat', 'e.lon', 'p.lat', 'p.lon')} as metres, p.radius_m from endp e join pins p on e.device_id = p.device_id
