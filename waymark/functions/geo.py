@@ -101,3 +101,11 @@ def arc(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
     ends = F.array(F.struct(lat1.alias("lat"), lon1.alias("lon")), F.struct(lat2.alias("lat"), lon2.alias("lon")))
     return F.when(flat, ends).otherwise(F.transform(F.sequence(F.lit(0), steps), at))
+
+
+def circle(lat: Column, lon: Column, radius_m: Column, corners: int = 72) -> Column:
+    """array<struct<lat, lon>>: a closed polygon around a point."""
+    north = F.degrees(radius_m / F.lit(EARTH_M))
+    east = north / F.greatest(F.lit(0.01), F.cos(F.radians(lat)))
+    turn = lambda k: F.lit(2 * math.pi) * (k % corners) / corners
+    return F.transform(F.sequence(F.lit(0), F.lit(corners)), lambda k: F.struct((lat + north * F.cos(turn(k))).alias("lat"), (lon + east * F.sin(turn(k))).alias("lon")))

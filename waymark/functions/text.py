@@ -59,3 +59,36 @@ def activity_of_detection(code: Column) -> Column:
         .when(code == "STILL", "STILL")
         .otherwise("UNKNOWN")
     )
+
+
+def duration(ms: Column) -> Column:
+    """Minutes and hours up to a day, then days and hours, then months and days, then years and months."""
+    m = F.floor(ms / 60_000)
+    two = lambda a, x, b, y: F.concat_ws(" ", F.concat(a.cast("string"), F.lit(x)), F.when(b > 0, F.concat(b.cast("string"), F.lit(y))))
+    h, d = F.floor(m / 60), F.floor(m / 1440)
+    return (
+        F.when(m < 60, F.concat(m.cast("string"), F.lit(" min")))
+        .when(d < 1, two(h, " h", m % 60, " min"))
+        .when(d < 30, two(d, " d", h % 24, " h"))
+        .when(d < 365, two(F.floor(d / 30), " mo", d % 30, " d"))
+        .otherwise(two(F.floor(d / 365), " y", F.floor(d % 365 / 30), " mo"))
+    )
+
+
+def length(metres: Column, imperial: bool = False) -> Column:
+    """Metres or kilometres, feet or miles."""
+    unit, small, large, per = (F.lit(3.28084), " ft", " mi", 5280.0) if imperial else (F.lit(1.0), " m", " km", 1000.0)
+    x = metres * unit
+    return F.when(x < per / (10 if imperial else 1), F.concat(F.floor(x + 0.5).cast("string"), F.lit(small))).otherwise(F.concat(F.format_string("%.1f", x / per), F.lit(large)))
+
+
+def stay_bounds(holds_start: Column, holds_end: Column, start: Column, end: Column) -> Column:
+    """How a day's slice of a stay is worded: all_day, since, until, from, at or between."""
+    return (
+        F.when(~holds_start & ~holds_end, "all_day")
+        .when(~holds_end, F.when(end.isNull(), "since").otherwise("from"))
+        .when(end.isNull(), "since")
+        .when(~holds_start, "until")
+        .when(start == end, "at")
+        .otherwise("between")
+    )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
 from waymark.config import Dwell, Edge
-from waymark.operators import cities, dwells, intervals, journeys, motion, places, points, suggest, totals, tracks
+from waymark.operators import cities, dwells, finish, intervals, journeys, motion, places, points, suggest, totals, tracks
 from waymark.plans.ctes import BY_FIX, BY_START, DAY, TRACK, haversine, sql
 from waymark.plans.history import NOW_MS, History
 from waymark.schemas import NOT_VISITED
@@ -707,3 +707,51 @@ def away_days(h: History) -> DataFrame:
     n = d.withColumn("night_no", F.row_number().over(Window.partitionBy("device_id", "first_night").orderBy("day")).cast("long"))
     best = n.groupBy("device_id", "day").agg(F.max(F.struct("first_night", "night_no")).alias("x"))
     return best.select("device_id", "day", "x.night_no", "x.first_night")
+
+
+# --- finishing, replaying, drawing
+
+
+@query()
+def finished_tracks(h: History) -> DataFrame:
+    t, _ = finish.finished(h.tracks, h.points, Edge(bin_s=60.0, tolerance_s=120.0, moving_mps=0.5, lookback_s=300.0), SPARSE)
+    return t.select(*KEY, "from_ms", "to_ms", "good_count", "ignored_count", r("distance_m"), "verdict")
+
+
+@query(f"select {TRACK}, seq::bigint as seq, ((sum(step) over ({BY_FIX}))::bigint // 30) as play_ms from (select *, coalesce(least(60000, ts_ms - lag(ts_ms) over ({BY_FIX})), 0) as step from pts where not ignored)")
+def track_replay(h: History) -> DataFrame:
+    return finish.replayed(h.points).select(*KEY, long("seq"), long("play_ms"))
+
+
+@query(f"""select device_id, coalesce(new_id, track_id) as track_id, count(*) as fixes from (select p.device_id, p.track_id, case when c.legal and p.ts_ms >= c.cut then p.track_id + 1000000 end as new_id from pts p
+    left join (select p.device_id, p.track_id, t.cut, count(*) filter (where ts_ms < t.cut) >= 2 and count(*) filter (where ts_ms >= t.cut) >= 2 as legal from pts p join (select {TRACK}, started_at + (ended_at - started_at) // 2 as cut from trk where track_id % 3 = 0) t on t.device_id = p.device_id and t.track_id = p.track_id
+      where not ignored group by all) c on c.device_id = p.device_id and c.track_id = p.track_id) group by all""")
+def split_tracks(h: History) -> DataFrame:
+    """Every third track cut in the middle of its time."""
+    cuts = h.tracks.where("track_id % 3 = 0").select(*KEY, F.expr("started_at + (ended_at - started_at) div 2").alias("cut"), (F.col("track_id") + 1_000_000).alias("new_id"))
+    return finish.split(h.points, cuts).groupBy(*KEY).agg(F.count("*").alias("fixes"))
+
+
+@query(
+    f"""select d.device_id, d.track_id, d.started_at, d.ended_at from (select device_id, track_id, ended_at + 1000 as started_at, ended_at + 61000 as ended_at from trk where track_id % 4 = 0) d
+    where not exists (select 1 from gst g where g.device_id = d.device_id and g.first_ms < d.ended_at and g.last_ms > d.started_at)"""
+)
+def manual_tracks(h: History) -> DataFrame:
+    """A minute by hand after every fourth track, where nothing was recorded."""
+    lat, lon = F.lit(38.0), F.lit(-9.0)
+    d = h.tracks.where("track_id % 4 = 0").select("device_id", F.col("track_id").alias("cand_id"), "activity", (F.col("ended_at") + 1000).alias("from_ms"), (F.col("ended_at") + 61_000).alias("to_ms"), lat.alias("from_lat"), lon.alias("from_lon"), lat.alias("to_lat"), lon.alias("to_lon"))
+    return finish.manual(d, h.points)[0].select(*KEY, "started_at", "ended_at")
+
+
+@query(f"""select device_id, after_track_id, case when not holds_start and not holds_end then 'all_day' when not holds_end then 'from' when not holds_start then 'until' when slice_start = slice_end then 'at' else 'between' end as bounds,
+    case when m < 60 then m || ' min' when m < 1440 then (m // 60) || ' h' || case when m % 60 > 0 then ' ' || (m % 60) || ' min' else '' end else (m // 1440) || ' d' || case when m // 60 % 24 > 0 then ' ' || (m // 60 % 24) || ' h' else '' end end as lasted
+    from (select *, (slice_end - slice_start) // 60000 as m from days)""")
+def stay_wording(h: History) -> DataFrame:
+    s = intervals.per_day(h.stays, F.lit(NOW_MS))
+    return s.select("device_id", "after_track_id", text.stay_bounds(F.col("holds_start"), F.col("holds_end"), F.col("slice_start"), F.col("slice_end")).alias("bounds"), text.duration(F.col("slice_end") - F.col("slice_start")).alias("lasted"))
+
+
+@query("select device_id, place_id, k as corner, round(lat + degrees(radius_m / 6371008.8e0) * cos(2 * pi() * (k % 72) / 72), 6) as lat, round(lon + degrees(radius_m / 6371008.8e0) / greatest(0.01e0, cos(radians(lat))) * sin(2 * pi() * (k % 72) / 72), 6) as lon from (select *, unnest(range(0, 73)) as k from pins)")
+def place_circles(h: History) -> DataFrame:
+    c = h.pins.select("device_id", "place_id", F.posexplode(geo.circle(F.col("lat"), F.col("lon"), F.col("radius_m"))).alias("corner", "x"))
+    return c.select("device_id", "place_id", long("corner"), F.round("x.lat", 6).alias("lat"), F.round("x.lon", 6).alias("lon"))
