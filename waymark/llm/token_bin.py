@@ -38,8 +38,10 @@ def chunk_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(space[1:]) + 1
     a, b, c = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
     maybe = (a <= 0x20) | ((b == 0xC2) & ((a == 0x85) | (a == 0xA0))) | ((c == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((c == 0xE1) & (b == 0x9A)) | ((c == 0xE3) & (b == 0x80))
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    return np.union1d(starts, at[~maybe])
+    start = np.zeros(len(data), bool)
+    start[at[~maybe]] = True
+    start[bounds[:-1][np.diff(bounds) > 0]] = True
+    return np.flatnonzero(start)
 
 
 class CachedEncoder:
@@ -59,17 +61,45 @@ class CachedEncoder:
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end_id = end_id
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
         self.clear()
 
     def clear(self) -> None:
         self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.array([self.end_id], self.kind)
 
+    def encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, and how many each has.
+
+        Each has one space, in front, and no other white space. The tokenizer cuts
+        there, so many are encoded as one text, and taken apart where an id stands
+        for a space and more.
+        """
+        lots = [chunks[k : k + 512] for k in range(0, len(chunks), 512)]
+        ids, counts = [], []
+        for lot, done in zip(lots, self.tokenizer.encode_batch_fast(["".join(x) for x in lots], add_special_tokens=False)):
+            first = np.flatnonzero(self.opens[np.array(done.ids, np.int64)])
+            n = np.diff(first, append=len(done.ids))
+            if len(n) == len(lot) and first[0] == 0:
+                ids += done.ids
+            else:  # this tokenizer's ids don't tell
+                each = self.tokenizer.encode_batch_fast(lot, add_special_tokens=False)
+                ids += [x for e in each for x in e.ids]
+                n = np.array([len(e.ids) for e in each], np.int64)
+            counts.append(n)
+        return np.array(ids, self.kind), np.concatenate([np.zeros(0, np.int64), *counts])
+
     def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        done = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        n = np.array([len(x.ids) for x in done], np.int64)
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        plain = np.array([t[:1] == " " and t.split() == [t[1:]] for t in texts], bool)
+        ids, n = self.encoded([t for t, p in zip(texts, plain) if p])
+        rest = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        n = np.concatenate([n, np.array([len(x.ids) for x in rest], np.int64)])
+        hashes = np.concatenate([hashes[plain], hashes[~plain]])
         at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate([self.ids, *(np.array(x.ids, self.kind) for x in done)])
+        self.ids = np.concatenate([self.ids, ids, np.array([i for x in rest for i in x.ids], self.kind)])
         self.hashes, self.at, self.n = (np.concatenate(x) for x in ((self.hashes, hashes), (self.at, at), (self.n, n)))
         order = np.argsort(self.hashes)
         self.hashes, self.at, self.n = self.hashes[order], self.at[order], self.n[order]
@@ -83,7 +113,8 @@ class CachedEncoder:
         hashes, first, of = np.unique(window_hashes(BYTE_CODES[data], starts, ends), return_index=True, return_inverse=True)
         if len(self.ids) > CACHE_IDS:
             self.clear()
-        new = ~np.isin(hashes, self.hashes, assume_unique=True)
+        near = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        new = self.hashes[near] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
         if new.any():
             self.learn(hashes[new], [data[starts[i] : ends[i]].tobytes() for i in first[new].tolist()])
         k = np.searchsorted(self.hashes, hashes)[of]
