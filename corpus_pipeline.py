@@ -23,9 +23,12 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: 5-word shingles, similarity 0.8 or more, the smallest doc_id."""
+    """Keeps one document of each group: 5-word shingles, similarity 0.8 or more, the smallest doc_id.
+
+    Rows without a doc_id stay; rows that repeat one stay or go together.
+    """
     groups = ngram_join.jaccard_components(docs, 5, 4, 5)
-    return docs.join(groups.where("doc_id <=> component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(groups.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,11 +40,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
     A second copy is a row of its own; its doc_id is the first one's, so that ids
-    stay those of documents.
+    stay those of documents. Rows that share a doc_id, or have none, are each taken
+    as often as the one of them that is taken most.
     """
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    copies = mixing.mix_sources(sizes).where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return docs.join(copies.select("doc_id"), "doc_id").select(*docs.columns)
+    copies = mixing.mix_sources(sizes).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return taken.select(*docs.columns)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
