@@ -12,8 +12,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     conf = {
-        "spark.master": "local[2]",
-        "spark.sql.shuffle.partitions": "2",
+        "spark.master": "local[8]",
+        "spark.sql.shuffle.partitions": "4",
         "spark.driver.memory": "4g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
