@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, lang_id, mixing, ngram_join, token_bin
-from waymark.llm.common import shared_dir, table, word_count
+from waymark.llm.common import shared_dir, stored, table, word_count
 from waymark.llm.queries import default_tokenizer
 
 #: A document goes if its language can't be told, or is told with a score below this.
@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as often as the one of them that is taken most.
     """
     sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    copies = mixing.mix_sources(sizes).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
+    copies = mixing.mix_sources(stored(sizes, "sizes")).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
     taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return taken.select(*docs.columns)
 
