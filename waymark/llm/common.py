@@ -18,6 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text handled at once inside a Python task, in bytes; bounds its memory.
 SLICE_BYTES = 4 << 20
 
+#: Bits of a filter that is broadcast, at most: 16 MB.
+FILTER_BITS = 1 << 27
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
@@ -55,6 +58,23 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def likely(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose key may be among ids, and few others: a filter in front of a join, which it spares a shuffle.
+
+    Hashes of ids set bits of bitmaps, 64 bits an id up to FILTER_BITS in all, so
+    what is broadcast has a fixed bound. With more ids the filter lets more rows
+    pass, and takes nothing from the join's result.
+    """
+    bits = min(FILTER_BITS, max(1 << 15, 1 << (64 * ids.count()).bit_length()))
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    spots = ids.select(spot(id_col).alias("spot"))
+    maps = spots.groupBy(F.expr("spot div 32768").alias("_map")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("_bits"))
+    r = rows.withColumn("_spot", spot(key)).withColumn("_map", F.expr("_spot div 32768")).withColumn("_at", (F.col("_spot") % 32768).cast("int"))
+    byte = "int(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10))"
+    r = r.join(F.broadcast(maps), "_map").where(f"shiftright({byte}, _at % 8) % 2 = 1")
+    return r.drop("_spot", "_map", "_at", "_bits")
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import mix, slices, stored, word_hashes
+from waymark.llm.common import likely, mix, slices, stored, word_hashes
 from waymark.llm.components import components
 
 #: Sizes in one band differ by this factor at most; a band has one number of blocks.
@@ -234,7 +234,8 @@ def cluster_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
 
     names = members.columns
     fields = ", ".join(f"{name} {kind}" for name, kind in members.dtypes)
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep").select("text", *names)
+    texts = likely(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", members, "rep")
+    texts = texts.join(members, "rep").select("text", *names)
     return texts.mapInArrow(tokens, f"{fields}, tokens array<long>")
 
 
