@@ -7,6 +7,7 @@ the languages. Models are fitted on a bounded sample; every whole text is judged
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -79,7 +80,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 150) ->
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     w, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    rate = 1 / (1 / c + 2 * (weight[:, None] * x1.astype(np.float64) ** 2).sum())
+    rate = 1 / (1 / c + 2 * float(weight @ np.einsum("ij,ij->i", x1, x1).astype(np.float64)))
     for t in range(rounds):  # Nesterov's accelerated gradient
         slack = np.maximum(0, 1 - y * (x1 @ v.astype(np.float32)))
         grad = v / c - 2 * x1.T @ (weight * y * slack).astype(np.float32)
@@ -157,9 +158,19 @@ def train(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model:
                 flat = pa.array([row.tobytes() for row in frequencies(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), flat], ["lang", "x"])
 
-    got = rows.where(low).select("lang", "text").mapInArrow(features, "lang string, x binary").orderBy("lang", F.md5("x")).collect()
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in got], np.float32).reshape(len(got), FEATURES)
-    return fit(x, [r["lang"] for r in got])
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(lang, x) for batch in batches for lang, x in zip(*(c.to_pylist() for c in batch.columns))]
+        sample.sort()
+        x = np.empty((len(sample), FEATURES), np.float32)
+        for k, (_, row) in enumerate(sample):
+            x[k] = np.frombuffer(row, np.float32)
+        model = fit(x, [lang for lang, _ in sample])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    # the sample is bounded, so one task fits on it, and the driver gets weights only
+    sample = rows.where(low).select("lang", "text").mapInArrow(features, "lang string, x binary").repartition(1)
+    got = sample.mapInArrow(fit_all, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit(np.zeros((0, FEATURES), np.float32), [])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
