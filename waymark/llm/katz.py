@@ -11,16 +11,16 @@ word's own probability.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import mix, part_of, slices, stored, word_hashes
+from waymark.llm.common import mix, part_of, release, slices, stored, word_hashes
 
 #: Documents in a chunk, about.
 CHUNK_DOCS = 3000
@@ -32,8 +32,8 @@ START, END = mix(np.array([0x5354415254, 0x454E44], np.uint64)).tolist()
 #: Histories are stored as the low 48 bits of their hashes.
 LOW48 = (1 << 48) - 1
 
-CHUNK = "w long, chunk int, n int, prevs binary, ns binary"
-COUNTED = "chunk int, w long, c long, cs binary, own array<bigint>, own_c array<int>"
+CHUNK = "w long, chunk int, n int, prevs binary, ns binary, large binary"
+COUNTED = "chunk int, w long, c long, cs binary, large binary, own array<bigint>, own_c array<int>"
 
 
 class Tokens:
@@ -72,18 +72,33 @@ def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
+def _packed(values: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Counts as a byte each, in rows of values[bounds[i]:bounds[i + 1]]; 255 stands for one that follows among the large ones."""
+    over = values >= 255
+    at = np.concatenate(([0], np.cumsum(over)))[bounds]
+    large = _binary(values[over].astype("<i4"), at * 4)
+    none = pa.scalar(None, pa.binary())
+    return _binary(np.minimum(values, 255).astype(np.uint8), bounds), pc.if_else(pa.array(np.diff(at) > 0), large, none)
+
+
+def _unpacked(small: list[bytes], large: list[bytes | None]) -> np.ndarray:
+    values = np.frombuffer(b"".join(small), np.uint8).astype(np.int64)
+    values[values == 255] = np.frombuffer(b"".join(x for x in large if x), "<i4")
+    return values
+
+
 def _ask(chunk: pa.Table) -> pa.Table:
     """One row per distinct word of a chunk: its training count, its histories and their training counts."""
     train = chunk.column("train").to_numpy()
     t = Tokens(chunk.column("text"), train)
     weight = np.repeat(train, t.lengths).astype(np.float64)
-    ns = np.bincount(t.pair, weight, len(t.pair_w)).astype("<i4")
+    ns = np.bincount(t.pair, weight, len(t.pair_w)).astype(np.int64)
     bounds = np.append(t.at, len(t.pair_w))
     n = np.add.reduceat(ns, t.at)
     prevs = t.pair_h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
     number = chunk.column("chunk")[0].as_py()
-    rows = pa.table([pa.array(t.words.view(np.int64)), pa.array(np.full(len(n), number, np.int32)), pa.array(n.astype(np.int32)), _binary(np.frombuffer(prevs, np.uint8), bounds * 6), _binary(ns, bounds * 4)], ["w", "chunk", "n", "prevs", "ns"])
-    start = pa.table([pa.array([np.uint64(START).view(np.int64)]), pa.array([number], pa.int32()), pa.array([int(train.sum())], pa.int32()), pa.array([b""]), pa.array([b""])], rows.column_names)
+    rows = pa.table([pa.array(t.words.view(np.int64)), pa.array(np.full(len(n), number, np.int32)), pa.array(n.astype(np.int32)), _binary(np.frombuffer(prevs, np.uint8), bounds * 6), *_packed(ns, bounds)], ["w", "chunk", "n", "prevs", "ns", "large"])
+    start = pa.table([pa.array([np.uint64(START).view(np.int64)]), pa.array([number], pa.int32()), pa.array([int(train.sum())], pa.int32()), pa.array([b""]), pa.array([b""]), pa.array([None], pa.binary())], rows.column_names)
     return pa.concat_tables([rows, start])
 
 
@@ -102,33 +117,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.Table.from_batches(held)
     w, chunk, n = (t.column(k).to_numpy() for k in ("w", "chunk", "n"))
-    per_row = np.array([len(x) // 4 for x in t.column("ns").to_pylist()], np.int64)
+    small = t.column("ns").to_pylist()
+    per_row = np.array([len(x) for x in small], np.int64)
     raw = _flat(t.column("prevs"), "u1").reshape(-1, 6)
     prev = np.zeros((len(raw), 8), np.uint8)
     prev[:, :6] = raw
-    prev, ns = prev.view("<u8").ravel(), _flat(t.column("ns"), "<i4")
-    del held, t, raw
+    prev, ns = prev.view("<u8").ravel(), _unpacked(small, t.column("large").to_pylist())
+    del held, t, raw, small
     words, of = np.unique(w, return_inverse=True)
     c = np.bincount(of, n).astype(np.int64)
     order = np.lexsort((prev, np.repeat(of, per_row)))
     a, b = np.repeat(of, per_row)[order], prev[order]
     new = np.concatenate((a[:1] == a[:1], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     sums = np.add.reduceat(ns[order], np.flatnonzero(new)) if len(new) else ns
-    cs, own = np.empty(len(ns), "<i4"), np.zeros(len(ns), bool)
+    cs, own = np.empty(len(ns), np.int64), np.zeros(len(ns), bool)
     cs[order] = sums[np.cumsum(new) - 1]
     own[order] = new  # the first to ask for a pair also brings it into its history's sums
     own &= cs > CUTOFF
     bounds = np.concatenate(([0], np.cumsum(per_row)))
     owned = np.concatenate(([0], np.cumsum(own)))[bounds]
     lists = lambda x: pa.ListArray.from_arrays(owned.astype(np.int32), pa.array(x))
-    names = ["chunk", "w", "c", "cs", "own", "own_c"]
-    yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(w), pa.array(c[of]), _binary(cs, bounds * 4), lists(prev[own].astype(np.int64)), lists(cs[own])], names)
+    names = ["chunk", "w", "c", "cs", "large", "own", "own_c"]
+    yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(w), pa.array(c[of]), *_packed(cs, bounds), lists(prev[own].astype(np.int64)), lists(cs[own].astype(np.int32))], names)
     c = c[words.view(np.uint64) != np.uint64(START)]
     facts = {0: int((c > 0).sum()), -1: int(c.sum())}
     for r in range(1, K + 2):
         facts |= {1 + r: int((c == r).sum()), 101 + r: int((sums == r).sum())}
     none = pa.array([None] * len(facts))
-    yield pa.RecordBatch.from_arrays([pa.array([-1] * len(facts), pa.int32()), pa.array(list(facts), pa.int64()), pa.array(list(facts.values()), pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int32()))], names)
+    yield pa.RecordBatch.from_arrays([pa.array([-1] * len(facts), pa.int32()), pa.array(list(facts), pa.int64()), pa.array(list(facts.values()), pa.int64()), none.cast(pa.binary()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int32()))], names)
 
 
 def discounts(seen: dict[int, int]) -> list[float]:
@@ -173,20 +189,24 @@ def histories(counted: DataFrame, model: Model) -> DataFrame:
 
 def _score(docs: pa.Table, asked: pa.Table, model: Model) -> pa.Table:
     t = Tokens(docs.column("text"), docs.column("train").to_numpy())
+    of_history = pc.is_null(asked.column("c"))
+    kept, asked = asked.filter(of_history), asked.filter(pc.invert(of_history))
     w = asked.column("w").to_numpy().view(np.uint64)
     order = np.argsort(w)
     w, c = w[order], asked.column("c").to_numpy()[order]
-    mass, words_mass = (asked.column(k).fill_null(0.0).to_numpy()[order] for k in ("mass", "words_mass"))
-    cs = asked.column("cs").to_pylist()
-    pair_c = np.frombuffer(b"".join([cs[i] for i in order.tolist()]), "<i4").astype(np.int64)
+    cs, large = asked.column("cs").to_pylist(), asked.column("large").to_pylist()
+    pair_c = _unpacked([cs[i] for i in order.tolist()], [large[i] for i in order.tolist()])
+    low = w & np.uint64(LOW48)
+    by_low = np.argsort(low, kind="stable")
+    known = by_low[np.searchsorted(low[by_low], kept.column("w").to_numpy().view(np.uint64))]
+    mass, words_mass = np.zeros(len(w)), np.zeros(len(w))
+    mass[known], words_mass[known] = kept.column("mass").to_numpy(), kept.column("words_mass").to_numpy()
     # of each history: what its counts are divided by, and its backoff weight
     total = c.astype(np.float64)
     flat = (mass > 0) & (mass >= total - 1e-9)  # nothing is left for other words: one more count is
     total = np.where(flat, total + 1, total)
     with np.errstate(divide="ignore", invalid="ignore"):
         back = np.where(mass > 0, (1 - mass / np.maximum(total, 1)) / np.maximum(1 - words_mass, 1e-12), 1.0)
-    low = w & np.uint64(LOW48)
-    by_low = np.argsort(low, kind="stable")
     h_at = by_low[np.searchsorted(low[by_low], t.pair_h)]
     w_at = np.searchsorted(w, t.pair_w)
     word_c = c[w_at]
@@ -221,11 +241,14 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, chunk_d
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = stored(asked.repartition(parts, "w").mapInArrow(_count, COUNTED), "counts")
     del asked
-    gc.collect()
-    spark._jvm.System.gc()  # the chunks' questions are answered: their shuffle files can go
+    release(spark)  # the chunks' questions are answered: their shuffle files can go
     facts = {r["w"]: r["n"] for r in counted.where("chunk < 0").groupBy("w").agg(F.sum("c").alias("n")).collect()}
     model = Model(facts)
-    answers = counted.where("chunk >= 0").select("chunk", "w", "c", "cs", F.col("w").bitwiseAND(F.lit(LOW48)).alias("h"))
-    answers = answers.join(histories(counted, model), "h", "left").drop("h")
+    asked = counted.where("chunk >= 0")
+    # only histories with a pair that is kept are told apart from any other: a narrow join, and few rows of it go back
+    told = asked.select("chunk", F.col("w").bitwiseAND(F.lit(LOW48)).alias("h")).join(histories(counted, model), "h")
+    none = lambda kind: F.lit(None).cast(kind)
+    answers = asked.select("chunk", "w", "c", "cs", "large", none("double").alias("mass"), none("double").alias("words_mass"))
+    answers = answers.unionByName(told.select("chunk", F.col("h").alias("w"), none("long").alias("c"), none("binary").alias("cs"), none("binary").alias("large"), "mass", "words_mass"))
     scored = lambda left, right: _score(left, right, model)
     return d.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, SCORES)
