@@ -107,3 +107,28 @@ def test_without_training_rows(spark):
 def test_model_beats_the_base(spark):
     rows = queries.op10_katz(spark, "/root/testdata/sf0.01").where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+class Whole(Brute):
+    """Keeps every pair, whatever the operator's constants are."""
+
+    def __init__(self, rows):
+        super().__init__(rows)
+        self.kept = defaultdict(dict)
+        for (h, w), c in self.pairs.items():
+            self.kept[h][w] = self.d2.get(c, 1) * c
+
+
+def test_pairs_seen_once_are_kept(spark):
+    rows = [r[:2] for r in table("documents")]
+    b = Whole(rows)
+    got = {r["doc_id"]: r["score"] for r in queries.op10_katz(spark, SF).collect()}
+    assert got == pytest.approx({i: b.row(i, text)[-1] for i, text in rows}, rel=1e-9, abs=1e-9)
+
+
+def test_unseen_word_after_a_history_that_all_words_follow(spark):
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10][:40]
+    held = next(i for i in range(200) if not zlib.crc32(str(i).encode()) % 10)
+    rows = [(i, t) for i, t in zip(train, ["a a b b a", "b a a b b"] * 20)] + [(held, "a z")]
+    got = {r["doc_id"]: r["score"] for r in katz.score_documents(frame(spark, [(*r, None) for r in rows], SCHEMA)).collect()}
+    assert all(x <= 0 for x in got.values())

@@ -26,8 +26,8 @@ from waymark.llm.common import mix, part_of, release, slices, stored, word_hashe
 CHUNK_DOCS = 3000
 #: Counts up to this are discounted.
 K = 5
-#: Pairs seen so often or less in training aren't kept; their mass goes to the backoff.
-CUTOFF = 1
+#: Pairs seen so often or less in training aren't kept: every pair is, as those seen once are most of them.
+CUTOFF = 0
 START, END = mix(np.array([0x5354415254, 0x454E44], np.uint64)).tolist()
 #: Histories are stored as the low 48 bits of their hashes.
 LOW48 = (1 << 48) - 1
@@ -180,7 +180,7 @@ class Model:
 
 
 def histories(counted: DataFrame, model: Model) -> DataFrame:
-    """(h, mass, words_mass): sums over the pairs kept of a history: discounted counts, and word probabilities."""
+    """(h, mass, words_mass): sums over the pairs of a history: discounted counts, and word probabilities."""
     pairs = counted.where("size(own) > 0").select("c", F.explode(F.arrays_zip("own", "own_c")).alias("x")).select("c", "x.*")
     p = model.pick(F.col("c"), model.word_d) * F.col("c") / F.lit(float(max(1, model.tokens)))
     mass = model.pick(F.col("own_c"), model.pair_d) * F.col("own_c")
@@ -206,7 +206,9 @@ def _score(docs: pa.Table, asked: pa.Table, model: Model) -> pa.Table:
     flat = (mass > 0) & (mass >= total - 1e-9)  # nothing is left for other words: one more count is
     total = np.where(flat, total + 1, total)
     with np.errstate(divide="ignore", invalid="ignore"):
-        back = np.where(mass > 0, (1 - mass / np.maximum(total, 1)) / np.maximum(1 - words_mass, 1e-12), 1.0)
+        left = 1 - words_mass
+        left = np.where(left > 1e-12, left, 1.0)  # after a history that all words follow, only unseen ones share what is left
+        back = np.where(mass > 0, (1 - mass / np.maximum(total, 1)) / left, 1.0)
     h_at = by_low[np.searchsorted(low[by_low], t.pair_h)]
     w_at = np.searchsorted(w, t.pair_w)
     word_c = c[w_at]
@@ -245,7 +247,7 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, chunk_d
     facts = {r["w"]: r["n"] for r in counted.where("chunk < 0").groupBy("w").agg(F.sum("c").alias("n")).collect()}
     model = Model(facts)
     asked = counted.where("chunk >= 0")
-    # only histories with a pair that is kept are told apart from any other: a narrow join, and few rows of it go back
+    # a narrow join: what a history's pairs sum up to doesn't depend on who asks
     told = asked.select("chunk", F.col("w").bitwiseAND(F.lit(LOW48)).alias("h")).join(histories(counted, model), "h")
     none = lambda kind: F.lit(None).cast(kind)
     answers = asked.select("chunk", "w", "c", "cs", "large", none("double").alias("mass"), none("double").alias("words_mass"))
