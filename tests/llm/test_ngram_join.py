@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cases import frame, same_as_sql
@@ -101,3 +102,44 @@ def test_components(spark):
 def test_query_matches_sql(spark):
     got, want = same_as_sql(spark, "op6_ngram_join")
     assert got == want
+
+
+def test_sets_without_a_common_token_share_no_digest():
+    rng = np.random.default_rng(6)
+    bands = ngram_join.Bands(4, 5)
+    seen = set()
+    for size in (1, 4, 30, 150, 300, 300, 700, 2000, 2000, 5000):
+        got = set(bands.digests(np.unique(rng.integers(1 << 63, size=size, dtype=np.uint64))).tolist())
+        assert not got & seen
+        seen |= got
+
+
+@pytest.mark.parametrize("num,den", [(9, 10), (4, 5), (1, 2), (1, 10)])
+def test_linked_sets_share_a_digest(num, den):
+    rng = np.random.default_rng(7)
+    bands = ngram_join.Bands(num, den)
+    for _ in range(300):
+        x = np.unique(rng.integers(1 << 63, size=int(2 ** rng.uniform(0, 11)), dtype=np.uint64))
+        gone = int(rng.integers(0, len(x) * (den - num) // den + 1))
+        shared = len(x) - gone
+        new = rng.integers(1 << 63, size=shared * den // num - len(x), dtype=np.uint64)  # as many as the threshold lets
+        y = np.unique(np.concatenate([x[gone:], new]))
+        if den * shared >= num * (len(x) + len(y) - shared) and gone + len(new):
+            assert np.isin(bands.digests(x), bands.digests(y)).any()
+
+
+def test_large_cluster_by_chains_of_passages(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TREE_SETS", 8)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 1)
+    met = []
+    monkeypatch.setattr(ngram_join, "meetings", lambda *a, f=ngram_join.meetings: met.append(f(*a)) or met[-1])
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(6)]
+    rows = []
+    for i in range(150):
+        own = [f"d{i}w{k}" for k in range(rng.randint(8, 14))]
+        rows.append((2 * i, " ".join([rng.choice(passages), *own, rng.choice(passages)]), None))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join([rows[-1][1], "end"]), None))
+    assert run(spark, rows, 5, 4, 5) == brute(rows, 5, 4, 5)
+    assert met and 0 < met[0].count() < 150 * 150 / 8

@@ -1,19 +1,21 @@
 """N-gram Jaccard join with signature trees.
 
 Documents are sets of hashed word shingles. Two sets with a Jaccard similarity of
-t or more differ in so few shingles that, split by hash into more blocks than
-that, some block is the same in both; sets that share a block's digest, directly
-or through others, form a cluster. In a cluster a signature tree finds the links:
+t or more differ in so few shingles that, split by hash into blocks of which more
+than that aren't empty, some block that isn't is the same in both; sets that share
+a block's digest, directly or through others, form a cluster. In a cluster a signature tree finds the links:
 its nodes hold OR-combined token bitmaps and size ranges, and a traversal of
 pairs of nodes prunes those whose largest possible overlap is too small. What is
-left is compared exactly. No link between different sets is lost.
+left is compared exactly. In a large cluster, most of whose sets may be linked by
+chains of shared passages only, trees over parts of it come first, and what they
+leave apart meets where it shares a digest. No link between different sets is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from waymark.llm.components import components
 
 #: Sizes in one band differ by this factor at most; a band has one number of blocks.
 BAND = 1.5
-#: Blocks beyond those that must match, so that up to so many empty ones need no digest.
+#: Blocks beyond those that may differ, at least; bands whose sets leave more of them empty have more.
 SPARE = 2
 #: Sets in one tree, at most; clusters that are larger are dealt out to several.
 TREE_SETS = 256
@@ -59,31 +61,52 @@ class Bands:
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * BAND)))
         self.differ = (1 - self.t) / (1 + self.t)
-
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(band, blocks) of each band in which a set of this size meets its partners."""
+        self.counts: dict[int, int] = {}
+
+    def blocks(self, band: int) -> int:
+        """More than the tokens that may differ, by the empty blocks that the band's largest sets leave and some more; 0: there is no such number."""
+        largest = self.edges[band + 1] - 1
+        differ, spare = int(self.differ * 2 * largest), SPARE
+        while differ + 1 + spare <= largest:
+            empty = (differ + 1 + spare) * exp(-largest / (differ + 1 + spare))
+            if empty + 4 * sqrt(empty) <= spare:
+                return differ + 1 + spare
+            spare += 1 + spare // 16
+        return 0
+
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, blocks, tokens that may differ) of each band in which a set of this size meets its partners."""
         i = k = int(np.searchsorted(self.edges, size, "right")) - 1
         out = []
         while k == i or size >= self.t * self.edges[k]:  # partners meet in the band of the larger one
-            largest = self.edges[k + 1] - 1
-            if int(self.differ * (largest + (size if k > i else largest))):  # else partners are the same set
-                out.append((k, int(self.differ * 2 * largest) + 1 + SPARE))
+            partner = min(self.edges[k + 1] - 1, int(size / self.t))
+            if differ := int(self.differ * (size + partner)):  # else partners are the same set
+                if k not in self.counts:
+                    self.counts[k] = self.blocks(k)
+                out.append((k, self.counts[k], differ))
             k += 1
         return out
 
     def digests(self, tokens: np.ndarray) -> np.ndarray:
+        """Digests of the blocks that aren't empty, so that two sets with a common one have tokens in common.
+
+        Of two linked sets, one with more such blocks than tokens that may differ has
+        one without such a token, and the other has the same. A set with fewer also
+        has a digest for each token; two of these have a token in common.
+        """
         out = []
-        for band, blocks in self.of(len(tokens)):
-            block = (tokens % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            mixed = mix(tokens + np.uint64(0xA0761D6478BD642F))[order]
-            starts = np.flatnonzero(np.diff(block[order], prepend=-1))
-            sums = np.add.reduceat(mixed, starts)
-            used = block[order][starts]
-            if blocks - len(used) > SPARE:
-                empty = np.setdiff1d(np.arange(blocks), used)
-                used, sums = np.concatenate([used, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-            out.append(mix(sums + used.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.uint64(band + 1)))
+        mixed = mix(tokens + np.uint64(0xA0761D6478BD642F))
+        for band, blocks, differ in self.of(len(tokens)):
+            used = np.zeros(0, np.int64)
+            if blocks:
+                block = (tokens % np.uint64(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+                used = block[order][starts]
+                sums = np.add.reduceat(mixed[order], starts)
+                out.append(mix(sums + used.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB) + np.uint64(band + 1)))
+            if len(used) <= differ:
+                out.append(mix((mixed ^ np.uint64(0x8EBC6AF09C88C6E3)) + np.uint64(band + 1)))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -253,6 +276,26 @@ def tree_links(rows: DataFrame, keys: list[str], num: int, den: int) -> DataFram
     return rows.groupBy(*keys).applyInArrow(link, "a long, b long")
 
 
+def meetings(rows: DataFrame, all_sets: DataFrame) -> DataFrame:
+    """rows (rep, known, tokens) dealt out to the groups of those that share a digest, without groups that are connected already.
+
+    Groups with the same members are one. One of more than TREE_SETS is dealt out to
+    trees that meet in pairs: digest, i, j.
+    """
+    ids = rows.select("rep", "known")
+    digests = likely(all_sets.select(F.col("doc_id").alias("rep"), "digests"), "rep", ids, "rep").join(ids, "rep")
+    mine = stored(digests.select("rep", "known", F.explode("digests").alias("digest")), "digests")
+    part = lambda salt: F.sum(F.shiftright(F.xxhash64("rep", F.lit(salt)), 24))
+    groups = mine.groupBy("digest").agg(F.count("*").alias("g"), part(0).alias("x"), part(1).alias("y"), F.min("known").alias("least"), F.max("known").alias("most"))
+    groups = groups.where("least != most").groupBy("g", "x", "y").agg(F.min("digest").alias("digest"))
+    trees = F.ceil(F.col("g") / TREE_SETS).cast("int")
+    spot = F.pmod(F.shiftright(F.pmod(F.xxhash64("rep"), F.lit(1 << 40)), 20), trees).cast("int")
+    met = mine.join(groups.select("digest", "g"), "digest").select("digest", "rep", trees.alias("trees"), spot.alias("spot"))
+    met = met.withColumn("other", F.explode(F.when(F.col("trees") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("trees") - 1))))
+    met = met.where("trees = 1 or spot != other").select("digest", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"), "rep")
+    return met.join(rows, "rep")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs.
 
@@ -280,11 +323,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     parts = large.groupBy("cluster").agg(F.min("known").alias("x"), F.max("known").alias("y"))
     open_ = stored(large.join(parts.where("x != y").select("cluster"), "cluster", "left_semi"), "open-sets")
     if not open_.isEmpty():
-        # trees of one cluster that are still apart meet in pairs
-        mine = F.pmod(F.shiftright(h, 20), trees).cast("int")
-        met = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), trees - 1)))
-        met = met.where("mine != other").select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "known", "tokens")
-        more = tree_links(met, ["cluster", "i", "j"], num, den)
+        more = tree_links(meetings(open_.select("rep", "known", "tokens"), all_sets), ["digest", "i", "j"], num, den)
         found = components(links.unionByName(stored(more, "tree-links")))
     reach = reps.select(*same, "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = all_sets.select("doc_id", *same).join(reach, same, "left")
