@@ -77,7 +77,7 @@ def test_odd_texts(spark):
     assert got == brute(rows, 3, 9, 10)
     assert got[1] == (0, 1) and got[5] == (1, 4) and got[7] == (1, 6) and got[9] == (1, 9)
     assert run(spark, [], 3, 9, 10) == {}
-    assert run(spark, [(None, "a b c", None), (1, "a b c", None)], 3, 9, 10) == {None: (None, None), 1: (1, 1)}
+    assert run(spark, [(None, "a b c", None), (1, "a b c", None)], 3, 9, 10) == {None: (1, None), 1: (1, 1)}
 
 
 def test_components(spark):

@@ -79,14 +79,15 @@ def likely(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     what is broadcast has a fixed bound. With more ids the filter lets more rows
     pass, and takes nothing from the join's result.
     """
-    bits = min(FILTER_BITS, max(1 << 15, 1 << (64 * ids.count()).bit_length()))
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (64 * ids.count()).bit_length()))
     spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
-    spots = ids.select(spot(id_col).alias("spot"))
-    maps = spots.groupBy(F.expr("spot div 32768").alias("_map")).agg(F.bitmap_construct_agg(F.col("spot") % 32768).alias("_bits"))
-    r = rows.withColumn("_spot", spot(key)).withColumn("_map", F.expr("_spot div 32768")).withColumn("_at", (F.col("_spot") % 32768).cast("int"))
-    byte = "int(conv(hex(substring(_bits, _at div 8 + 1, 1)), 16, 10))"
-    r = r.join(F.broadcast(maps), "_map").where(f"shiftright({byte}, _at % 8) % 2 = 1")
-    return r.drop("_spot", "_map", "_at", "_bits")
+    at = ids.select(spot(id_col).alias("spot")).select(F.expr("spot div 64").alias("word"), F.expr("shiftleft(1L, int(spot % 64))").alias("bit"))
+    words = at.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    filled = F.map_from_entries(F.collect_list(F.struct((F.col("word") % 64).cast("int"), "bits")))
+    maps = words.groupBy(F.expr("word div 64").alias("_map")).agg(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at(filled, i), F.lit(0).cast("long"))).alias("_bits"))
+    r = rows.withColumn("_spot", spot(key)).withColumn("_map", F.expr("_spot div 4096"))
+    r = r.join(F.broadcast(maps), "_map").where("getbit(_bits[int(_spot div 64 % 64)], int(_spot % 64)) = 1")
+    return r.select(*rows.columns)
 
 
 def ascii_lower(text: Column) -> Column:
