@@ -25,10 +25,10 @@ ACTIVITIES = {
     "DRIVING": ("VEHICLE", 220.0),
     "TAXI": ("VEHICLE", 220.0),
     "TRANSIT": ("VEHICLE", 350.0),
-    "FERRY": ("WATER", 120.0),
+    "FERRY": ("VEHICLE", 120.0),
     "FLIGHT": ("AIR", 1300.0),
-    "STILL": ("OTHER", 12.0),
-    "UNKNOWN": ("OTHER", 220.0),
+    "STILL": ("STILL", 12.0),
+    "UNKNOWN": ("UNKNOWN", 220.0),
 }
 
 # Categories of places in their order, and the group of each.
@@ -66,7 +66,7 @@ def lookup(key: Column, values: dict, default) -> Column:
 
 
 def group_of(activity: Column) -> Column:
-    return lookup(activity, {k: g for k, (g, _) in ACTIVITIES.items()}, "OTHER")
+    return lookup(activity, {k: g for k, (g, _) in ACTIVITIES.items()}, "UNKNOWN")
 
 
 def ceiling_kmh(activity: Column) -> Column:

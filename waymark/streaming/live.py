@@ -145,7 +145,7 @@ class Recorder:
         motion, mps = self.motion(at, rule)
         reason = "no_gnss" if x["gnss_ok"] is False else "accuracy" if x["accuracy"] is not None and x["accuracy"] >= quality.max_accuracy_m else None
         if reason is None and self.good_ts is not None and not self.pending:
-            top = ACTIVITIES.get(self.confirmed, ("OTHER", 220.0))[1]
+            top = ACTIVITIES.get(self.confirmed, ("UNKNOWN", 220.0))[1]
             if motion == "MOVING":
                 top = max(top, min(mps * 3.6 * quality.raised_by, quality.raised_most_kmh))
             metres, ms = float(near_m(self.good_lat, self.good_lon, lat, lon)), at - self.good_ts
@@ -215,7 +215,7 @@ class Recorder:
 
 
 def group(activity: str | None) -> str:
-    return ACTIVITIES.get(activity, ("OTHER", 0.0))[0]
+    return ACTIVITIES.get(activity, ("UNKNOWN", 0.0))[0]
 
 
 def contradicts(raw: str, motion: str, mps: float) -> bool:
