@@ -23,7 +23,9 @@ SLICE_BYTES = 4 << 20
 #: Bits of a filter that is broadcast, at most: 16 MB.
 FILTER_BITS = 1 << 27
 
-_MASK = (1 << 64) - 1
+#: Spark's own setting for removing the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 
@@ -45,10 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the lineage."""
+    """Writes a table to the shared folder and reads it back, which cuts the lineage.
+
+    Shuffle files that only the write needed go when it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,6 +100,17 @@ def likely(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     return r.select(*rows.columns)
 
 
+def sampled(rows: DataFrame, bound: int) -> DataFrame:
+    """About ``bound`` distinct rows at most: those whose texts have the lowest hashes, a share of bound / count.
+
+    Hashes are of the text alone, so that neither rows without an id nor a text that
+    very many rows repeat make the sample larger.
+    """
+    share = min(1.0, bound / max(1, rows.count()))
+    low = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    return rows.where(low).dropDuplicates()
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -120,12 +141,18 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+    """The first n powers of base, kept by the process."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < n:
+        held = np.full(n + n // 4 + 1, base, np.uint64)
+        held[0] = 1
+        np.multiply.accumulate(held, out=held)
+        _POWERS[base] = held
+    return held[:n]
 
 
 def window_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
