@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BYTE_CODES, shared_dir, slices, window_hashes
+from waymark.llm.common import BYTE_CODES, discard, shared_dir, slices, stored, window_hashes
 
 #: Ids of chunks of text that a task remembers, at most.
 CACHE_IDS = 4_000_000
@@ -47,10 +47,12 @@ def chunk_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class CachedEncoder:
     """Encodes texts with the tokenizers library, each distinct chunk once.
 
-    A byte-level BPE first cuts a text into words with the white space before them:
-    it always cuts between white space and what isn't white space before it, and ids
-    never reach over a cut. So chunks encode to the same ids as in their text. They
-    are told apart by 64-bit hashes.
+    A byte-level BPE first takes out its added tokens, then cuts a text into words
+    with the white space before them: it always cuts between white space and what
+    isn't white space before it, and ids never reach over a cut. So chunks encode to
+    the same ids as in their text, as long as no added token holds white space or
+    takes up what surrounds it. Chunks are found by 64-bit hashes and compared byte
+    by byte; where hashes collide, whole texts are encoded.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -58,16 +60,18 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end_id = end_id
         vocabulary = self.tokenizer.get_vocab()
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = any(t.lstrip or t.rstrip or t.content.split() != [t.content] for t in added)
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how byte-level vocabularies write a space
         self.clear()
 
     def clear(self) -> None:
         self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.text_at, self.text_n, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         self.ids = np.array([self.end_id], self.kind)
 
     def encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,27 +101,49 @@ class CachedEncoder:
         ids, n = self.encoded([t for t, p in zip(texts, plain) if p])
         rest = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
         n = np.concatenate([n, np.array([len(x.ids) for x in rest], np.int64)])
-        hashes = np.concatenate([hashes[plain], hashes[~plain]])
         at = len(self.ids) + np.cumsum(n) - n
         self.ids = np.concatenate([self.ids, ids, np.array([i for x in rest for i in x.ids], self.kind)])
-        self.hashes, self.at, self.n = (np.concatenate(x) for x in ((self.hashes, hashes), (self.at, at), (self.n, n)))
-        order = np.argsort(self.hashes)
-        self.hashes, self.at, self.n = self.hashes[order], self.at[order], self.n[order]
+        turn = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        size = np.array([len(c) for c in chunks], np.int64)
+        text_at = len(self.bytes) + np.cumsum(size) - size
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(chunks), np.uint8)])
+        new = (hashes[turn], at, n, text_at[turn], size[turn])
+        rows = [np.concatenate(x) for x in zip((self.hashes, self.at, self.n, self.text_at, self.text_n), new)]
+        order = np.argsort(rows[0])
+        self.hashes, self.at, self.n, self.text_at, self.text_n = (x[order] for x in rows)
+
+    def plainly(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        done = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        ids = np.array([i for x in done for i in (*x.ids, self.end_id)], self.kind)
+        return ids, np.array([len(x.ids) + 1 for x in done], np.int64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, each text's with the end id; how many each text has."""
+        if self.whole:
+            return self.plainly(texts)
         data = np.frombuffer(b"".join(texts), np.uint8)
         bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         starts = chunk_starts(data, bounds)
-        ends = np.append(starts[1:], len(data))
-        hashes, first, of = np.unique(window_hashes(BYTE_CODES[data], starts, ends), return_index=True, return_inverse=True)
+        size = np.diff(starts, append=len(data))
+        hashes, first, of = np.unique(window_hashes(BYTE_CODES[data], starts, starts + size), return_index=True, return_inverse=True)
+        # whether each chunk is the same as the first one with its hash
+        if (size != size[first][of]).any() or (data != data[np.repeat(starts[first][of] - starts, size) + np.arange(len(data))]).any():
+            return self.plainly(texts)
         if len(self.ids) > CACHE_IDS:
             self.clear()
         near = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         new = self.hashes[near] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
         if new.any():
-            self.learn(hashes[new], [data[starts[i] : ends[i]].tobytes() for i in first[new].tolist()])
-        k = np.searchsorted(self.hashes, hashes)[of]
+            self.learn(hashes[new], [data[starts[i] : starts[i] + size[i]].tobytes() for i in first[new].tolist()])
+        row = np.searchsorted(self.hashes, hashes)
+        # and the same as the one that was learned
+        a, n = starts[first], size[first]
+        if (n != self.text_n[row]).any():
+            return self.plainly(texts)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(a, n) + step] != self.bytes[np.repeat(self.text_at[row], n) + step]).any():
+            return self.plainly(texts)
+        k = row[of]
         until = np.searchsorted(starts, bounds[1:])  # a text's end id stands behind its last chunk
         at, n = np.insert(self.at[k], until, 0), np.insert(self.n[k], until, 1)
         total = np.cumsum(n)
@@ -139,29 +165,44 @@ def _put(path: str, parts: list[bytes]) -> None:
     os.replace(f"{path}.part", path)
 
 
+def encoded_docs(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, n and ids (little-endian, as the files hold them) of each row, encoded where it is read."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = None
+        for batch in batches:
+            encoder = encoder or CachedEncoder(tokenizer, end_id)
+            for first, texts in slices(batch.column(1)):
+                codes, n = encoder(texts)
+                ends = np.concatenate(([0], np.cumsum(n))) * codes.itemsize
+                ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(codes)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n), ids.cast(pa.binary())], ["doc_id", "n", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n long, ids binary")
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> list[dict]:
-    """Encodes whole texts in ascending doc_id order and writes the shards; returns bases.json.
+    """Encodes whole texts and writes the shards in ascending doc_id order; returns bases.json.
 
     docs: doc_id long, text string; other columns are ignored. A null text is
     empty and holds only the end id. A null doc_id sorts first and is written as
-    -1. Rows with the same doc_id are all written, in the order of their texts.
-    An empty table gives an empty list. Each attempt of a task writes files of
-    its own, and the manifest names those of the attempt that ended.
+    -1. Rows with the same doc_id are all written, those with fewer ids first, then
+    in the order of their ids' bytes. An empty table gives an empty list. Each
+    attempt of a task writes files of its own, and the manifest names those of the
+    attempt that ended. Texts are encoded where they are read; what is sorted is ids.
     """
     root = _local(folder)
     os.makedirs(root, exist_ok=True)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = None, uuid.uuid4().hex
-        lengths, ids, path = [], [], f"{root}/{shard}"
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, lengths, ids = uuid.uuid4().hex, [], []
+        path = f"{root}/{shard}"
         with open(f"{path}.bin.part", "wb") as out:
             for batch in batches:
-                encoder = encoder or CachedEncoder(tokenizer, end_id)
                 ids.append(batch.column(0).fill_null(-1).to_numpy().astype("<i8"))
-                for _, texts in slices(batch.column(1)):
-                    codes, n = encoder(texts)
-                    out.write(codes.tobytes())
-                    lengths.append(n)
+                lengths.append(batch.column(1).to_numpy())
+                for codes in batch.column(2):
+                    out.write(codes.as_buffer())
         if not lengths:
             os.remove(f"{path}.bin.part")
             return
@@ -173,14 +214,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
         yield pa.RecordBatch.from_pydict(row)
 
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    # one row a shard, in order of partitions and so of doc_id; sorting here would encode once more to find ranges
-    shards = [x.asDict() for x in dealt.mapInArrow(encode, MANIFEST).collect()]
+    encoded = stored(encoded_docs(docs, tokenizer, end_id), "encoded")
+    dealt = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    # one row a shard, in order of partitions and so of doc_id; sorting here would write once more to find ranges
+    shards = [x.asDict() for x in dealt.mapInArrow(write, MANIFEST).collect()]
     base = 0
     for x in shards:
         x["base"] = base
         base += x["n_tokens"]
     _put(f"{root}/bases.json", [json.dumps({"end_id": end_id, "shards": shards}).encode()])
+    discard(encoded)
     return shards
 
 
