@@ -81,3 +81,32 @@ def test_query_matches_sql_and_itself(spark):
     assert near(got) == near(want)
     again = sorted(map(tuple, queries.op8_mixing(spark, SF).collect()))
     assert again == sorted(map(tuple, queries.op8_mixing(spark, SF).collect()))
+
+
+def test_inclusion_is_in_proportion_to_size(spark):
+    rows = [(i, "ab"[i % 3 == 0], (10, 20, 40, 5000)[i % 4 if i % 97 else 3], None) for i in range(24_000)]
+    rows = [r if r[2] < 5000 or r[0] % 97 == 0 else (r[0], r[1], 80, None) for r in rows]
+    got = run(spark, rows)
+    sizes = {s: sum(r[2] for r in rows if r[1] == s) for s in "ab"}
+    want = targets(sizes)
+    for s in "ab":
+        rate = want[s] / sizes[s]
+        more = {}
+        for r in got:
+            if r["source"] == s:
+                more.setdefault(r["size"], []).append(r["copies"] - int(rate))
+        need, low, high = want[s] - int(rate) * sizes[s], 0.0, 1.0
+        for _ in range(100):  # the rate at which min(1, rate * size) makes up the words that are needed
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(min(1, mid * r[2]) * r[2] for r in rows if r[1] == s) < need else (low, mid)
+        for n, x in more.items():
+            assert sum(x) / len(x) == pytest.approx(min(1, low * n), abs=0.06 if n < 5000 else 0.12), (s, n)
+
+
+def test_names_that_clash(spark):
+    rows = [(i, "ab"[i % 2], 10 + i % 7) for i in range(200)]
+    plain = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()}
+    names = ["need", "whole", "p", "cuts", "weight", "n", "cap", "level", "u"]
+    more = mixing.mix_sources(spark.createDataFrame([(*r, *range(9), 7.0, 8) for r in rows], f"doc_id long, source string, size long, {', '.join(f'{x} int' for x in names)}, target double, taken int"))
+    assert {r["doc_id"]: r["taken"] for r in more.collect()} == plain and more.columns == ["doc_id", "source", "size", *names, "source_size", "target", "copies", "taken"]
+    assert all([r[x] for x in names] == list(range(9)) and r["target"] > 8 for r in more.collect())

@@ -39,14 +39,20 @@ SHINGLES = f"""with recursive w as (select doc_id, regexp_extract_all(translate(
   {REACH}
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) as component_id from documents d left join n on n.doc_id = d.doc_id left join (select a, min(b) as low from reach group by a) m on m.a = d.doc_id"""
 
-MIXING = f"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::bigint as size, (('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 13))::bigint + 0.5e0) / 4503599627370496e0 as u from documents),
+MIXING = f"""with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, {WORDS})), 0)::bigint as size, (('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || '|' || coalesce(len(regexp_extract_all(text, {WORDS})), 0)), 1, 13))::bigint + 0.5e0) / 4503599627370496e0 as u from documents),
   s as (select source, sum(size)::bigint as source_size, [3e0, 1e0, 2e0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight from d group by source),
   l as (select *, 2e0 * source_size as cap, (1.5e0 * sum(source_size) over () - coalesce(sum(2e0 * source_size) over (order by 2e0 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0e0))
     / sum(weight) over (order by 2e0 * source_size / weight, source nulls last rows between current row and unbounded following) as level from s),
   t as (select *, case when cap <= level * weight then cap else weight * (select arg_min(level, cap / weight) from l where cap > level * weight) end as target from l),
-  p as (select d.*, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0e0 end as rate from d join t on d.source is not distinct from t.source),
-  o as (select *, floor(rate) as whole, target - floor(rate) * source_size as need, coalesce(sum(size) over (partition by source order by u, doc_id, size rows between unbounded preceding and 1 preceding), 0) as ahead from p)
-select doc_id, size, source_size, target, ((whole + case when ahead + size / 2e0 <= need then 1 else 0 end) * size)::bigint as taken from o"""
+  p as (select d.*, t.source_size, t.target, floor(case when t.source_size > 0 then t.target / t.source_size else 0e0 end) as whole from d join t on d.source is not distinct from t.source),
+  q as (select *, target - whole * source_size as need from p),
+  z as (select source, size, any_value(need) as need, count(*)::hugeint as n from q where size > 0 group by source, size),
+  y as (select source, size, need - coalesce(sum(n * size) over (partition by source order by size desc rows between unbounded preceding and 1 preceding), 0)::double as rest, sum(n * size * size) over (partition by source order by size desc rows between current row and unbounded following)::double as squares from z),
+  i as (select source, max(size) as largest, arg_max(rest / squares, size) as rate from y where rest * size <= squares group by source),
+  o as (select q.*, case when size > coalesce(largest, 0) then case when size > 0 then 1e0 else 0e0 end else rate * size end as p from q left join i on q.source is not distinct from i.source),
+  r as (select *, case when p >= 1 then 0e0 when p > 0 then (u / (1 - u)) / (p / (1 - p)) else 'infinity'::double end as ratio from o),
+  a as (select *, coalesce(sum(size) over (partition by source order by ratio, doc_id, size rows between unbounded preceding and 1 preceding), 0) as ahead from r)
+select doc_id, size, source_size, target, ((whole + case when ahead + size / 2e0 <= need then 1 else 0 end) * size)::bigint as taken from a"""
 
 URLS = f"""with r(host, path, verdict) as (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
   p as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), {ALPHABETS}) as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path, row_number() over () as n from pages),
