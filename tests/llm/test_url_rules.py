@@ -27,7 +27,7 @@ def judge(url, rules):
 
 
 def run(spark, urls, rules, partitions=None):
-    pages = frame(spark, [(i, u, None) for i, u in enumerate(urls)], SCHEMA).drop("stack")
+    pages = frame(spark, [(i, u, None) for i, u in enumerate(urls)], SCHEMA)
     out = url_rules.judge_urls(pages, spark.createDataFrame(rules, url_rules.RULES), partitions=partitions)
     return {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
 
@@ -60,3 +60,22 @@ def test_empty(spark):
 def test_query_matches_sql(spark):
     got, want = same_as_sql(spark, "op9_url_rules")
     assert got == want
+
+
+def test_many_rules_of_one_host(spark):
+    rng = random.Random(8)
+    part = lambda: rng.choice("abcdefgh") * rng.randint(1, 2)
+    rules = list({("x.com", p): ("x.com", p, rng.choice(["allow", "block"])) for p in ("/" + "/".join(part() for _ in range(rng.randint(0, 5))) for _ in range(3000))}.values())
+    urls = [f"http://{rng.choice(['x.com', 'a.x.com', 'y.com', 'com'])}/{'/'.join(part() for _ in range(rng.randint(0, 6)))}" for _ in range(300)]
+    assert run(spark, urls, rules) == {i: judge(u, rules) for i, u in enumerate(urls)}
+
+
+def test_names_that_clash(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/es/", "h", "p", "r", "v", "k", 5, "s")], "page_id int, url string, host string, path string, rule string, verdict string, key string, rank int, value string")
+    got = url_rules.judge_urls(pages, spark.createDataFrame(URL_RULES, url_rules.RULES)).first().asDict()
+    assert got == {"page_id": 1, "url": "http://a.net/es/", "key": "k", "rank": 5, "value": "s", "host": "a.net", "path": "/es/", "rule": "net/es/", "verdict": "block"}
+
+
+def test_rules_that_repeat(spark):
+    rules = [("a.com", "/x", "block"), ("A.com", "/x", "allow"), ("a.com", "/x", "block"), ("a.com", "/", "block")]
+    assert run(spark, ["http://a.com/xy", "http://a.com/z"], rules) == {0: ("a.com", "/xy", "a.com/x", "allow"), 1: ("a.com", "/z", "a.com/", "block")}
