@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from waymark.llm.common import part_of, slices
+from waymark.llm.common import part_of, sampled, slices
 
 #: Language families; a language that isn't listed is a family of its own.
 FAMILIES = {
@@ -144,13 +144,11 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
 
 
 def train(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model:
-    """Fits on about ``bound`` labelled documents: those with the lowest hashes of their ids.
+    """Fits on about ``bound`` labelled documents at most: distinct ones, those with the lowest hashes of their texts.
 
     docs: doc_id, text, lang; rows with a null lang or text are left out.
     """
-    rows = docs.where("lang is not null and text is not null")
-    share = min(1.0, bound / max(1, rows.count()))
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    rows = docs.where("lang is not null and text is not null").select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,18 +166,20 @@ def train(docs: DataFrame, bound: int = TRAIN_DOCS) -> Model:
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     # the sample is bounded, so one task fits on it, and the driver gets weights only
-    sample = rows.where(low).select("lang", "text").mapInArrow(features, "lang string, x binary").repartition(1)
+    sample = sampled(rows, bound).mapInArrow(features, "lang string, x binary").repartition(1)
     got = sample.mapInArrow(fit_all, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else fit(np.zeros((0, FEATURES), np.float32), [])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred and score (0 to 1) to all rows of docs; of its columns only text is read.
+def predict(docs: DataFrame, model: Model, lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Adds lang_col and score_col (0 to 1) to all rows of docs; of its columns only text is read.
 
     A null text or one without a letter is 'und' with score 0. Repeated rows get
-    the same answer, an empty table gives an empty result, other columns are kept.
+    the same answer, an empty table gives an empty result, other columns are kept;
+    columns with the names of the added ones are replaced.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c not in (lang_col, score_col)]
+    docs = docs.select(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x models, a fixed size
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +192,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     if not has_letter(text[:4096]) and not has_letter(text):
                         langs[i], scores[i] = UNKNOWN, 0.0
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, lang_col, score_col])
 
-    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(judge, StructType([*docs.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())]))
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.common import sampled
+
 #: Kinds in their order, patterns, and least lengths (of a group).
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -29,24 +31,61 @@ RANDOM_STRINGS = 4_000
 LEAST, LEAST_PER_CHAR = 12.0, 0.5
 
 
-def found(text: Column, pattern: str, length: Column | None = None) -> Column:
+#: Elements that running() folds one by one; what it copies grows with an array's size times this.
+FOLD = 256
+
+
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body uses it in functions of elements."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op, zero: Column) -> Column:
+    """For each element what op makes of all before it; op is associative. Folds blocks first, then within blocks."""
+
+    def before(v: Column, first: Column) -> Column:
+        start = F.struct(first.alias("acc"), F.slice(F.array(zero), F.lit(1), F.lit(0)).alias("out"))
+        return F.aggregate(v, start, lambda s, x: F.struct(op(s["acc"], x).alias("acc"), F.concat(s["out"], F.array(s["acc"])).alias("out")))["out"]
+
+    def folded(v: Column) -> Column:
+        part = lambda k: F.slice(v, k * FOLD + 1, F.lit(FOLD))
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")))
+        bases = before(F.transform(blocks, lambda k: F.aggregate(part(k), zero, op)), zero)
+        return F.flatten(F.transform(bases, lambda base, k: before(part(k), base)))
+
+    return let(values, folded)
+
+
+def found(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of a pattern's leftmost matches, in code points.
 
     The pieces between matches and the matches take turns, so running sums of their
     lengths are the positions.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("match"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+
+    def spans(x: Column) -> Column:
+        gap = lambda i: F.length(F.get(x["gaps"], i))
+        before = running(F.transform(x["matches"], lambda m, i: gap(i) + F.length(m)), lambda a, b: a + b, F.lit(0))
+        at = lambda b, i: b["before"] + gap(i)
+        pairs = F.arrays_zip(before.alias("before"), x["matches"].alias("match"))
+        return F.transform(pairs, lambda b, i: F.struct(at(b, i).alias("start"), (at(b, i) + F.length(b["match"])).alias("end"), b["match"].alias("value")))
+
+    return F.when(text.rlike(pattern), let(both, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of others: in order of their ends, with the others' starts between, by the largest end of the others so far."""
+    kind = "struct<at:int,other:boolean,start:int,end:int,value:string>"
+    mine = F.transform(spans, lambda s: F.struct(s["end"], F.lit(False), s["start"], s["end"], s["value"]).cast(kind))
+    theirs = F.transform(others, lambda s: F.struct(s["start"], F.lit(True), s["start"], s["end"], F.lit(None)).cast(kind))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["gap"])
-        b = a + F.coalesce(F.length(x["match"]), F.lit(0))
-        return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), b.alias("end"), x["match"].alias("value")))).alias("spans"))
+    def kept(x: Column) -> Column:
+        reach = running(F.transform(x, lambda s: F.when(s["other"], s["end"]).otherwise(-1)), lambda a, b: F.greatest(a, b), F.lit(-1))
+        free = F.filter(F.arrays_zip(x.alias("s"), reach.alias("reach")), lambda p: ~p["s"]["other"] & (p["reach"] <= p["s"]["start"]))
+        return F.transform(free, lambda p: F.struct(p["s"]["start"].alias("start"), p["s"]["end"].alias("end"), p["s"]["value"].alias("value")))
 
-    spans = F.filter(F.aggregate(both, start, step)["spans"], lambda s: s["value"].isNotNull())
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), let(F.array_sort(F.concat(mine, theirs)), kept)).otherwise(spans)
 
 
 def of_kind(spans: Column, kind: str) -> Column:
@@ -79,12 +118,10 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 def identifiers(docs: DataFrame, bound: int = TRAIN_DOCS) -> DataFrame:
     """Labelled samples of ordinary identifiers: words without digits of about ``bound`` documents.
 
-    The documents are those with the lowest hashes of their ids, a share of
-    bound / count; the sample's size doesn't grow with the table.
+    The documents are distinct texts with the lowest hashes, a share of bound / count;
+    the sample's size doesn't grow with the table.
     """
-    share = min(1.0, bound / max(1, docs.count()))
-    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    words = docs.where(low).select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("s"))
+    words = sampled(docs.where("text is not null").select("text"), bound).select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("s"))
     return words.where(~F.col("s").rlike("[0-9]"))
 
 
@@ -99,10 +136,12 @@ def train(random: DataFrame, ordinary: DataFrame, smooth: float = 1.0) -> list[f
 
 
 def log_ratio(s: Column, ratios: list[float]) -> Column:
-    weights = F.lit(ratios)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1)))
-    steps = F.sequence(F.lit(1), F.length(s) - 1)
-    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.get(weights, code(i) * N + code(i + 1)))
+    """Sum over neighbouring characters, in one pass over the characters."""
+    weights, codes = F.lit(ratios), F.lit([ALPHABET.find(chr(i)) + 1 for i in range(128)])
+    code = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.coalesce(F.get(codes, F.ascii(c)), F.lit(0)))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    step = lambda acc, c: F.struct(c.alias("last"), (acc["sum"] + F.when(acc["last"] >= 0, F.get(weights, acc["last"] * N + c)).otherwise(0.0)).alias("sum"))
+    return F.aggregate(code, start, step)["sum"]
 
 
 def scan(docs: DataFrame, ratios: list[float], least: float = LEAST, per_char: float = LEAST_PER_CHAR) -> DataFrame:
@@ -120,9 +159,8 @@ def scan(docs: DataFrame, ratios: list[float], least: float = LEAST, per_char: f
     d = d.withColumn("assign", of_kind(F.filter(found(F.col("text"), ASSIGN), long_enough), "assign"))
     d = d.withColumn("access", of_kind(found(F.col("text"), ACCESS), "access")).withColumn("hex", of_kind(found(F.col("text"), HEX), "hex"))
     d = d.withColumn("base", F.array_sort(F.concat("assign", "access", "hex"))).withColumn("candidates", found(F.col("text"), CANDIDATE))
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     likely = lambda c: log_ratio(c["value"], ratios) >= F.greatest(F.lit(least), per_char * F.length(c["value"]))
-    d = d.withColumn("markov", of_kind(F.filter("candidates", lambda c: free(c) & likely(c)), "markov"))
+    d = d.withColumn("markov", of_kind(F.filter(apart(F.col("candidates"), F.col("base")), likely), "markov"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return d.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "markov"))).alias("spans"))
 
