@@ -9,8 +9,8 @@ traversal of pairs of nodes prunes those whose largest possible overlap is too
 small, or that hold sets of one component only.
 
 1. Of groups with the same members one is kept.
-2. Each set of larger groups goes, with its tokens, to the tree of one group of its,
-   where what the tree leaves is compared exactly. That connects most copies.
+2. Each set goes, with its tokens, to the tree of its largest group, where what the
+   tree leaves is compared exactly. That connects most copies.
 3. Groups whose sets aren't connected yet meet in trees again, by bitmaps alone.
 4. Tokens of the sets that these leave are compared exactly.
 
@@ -39,8 +39,6 @@ SPARE = 2
 TREE_SETS = 256
 #: Sets that each of a large group's trees gets a copy of, about.
 PIVOTS = 8
-#: Groups of fewer sets than this wait for the trees of bitmaps.
-PICK_LEAST = 4
 #: Rows that one call of a task gets, about.
 LOT = 512
 LEAST_BITS, MOST_BITS = 256, 1 << 16
@@ -304,7 +302,7 @@ def members_of(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def picked(members: DataFrame) -> DataFrame:
     """(digest, tree, rep): each set once, in the largest of its groups, dealt out to trees of TREE_SETS; PIVOTS of its sets are in all of a group's trees."""
-    best = members.where(F.col("g") >= PICK_LEAST).groupBy("rep").agg(F.max(F.struct("g", "digest")).alias("best")).select("rep", "best.digest")
+    best = members.groupBy("rep").agg(F.max(F.struct("g", "digest")).alias("best")).select("rep", "best.digest")
     best = best.join(best.groupBy("digest").agg(F.count("*").alias("m")), "digest").where("m > 1")
     h, trees = F.pmod(F.xxhash64("rep"), F.lit(1 << 40)), F.ceil(F.col("m") / TREE_SETS).cast("int")
     tree = F.when(trees == 1, F.array(F.lit(0))).when(F.pmod(h, F.col("m")) < PIVOTS, F.sequence(F.lit(0), trees - 1)).otherwise(F.array(F.pmod(F.shiftright(h, 20), trees).cast("int")))
