@@ -18,7 +18,7 @@ LEAST_SCORE = 0.2
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is told; models are fitted on a sample of the labelled ones."""
     model = lang_id.train(docs)
-    kept = lang_id.predict(docs, model).where((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = lang_id.predict(docs, model, "_lang_pred", "_score").where((F.col("_lang_pred") != lang_id.UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
     return kept.select(*docs.columns)
 
 
