@@ -45,8 +45,7 @@ class Brute:
         self.d2 = ratios(self.pairs.values())
         kept = defaultdict(dict)
         for (h, w), c in self.pairs.items():
-            if c > katz.CUTOFF:
-                kept[h][w] = self.d2.get(c, 1) * c
+            kept[h][w] = self.d2.get(c, 1) * c
         self.kept = kept
 
     def p(self, h, w):
@@ -87,8 +86,8 @@ def test_chunks_dont_matter(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice("aabbbcdefgh") * rng.randint(1, 2) for _ in range(rng.randint(0, 60)))) for i in range(300)]
     df = frame(spark, [(*r, None) for r in rows], SCHEMA)
-    check(rows, katz.score_documents(df, chunk_docs=17).collect())
-    check(rows, katz.score_documents(df, chunk_docs=100_000).collect())
+    check(rows, katz.score_documents(df, chunk_bytes=500, bucket_bytes=900).collect())
+    check(rows, katz.score_documents(df, chunk_bytes=1 << 30).collect())
 
 
 def test_odd_texts(spark):
@@ -109,23 +108,21 @@ def test_model_beats_the_base(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
-class Whole(Brute):
-    """Keeps every pair, whatever the operator's constants are."""
-
-    def __init__(self, rows):
-        super().__init__(rows)
-        self.kept = defaultdict(dict)
-        for (h, w), c in self.pairs.items():
-            self.kept[h][w] = self.d2.get(c, 1) * c
-
-
 def test_pairs_seen_once_are_kept(spark):
     rows = [r[:2] for r in table("documents")]
-    b = Whole(rows)
+    b = Brute(rows)
+    assert sum(c == 1 for c in b.pairs.values()) == sum(1 for h in b.kept.values() for w in h.values() if w == b.d2[1])
     got = {r["doc_id"]: r["score"] for r in queries.op10_katz(spark, SF).collect()}
     assert got == pytest.approx({i: b.row(i, text)[-1] for i, text in rows}, rel=1e-9, abs=1e-9)
 
 
+def test_frequent_words_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(katz, "FREQUENT", 20)
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["the", "the", f"w{rng.randrange(400)}", rng.choice("abc")]) for _ in range(rng.randint(0, 80)))) for i in range(400)]
+    check(rows, katz.score_documents(frame(spark, [(*r, None) for r in rows], SCHEMA), chunk_bytes=3000, bucket_bytes=4000).collect())
+
+
 def test_unseen_word_after_a_history_that_all_words_follow(spark):
     train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10][:40]
     held = next(i for i in range(200) if not zlib.crc32(str(i).encode()) % 10)
