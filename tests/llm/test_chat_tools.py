@@ -95,3 +95,38 @@ def test_query_matches_sql(spark):
     got, want = same_as_sql(spark, "op1_chat_tools")
     assert got == want
     assert queries.op1_chat_tools.__doc__
+
+
+def levels(needs):
+    """By brute force; None in a cycle or behind one."""
+    out, changed = {}, True
+    while changed:
+        changed = False
+        for k, want in needs.items():
+            inner = [w for w in want if w in needs]
+            if k not in out and all(w in out for w in inner):
+                out[k], changed = max([out[w] + 1 for w in inner], default=0), True
+    return {k: out.get(k) for k in needs}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_needs(spark, seed):
+    rng = random.Random(seed)
+    needs = {f"k{i}": [f"k{rng.randrange(max(0, i - 6), i + (rng.random() < 0.03) * 3 + 1)}" if i and rng.random() < 0.9 else "gone" for _ in range(rng.choice([0, 1, 1, 1, 1, 2, 3]))] for i in range(120)}
+    needs = {k: [w for w in v if w != k] for k, v in needs.items()}
+    needs |= {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(100)}
+    df = spark.createDataFrame([(1, k, v) for k, v in needs.items()], "conv_id long, call_id string, needs array<string>")
+    assert {r["call_id"]: r["level"] for r in chat_tools.topological_levels(df).collect()} == levels(needs)
+
+
+def test_long_texts_and_null_turns(spark):
+    long = json.dumps({"a": 1, "b": 2, "note": "x" * 2_000_000})
+    got = linked(spark, [(1, "x", None, "add", long, [], None), (1, "y", None, None, "{}", ["x"], None)], [(1, "x", None, "y" * 2_000_000, "r"), (1, "y", None, None, "r")])
+    assert len(got[1, "x", "call", "linked"]["json"]) > 2_000_000 and len(got[1, "x", "result", "linked"]["json"]) > 2_000_000
+    assert got[1, "y", "call", "linked"]["level"] == 1 and json.loads(got[1, "y", "result", "linked"]["json"])["content"] is None
+
+
+def test_other_columns_may_have_any_name(spark):
+    calls = spark.createDataFrame([(1, "x", 0, "add", "{}", ["y"], 1, 2, 3), (1, "y", 0, "add", "{}", [], 1, 2, 3)], CALLS.replace("text string", "level int, floor int, r int"))
+    out = chat_tools.link_calls(calls, frame(spark, [], RESULTS), frame(spark, TOOLS, SCHEMAS)).collect()
+    assert {r["call_id"]: r["level"] for r in out} == {"x": 1, "y": 0}

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm.common import discard, stored
@@ -16,29 +16,38 @@ KEY = ["conv_id", "call_id"]
 
 
 def topological_levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level: 0 without needs, else one more than the highest need; null in a cycle.
+    """conv_id, call_id, level: 0 without needs, else one more than the highest need; null in a cycle or behind one.
 
     calls: conv_id, call_id, needs array<string>, one row per call. Needs that are
-    no call of the conversation don't count. One round per level: a round settles
-    the calls whose needs are all settled. Only calls with needs take part.
+    no call of the conversation don't count. A call waits for its needs; one that
+    waits for a single other is skipped over: what waits for it waits for that one
+    from then on, with more added. So a chain of n calls takes about log n rounds.
+    Only calls with needs take part; a round that settles none leaves cycles.
     """
     ids = calls.select(*KEY)
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
+    edges = calls.select(*KEY, F.explode(F.array_distinct("needs")).alias("need"))
     known = ids.select("conv_id", F.col("call_id").alias("need"))
-    edges = stored(edges.join(known, ["conv_id", "need"], "left_semi"), "call-needs")
-    waiting = edges.select(*KEY).distinct()
-    done = stored(ids.join(waiting, KEY, "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    settled, last, level = [done], done, 0
+    edges = edges.join(known.hint("shuffle_hash"), ["conv_id", "need"], "left_semi")
+    # level >= floor, and >= add + the need's level
+    edges = stored(edges.select(*KEY, "need", F.lit(1).alias("add"), F.lit(1).alias("floor")), "call-needs")
+    done = stored(ids.join(edges.select(*KEY).distinct(), KEY, "left_anti").withColumn("level", F.lit(0)), "call-levels")
+    settled, call = [done], Window.partitionBy(*KEY)
     while not edges.isEmpty():
-        level += 1
-        rest = stored(edges.join(last.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "call-needs")
-        last = stored(edges.select(*KEY).distinct().join(rest.select(*KEY).distinct(), KEY, "left_anti").withColumn("level", F.lit(level)), "call-levels")
+        level = done.select("conv_id", F.col("call_id").alias("need"), "level").hint("shuffle_hash")
+        j = edges.join(level, ["conv_id", "need"], "left")
+        j = j.withColumn("floor", F.max(F.greatest("floor", F.col("add") + F.coalesce("level", F.lit(0)))).over(call)).withColumn("left", F.count_if(F.col("level").isNull()).over(call))
+        j = stored(j, "call-needs")
         discard(edges)
-        edges = rest
-        if last.isEmpty():  # what is left needs itself
-            settled.append(edges.select(*KEY).distinct().withColumn("level", F.lit(None).cast("int")))
+        done = j.where(F.col("left") == 0).groupBy(*KEY).agg(F.max("floor").alias("level"))
+        rest = j.where("left > 0 and level is null").select(*KEY, "need", "add", "floor", "left")
+        if done.isEmpty():  # what is left needs itself
+            settled.append(rest.select(*KEY).distinct().withColumn("level", F.lit(None).cast("int")))
             break
-        settled.append(last)
+        settled.append(done)
+        on = rest.where(F.col("left") == 1).select("conv_id", F.col("call_id").alias("need"), F.col("need").alias("next"), F.col("add").alias("more"), F.col("floor").alias("least"))
+        r = rest.join(on.hint("shuffle_hash"), ["conv_id", "need"], "left")
+        r = r.select(*KEY, F.coalesce("next", "need").alias("need"), (F.col("add") + F.coalesce("more", F.lit(0))).alias("add"), F.greatest("floor", F.col("add") + F.col("least")).alias("floor"))
+        edges = stored(r.groupBy(*KEY, "need").agg(F.max("add").alias("add"), F.max("floor").alias("floor")), "call-needs")
     return reduce(DataFrame.unionByName, settled)
 
 
@@ -51,7 +60,7 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     tools = schemas.groupBy("tool").agg(F.collect_list(F.struct("name", "type", "required")).alias("fields"))
     v = F.try_parse_json("arguments")
-    c = calls.withColumn("args", F.when(F.schema_of_variant(v).startswith("OBJECT"), v)).join(tools, "tool", "left")
+    c = calls.withColumn("args", F.when(F.schema_of_variant(v).startswith("OBJECT"), v)).join(tools.hint("shuffle_hash"), "tool", "left")
     c = c.withColumn("given", F.try_variant_get("args", "$", "map<string,variant>"))
     kind = lambda f: F.regexp_extract(F.schema_of_variant(F.element_at("given", f["name"])), "^[A-Z]+", 0)
     has = lambda f: F.map_contains_key("given", f["name"])
@@ -88,7 +97,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     first_r = r.groupBy(*KEY).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n"))
     heads = first_c.select(*KEY, "c.*")
     levels = topological_levels(heads)
-    both = validated(heads, schemas).join(levels, KEY).join(first_r.select(*KEY, "r"), KEY, "full")
+    both = validated(heads, schemas).join(levels.hint("shuffle_hash"), KEY).join(first_r.select(*KEY, "r").hint("shuffle_hash"), KEY, "full")
     is_call, cyclic = F.col("turn").isNotNull() | F.col("needs").isNotNull(), F.col("needs").isNotNull() & F.col("level").isNull()
     call_status = F.when(cyclic, "cyclic").when(F.col("r").isNull(), "unanswered").otherwise("linked")
     none = F.array().cast("array<string>")

@@ -10,8 +10,8 @@ CHAT = """with recursive u as (select conv_id, turn, case when turn % 6 = 0 then
   a as (select conv_id, turn, text as content from conversations where role = 'assistant' and conv_id is not null and turn is not null),
   c as (select conv_id, turn, min(tool) as tool, arg_min(text, arguments) as text, count(*) as n from u group by all),
   r as (select conv_id, turn - 1 as turn, min(content) as content, count(*) as n from a group by all),
-  lv as (select c.conv_id, c.turn, 0 as level from c left join c p on p.conv_id = c.conv_id and p.turn = c.turn - 2 where p.turn is null or (c.turn // 2) % 4 = 0
-    union all select c.conv_id, c.turn, lv.level + 1 from lv join c on c.conv_id = lv.conv_id and c.turn = lv.turn + 2 and (c.turn // 2) % 4 != 0),
+  lv as (select c.conv_id, c.turn, 0 as level from c left join c p on p.conv_id = c.conv_id and p.turn = c.turn - 2 where p.turn is null
+    union all select c.conv_id, c.turn, lv.level + 1 from lv join c on c.conv_id = lv.conv_id and c.turn = lv.turn + 2),
   j as (select c.*, lv.level, r.turn is not null as answered from c join lv on lv.conv_id = c.conv_id and lv.turn = c.turn left join r on r.conv_id = c.conv_id and r.turn = c.turn)
 select conv_id, 'c' || turn as call_id, 'call' as kind, level::int as level, turn, case when answered then 'linked' else 'unanswered' end as status,
   list_concat(case when text is null then ['type of prompt'] else [] end, case when tool = 'lookup' then ['type of turn'] else [] end) as errors,

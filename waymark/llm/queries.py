@@ -44,15 +44,13 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results out of plain turns.
 
     A user's turn t is call c<t> of tool ask (of lookup where t is divisible by 6)
-    and needs the result of call c<t - 2>, unless t div 2 is divisible by 4; an
-    assistant's turn t answers call c<t - 1>.
+    and needs the result of call c<t - 2>; an assistant's turn t answers call c<t - 1>.
     """
     t = F.col("turn")
     call_id = lambda n: F.concat(F.lit("c"), n.cast("string"))
     arguments = F.to_json(F.struct(t.alias("turn"), F.col("text").alias("prompt")), {"ignoreNullFields": "false"})
-    needs = F.when((F.floor(t / 2) % 4 != 0), F.array(call_id(t - 2))).otherwise(F.array().cast("array<string>"))
     tool = F.when(t % 6 == 0, "lookup").otherwise("ask")
-    calls = turns.where("role = 'user'").select("conv_id", call_id(t).alias("call_id"), "turn", tool.alias("tool"), arguments.alias("arguments"), needs.alias("needs"))
+    calls = turns.where("role = 'user'").select("conv_id", call_id(t).alias("call_id"), "turn", tool.alias("tool"), arguments.alias("arguments"), F.array(call_id(t - 2)).alias("needs"))
     results = turns.where("role = 'assistant'").select("conv_id", call_id(t - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
