@@ -11,8 +11,9 @@ small, or that hold sets of one component only.
 1. Of groups with the same members one is kept.
 2. Each set goes, with its tokens, to the tree of its largest group, where what the
    tree leaves is compared exactly. That connects most copies.
-3. Groups whose sets aren't connected yet meet in trees again, by bitmaps alone.
-4. Tokens of the sets that these leave are compared exactly.
+3. In groups whose sets aren't connected yet, one set of each component meets the
+   others in a tree of bitmaps alone; tokens of those that it leaves are compared.
+4. The same with all sets, in the groups that are left.
 
 No link between different sets is lost.
 """
@@ -309,14 +310,18 @@ def picked(members: DataFrame) -> DataFrame:
     return best.select("digest", F.explode(tree).alias("tree"), "rep", F.col("rep").alias("known"))
 
 
-def meetings(members: DataFrame, found: DataFrame) -> DataFrame:
+def meetings(members: DataFrame, found: DataFrame, every: bool) -> DataFrame:
     """(digest, i, j, rep, known): the groups that aren't in one component, dealt out to trees.
 
-    found: (id, component). A group of more than TREE_SETS is dealt out to several,
+    found: (id, component). Of each component in a group one set meets those of the
+    others, or every one does. A group of more than TREE_SETS is dealt out to several,
     and pairs of these meet. Sets of the component that most of the group is in
     needn't meet each other, so their trees meet those of the other sets only.
     """
     rows = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", "rep", F.coalesce("component", "rep").alias("known"))
+    if not every:
+        rows = rows.groupBy("digest", "known").agg(F.min("rep").alias("rep"))
+        rows = stored(rows.join(members_of(rows, ["digest"]).drop("g"), "digest"), "delegates")
     parts = rows.groupBy("digest", "known").agg(F.count("*").alias("n"))
     groups = parts.groupBy("digest").agg(F.sum("n").alias("g"), F.max(F.struct("n", "known")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = rows.join(groups.select("digest", "g", "main"), "digest")
@@ -373,12 +378,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5)
     discard(all_sets)
     large = stored(picked(members), "picked")
     links = stored(exact_links(large, ["digest", "tree"], made_again(docs, large, n, token_row, TOKENS), num, den), "tree-links")
-    met = stored(meetings(members, components(links)), "meetings")
-    left = stored(survivors(met, made_again(docs, met, n, signature_row, SIGNATURE), num, den), "survivors")
+    found = components(links)
     keys = ["digest", "i", "j", "sub"]
-    left = stored(left.join(members_of(left, keys).drop("g"), keys), "candidates")
-    more = stored(exact_links(left, keys, made_again(docs, left, n, token_row, TOKENS), num, den), "tree-links")
-    found = components(links.unionByName(more))
+    for every in (False, True):
+        met = stored(meetings(members, found, every), "meetings")
+        left = stored(survivors(met, made_again(docs, met, n, signature_row, SIGNATURE), num, den), "survivors")
+        discard(met)
+        left = stored(left.join(members_of(left, keys).drop("g"), keys), "candidates")
+        more = stored(exact_links(left, keys, made_again(docs, left, n, token_row, TOKENS), num, den), "tree-links")
+        links = links.unionByName(more)
+        found = components(links)
     reach = firsts.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(reach, same, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
