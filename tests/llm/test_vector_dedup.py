@@ -1,4 +1,5 @@
 import math
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -57,6 +58,29 @@ def test_odd_vectors(spark):
     assert {r["vec_id"] for r in df.where("kept").collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_pairs_that_rounding_decides(spark):
+    """Cosines that are the least one exactly, or next to it, are those of the vectors, not of rotated ones."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(200):
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        c = 0.93 + rng.choice([-1e-15, 0, 1e-15])
+        rows += [(2 * k, a.tolist(), k, None), (2 * k + 1, (c * a + math.sqrt(1 - c * c) * b).tolist(), k, None)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double"))
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_vectors(df, 0.93).collect()}
+    dot = lambda x, y: reduce(lambda s, z: s + z, (u * v for u, v in zip(x, y)), 0.0)
+    want = {}
+    for (i, x, *_), (j, y, *_) in zip(rows[::2], rows[1::2]):
+        want[i] = want[j] = int(dot(x, y) / (math.sqrt(dot(x, x)) * math.sqrt(dot(y, y))) >= 0.93)
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(1, [1.0, 0.0], 1, None), (1, [1.0, 0.0], 1, None), (2, [1.0, 0.01], 1, None), (None, [1.0, 0.0], 1, None)]
+    got = vector_dedup.near_vectors(frame(spark, rows, SCHEMA), 0.93).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in got) == [(0, 0, 0), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
 def test_empty(spark):
     assert run(spark, [])[0] == {}
 

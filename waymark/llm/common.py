@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -70,18 +68,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of frames that nothing refers to any more.
-
-    Its cleaner acts when the driver's garbage is collected, and what a finished
-    query leaves is garbage only after its last events are handled.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
-
-
 def likely(rows: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows whose key may be among ids, and few others: a filter in front of a join, which it spares a shuffle.
 

@@ -26,6 +26,8 @@ PART = 512
 SEED = 20240517
 #: Added to budgets, against rounding.
 SLACK = 1e-9
+#: Cosines of rotated vectors this near to the least one are taken again of the vectors themselves.
+ROUNDING = 1e-11
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -70,7 +72,10 @@ def rotated(vectors: DataFrame, id_col: str, cosine: float) -> DataFrame:
 
 
 def _links(group: pa.Table, cosine: float) -> pa.Table:
-    """Of one group of one block: each vector's links (weighted by copies) and a spanning star of them."""
+    """Of one group of one block: each vector's links (weighted by copies) and a spanning star of them.
+
+    Also, with links null, the pairs that rounding might decide.
+    """
     total = budget(cosine) + SLACK
     ids, n = group.column("rep").to_numpy(), group.column("n").to_numpy()
     side = group.column("side").to_numpy()
@@ -78,7 +83,7 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
     b = group.column("block")[0].as_py()
     parts = blocks(units.shape[1])
     share = [total * (p.stop - p.start) / units.shape[1] for p in parts]
-    counts, up = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    counts, up, unsure = np.zeros(len(ids), np.int64), np.arange(len(ids)), [np.zeros((2, 0), np.int64)]
 
     def root(i: int) -> int:
         while up[i] != i:
@@ -87,12 +92,15 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
         return i
 
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    y = units[right][:, parts[b]]
+    # (budget - squared distance) / 2 as one product, in single precision: it only leaves out what is clearly farther
+    block = units[:, parts[b]]
+    half = ((block * block).sum(axis=1) / 2)[:, None]
+    one = np.ones_like(half)
+    x, y = (np.hstack(v).astype(np.float32) for v in ((block, -half, one), (block, one, share[b] / 2 - half)))
+    y = y[right].T
     for first in range(0, len(left), 256):
         rows = left[first : first + 256]
-        x = units[rows][:, parts[b]]
-        near = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T <= share[b] + 1e-7
-        i, j = np.nonzero(near)
+        i, j = np.nonzero(x[rows] @ y >= -1e-5)
         i, j = rows[i], right[j]
         ok = (i < j) if group.column("alone")[0].as_py() else np.ones(len(i), bool)
         i, j = i[ok], j[ok]
@@ -100,7 +108,10 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
             p, q = i[at : at + 50_000], j[at : at + 50_000]
             gaps = np.stack([((units[p, s] - units[q, s]) ** 2).sum(axis=1) for s in parts], axis=1) <= np.array(share)
             p, q = (v[gaps[:, b] & ~gaps[:, :b].any(axis=1)] for v in (p, q))
-            links = (units[p] * units[q]).sum(axis=1) >= cosine
+            dot = (units[p] * units[q]).sum(axis=1)
+            near = np.abs(dot - cosine) <= ROUNDING
+            unsure.append(np.stack([ids[p[near]], ids[q[near]]]))
+            links = (dot > cosine) & ~near
             p, q = p[links], q[links]
             np.add.at(counts, p, n[q])
             np.add.at(counts, q, n[p])
@@ -110,7 +121,18 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
                     up[max(u, v)] = min(u, v)
     got = np.flatnonzero(counts)
     roots = np.array([root(i) for i in got.tolist()], np.int64)
-    return pa.table({"a": ids[got], "b": ids[roots] if len(roots) else ids[:0], "links": counts[got]})
+    a, b = np.concatenate(unsure, axis=1)
+    links = pa.concat_arrays([pa.array(counts[got]), pa.nulls(len(a), pa.int64())])
+    return pa.table({"a": np.concatenate([ids[got], a]), "b": np.concatenate([ids[roots] if len(roots) else ids[:0], b]), "links": links})
+
+
+def decided(unsure: DataFrame, same: DataFrame, cosine: float) -> DataFrame:
+    """(a, b, links) both ways of the pairs whose cosine, of the vectors as they are, is high enough."""
+    side = lambda k: same.select(F.col("rep").alias(k), F.col("embedding").alias(f"e{k}"), F.col("n").alias(f"n{k}"))
+    p = unsure.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, x: s + x)
+    p = p.where(dot("ea", "eb") / (F.sqrt(dot("ea", "ea")) * F.sqrt(dot("eb", "eb"))) >= cosine)
+    return p.select("a", "b", F.col("nb").alias("links")).unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("na").alias("links")))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id") -> DataFrame:
@@ -147,6 +169,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     alone = (F.col("step") == 0) & (F.col("i") == F.col("j"))
     rows = dealt.select(*cell[:3], "at", "i", "j", "step", "rep", "n", "unit", "side", alone.alias("alone"))
     links = stored(rows.groupBy(*cell[:3], "at", "i", "j", "step").applyInArrow(lambda g: _links(g, cosine), "a long, b long, links long"), "vector-links")
+    links = links.where("links is not null").unionByName(decided(links.where("links is null"), same, cosine))
     reach = components(links.select("a", "b"))
     direct = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("direct"))
     known = same.join(direct, "rep", "left").join(reach.select(F.col("id").alias("rep"), "component"), "rep", "left")
