@@ -90,3 +90,18 @@ def test_query_finds_planted_items(spark):
     assert want and want <= got
     clean = {d[0] for d in table("documents") if not any(t[: len(t) // 2] in decontaminate.normal(d[1]) or t[len(t) // 2 :] in decontaminate.normal(d[1]) for t in items.values())}
     assert not clean & {d for d, _ in got}
+
+
+def test_short_items_fit_as_they_are(spark):
+    rng = random.Random(5)
+    items = [(1, "yes", 0), (2, "a b", 0), (3, "What is it?", 0), (4, "twelve chars", 0), (5, "a line of thirty-nine characters, just .", 0), (6, "É", 0), (7, "a b", 0), (8, "x", 0)]
+    docs = [(k, " ".join(rng.choice(["yes", "yesterday", "a", "b", "ab", "What", "is", "it?", "it?!", "twelve", "chars", "charset", "a line of thirty-nine characters, just .", "é"]) for _ in range(rng.randint(0, 12))), 0) for k in range(300)]
+    docs += [(999, "so what is IT? yes", 0), (1000, "x", 0), (1001, "x\ny", 0), (1002, "xx", 0)]
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["start"], r["end"]) for r in decontaminate.contaminated(frame(spark, docs, DOCS), frame(spark, items, ITEMS)).collect()}
+    want = {}
+    for d, text, _ in docs:
+        for i, item, _ in items:
+            t, p = f" {decontaminate.normal(text)} ", decontaminate.normal(item)
+            if f" {p} " in t:
+                want[d, i] = (0, t.index(f" {p} "), t.index(f" {p} ") + len(p))
+    assert got == want and {i for _, i in got} == set(range(1, 9))

@@ -3,7 +3,8 @@
 A passage of m characters with k edits still has m - q + 1 - k q of its q-grams,
 and they lie within k diagonals of each other. Shared q-grams are counted in
 overlapping bands of diagonals; regions that reach the bound are verified by a
-banded alignment.
+banded alignment. Short items, of which edits would leave too little, are looked for
+as they are, on word bounds, by hashes of as many words as they have.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from waymark.llm.common import mix, window_hashes
 Q = 12
 #: Edits allowed, as a share of an item's characters.
 EDITS = 0.06
-#: Shorter items (in characters, normalised) are no evidence and are not looked for.
+#: Shorter items (in characters, normalised) must occur as they are, on word bounds.
 LEAST_CHARS = 40
 #: Characters of items in one index, at most: what is broadcast at once.
 BLOCK_CHARS = 8 << 20
@@ -45,10 +46,41 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
     return window_hashes(mix(text + np.uint64(1)), at, at + Q)
 
 
+class Words:
+    """Short items by their number of words, and for each number their hashes in order."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}
+        for i, text in items:
+            c = codes(text)
+            key = int(window_hashes(mix(c + np.uint64(1)), np.array([0]), np.array([len(c)]))[0])
+            self.items.setdefault(text.count(" ") + 1, {}).setdefault(key, []).append((i, c))
+        self.hashes = {k: np.sort(np.array(list(v), np.uint64)) for k, v in self.items.items()}
+
+    def found(self, text: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, start, end) of occurrences in order; bounds: where each text starts, one gap after the one before."""
+        inner = (text != 0x20) & (text != 0)
+        edges = np.diff(np.concatenate(([False], inner, [False])).astype(np.int8))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        of, values = np.searchsorted(bounds, starts, "right") - 1, mix(text + np.uint64(1))
+        for k, hashes in self.hashes.items():
+            a, b = starts[: max(0, len(starts) - k + 1)], ends[k - 1 :]
+            same = of[: len(a)] == of[k - 1 :]
+            a, b, d = a[same], b[same], of[: len(a)][same]
+            h = window_hashes(values, a, b)
+            hit = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
+            for x in hit.tolist():
+                for item, c in self.items[k][int(h[x])]:
+                    if np.array_equal(text[a[x] : b[x]], c):
+                        yield int(d[x]), item, int(a[x] - bounds[d[x]]), int(b[x] - bounds[d[x]])
+
+
 class Index:
-    """q-grams of a block of items: hashes, and for each the items and offsets that have it."""
+    """q-grams of a block of items: hashes, and for each the items and offsets that have it; short items apart."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.short = Words([(i, t) for i, t in items if len(t) < LEAST_CHARS])
+        items = [(i, t) for i, t in items if len(t) >= LEAST_CHARS]
         self.ids = [i for i, _ in items]
         self.texts = [codes(t) for _, t in items]
         sizes = np.array([len(t) for t in self.texts], np.int64)
@@ -56,9 +88,9 @@ class Index:
         self.edits = np.minimum((EDITS * sizes).astype(np.int64), (sizes - Q) // Q)
         self.bound = sizes - Q + 1 - self.edits * Q
         grams = [gram_hashes(t) for t in self.texts]
-        hashes = np.concatenate(grams)
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        offset = np.concatenate([np.arange(len(g)) for g in grams])
+        hashes = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(grams)), np.array([len(g) for g in grams], np.int64))
+        offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
         order = np.argsort(hashes, kind="stable")
         self.item, self.offset = item[order], offset[order]
         self.hashes, first = np.unique(hashes[order], return_index=True)
@@ -68,6 +100,8 @@ class Index:
 
     def regions(self, text: np.ndarray) -> set[tuple[int, int]]:
         """(item, band): bands of diagonals with enough shared q-grams; band b is of diagonals from b (k + 1) on."""
+        if not self.ids:
+            return set()
         h = gram_hashes(text)
         at = np.flatnonzero(self.filter[h >> np.uint64(64 - BITS)])
         k = np.searchsorted(self.hashes, h[at])
@@ -152,7 +186,11 @@ def scan_texts(index: Index, ids: list, texts: list[str]) -> list[tuple]:
             got = align(pattern, whole[a : int(bounds[d + 1]) - Q], low - a, high - a, most)
             if got and got < best.get((d, item), (most + 1, 0, 0)):
                 best[d, item] = got
-    return [(ids[d], index.ids[item], *got) for (d, item), got in best.items()]
+    short: dict[tuple[int, int], tuple[int, int]] = {}
+    if index.short.items:
+        for d, item, start, end in index.short.found(whole, bounds):
+            short[d, item] = min((start, end), short.get((d, item), (start, end)))
+    return [(ids[d], index.ids[item], *got) for (d, item), got in best.items()] + [(ids[d], item, 0, *got) for (d, item), got in short.items()]
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -160,7 +198,7 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     held, size = [], 0
     for row in benchmark.select("item_id", "text").where("item_id is not null").toLocalIterator():
         text = normal(row["text"])
-        if len(text) < LEAST_CHARS:
+        if not text:
             continue
         if held and size + len(text) > BLOCK_CHARS:
             yield held
@@ -177,7 +215,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Texts
     are compared in lower case with single spaces; start and end are characters of
     the text so normalised. An item fits with up to 6 % of its characters edited.
-    Items of fewer than 40 characters and null texts match nothing. Repeated rows
+    One of fewer than 40 characters fits as it is only, between white space or at an
+    end. Null and empty texts match nothing, on either side. Repeated rows
     give repeated rows; an empty table on either side gives an empty result. All
     documents are scanned against one bounded block of items after another.
     """
