@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BYTE_CODES, discard, shared_dir, slices, stored, window_hashes
+from waymark.llm.common import BYTE_CODES, shared_dir, slices, window_hashes
 
 #: Ids of chunks of text that a task remembers, at most.
 CACHE_IDS = 4_000_000
@@ -74,40 +74,45 @@ class CachedEncoder:
         self.text_at, self.text_n, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         self.ids = np.array([self.end_id], self.kind)
 
-    def encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, and how many each has.
+    def encoded(self, chunks: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks, given as bytes one after the other, and how many each has.
 
         Each has one space, in front, and no other white space. The tokenizer cuts
         there, so many are encoded as one text, and taken apart where an id stands
         for a space and more.
         """
-        lots = [chunks[k : k + 512] for k in range(0, len(chunks), 512)]
+        cuts = np.append(np.arange(0, len(size), 512), len(size))
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        lots = [chunks[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(bounds[cuts[:-1]], bounds[cuts[1:]])]
         ids, counts = [], []
-        for lot, done in zip(lots, self.tokenizer.encode_batch_fast(["".join(x) for x in lots], add_special_tokens=False)):
-            first = np.flatnonzero(self.opens[np.array(done.ids, np.int64)])
-            n = np.diff(first, append=len(done.ids))
-            if len(n) == len(lot) and first[0] == 0:
-                ids += done.ids
-            else:  # this tokenizer's ids don't tell
-                each = self.tokenizer.encode_batch_fast(lot, add_special_tokens=False)
-                ids += [x for e in each for x in e.ids]
-                n = np.array([len(e.ids) for e in each], np.int64)
+        for k, done in enumerate(self.tokenizer.encode_batch_fast(lots, add_special_tokens=False)):
+            got = np.array(done.ids, self.kind)
+            first = np.flatnonzero(self.opens[got])
+            n = np.diff(first, append=len(got))
+            if len(n) != cuts[k + 1] - cuts[k] or first[0]:  # this tokenizer's ids don't tell
+                each = [chunks[bounds[i] : bounds[i + 1]].tobytes().decode("utf-8", "replace") for i in range(cuts[k], cuts[k + 1])]
+                each = self.tokenizer.encode_batch_fast(each, add_special_tokens=False)
+                got, n = np.array([x for e in each for x in e.ids], self.kind), np.array([len(e.ids) for e in each], np.int64)
+            ids.append(got)
             counts.append(n)
-        return np.array(ids, self.kind), np.concatenate([np.zeros(0, np.int64), *counts])
-
-    def learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        plain = np.array([t[:1] == " " and t.split() == [t[1:]] for t in texts], bool)
-        ids, n = self.encoded([t for t, p in zip(texts, plain) if p])
-        rest = self.tokenizer.encode_batch_fast([t for t, p in zip(texts, plain) if not p], add_special_tokens=False)
+        return np.concatenate([np.zeros(0, self.kind), *ids]), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def learn(self, hashes: np.ndarray, chunks: np.ndarray, size: np.ndarray) -> None:
+        """chunks: their bytes, one after the other."""
+        start = np.cumsum(size) - size
+        # what is white space, or may be in more than one byte
+        after = np.append(chunks[1:], 0)
+        space = (chunks <= 0x20) | ((chunks == 0xC2) & ((after == 0x85) | (after == 0xA0))) | ((chunks == 0xE1) & (after == 0x9A)) | ((chunks == 0xE2) & ((after == 0x80) | (after == 0x81))) | ((chunks == 0xE3) & (after == 0x80))
+        plain = (chunks[start] == 0x20) & (np.add.reduceat(space.astype(np.int64), start) == 1) & (size > 1)
+        ids, n = self.encoded(chunks[np.repeat(plain, size)], size[plain])
+        odd = [chunks[a : a + k].tobytes().decode("utf-8", "replace") for a, k in zip(start[~plain].tolist(), size[~plain].tolist())]
+        rest = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
         n = np.concatenate([n, np.array([len(x.ids) for x in rest], np.int64)])
         at = len(self.ids) + np.cumsum(n) - n
         self.ids = np.concatenate([self.ids, ids, np.array([i for x in rest for i in x.ids], self.kind)])
         turn = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        size = np.array([len(c) for c in chunks], np.int64)
-        text_at = len(self.bytes) + np.cumsum(size) - size
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(chunks), np.uint8)])
-        new = (hashes[turn], at, n, text_at[turn], size[turn])
+        new = (hashes[turn], at, n, len(self.bytes) + start[turn], size[turn])
+        self.bytes = np.concatenate([self.bytes, chunks])
         rows = [np.concatenate(x) for x in zip((self.hashes, self.at, self.n, self.text_at, self.text_n), new)]
         order = np.argsort(rows[0])
         self.hashes, self.at, self.n, self.text_at, self.text_n = (x[order] for x in rows)
@@ -134,14 +139,15 @@ class CachedEncoder:
         near = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         new = self.hashes[near] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
         if new.any():
-            self.learn(hashes[new], [data[starts[i] : starts[i] + size[i]].tobytes() for i in first[new].tolist()])
+            a, n = starts[first[new]], size[first[new]]
+            self.learn(hashes[new], data[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())], n)
         row = np.searchsorted(self.hashes, hashes)
         # and the same as the one that was learned
         a, n = starts[first], size[first]
         if (n != self.text_n[row]).any():
             return self.plainly(texts)
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if (data[np.repeat(a, n) + step] != self.bytes[np.repeat(self.text_at[row], n) + step]).any():
+        before, step = np.cumsum(n) - n, np.arange(n.sum())
+        if (data[np.repeat(a - before, n) + step] != self.bytes[np.repeat(self.text_at[row] - before, n) + step]).any():
             return self.plainly(texts)
         k = row[of]
         until = np.searchsorted(starts, bounds[1:])  # a text's end id stands behind its last chunk
@@ -151,6 +157,16 @@ class CachedEncoder:
         return self.ids[np.repeat(at - total + n, n) + np.arange(total[-1])], lengths
 
 
+_ENCODERS: dict[tuple[str, int], CachedEncoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> CachedEncoder:
+    """One encoder for each process, whatever tasks it runs."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = CachedEncoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 def _local(uri: str) -> str:
     where = urlparse(uri)
     if where.scheme not in ("", "file"):
@@ -165,20 +181,43 @@ def _put(path: str, parts: list[bytes]) -> None:
     os.replace(f"{path}.part", path)
 
 
-def encoded_docs(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n and ids (little-endian, as the files hold them) of each row, encoded where it is read."""
+def encoded_docs(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
+    """range, doc_id, n and ids (little-endian, as the files hold them) of each row, encoded where it is read."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in batches:
-            encoder = encoder or CachedEncoder(tokenizer, end_id)
+            encoder = encoder_of(tokenizer, end_id)
+            ranges = np.searchsorted(np.array(bounds, np.int64), batch.column(0).fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
             for first, texts in slices(batch.column(1)):
                 codes, n = encoder(texts)
                 ends = np.concatenate(([0], np.cumsum(n))) * codes.itemsize
                 ids = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(codes)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n), ids.cast(pa.binary())], ["doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(ranges[first : first + len(n)]), batch.column(0).slice(first, len(n)), pa.array(n), ids.cast(pa.binary())], ["range", "doc_id", "n", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, "range int, doc_id long, n long, ids binary")
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n long, ids binary")
+
+class Shard:
+    """The files of one range of documents, written as rows come in."""
+
+    def __init__(self, root: str):
+        self.name, self.lengths, self.ids = uuid.uuid4().hex, [], []
+        self.path = f"{root}/{self.name}"
+        self.out = open(f"{self.path}.bin.part", "wb")  # noqa: SIM115
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.ids.append(rows.column(1).fill_null(-1).to_numpy().astype("<i8"))
+        self.lengths.append(rows.column(2).to_numpy())
+        for codes in rows.column(3):
+            self.out.write(codes.as_buffer())
+
+    def close(self, number: int) -> pa.RecordBatch:
+        self.out.close()
+        os.replace(f"{self.path}.bin.part", f"{self.path}.bin")
+        offsets, ids = np.concatenate(([0], np.cumsum(np.concatenate(self.lengths)))).astype("<i8"), np.concatenate(self.ids)
+        _put(f"{self.path}.idx", [offsets.tobytes()])
+        _put(f"{self.path}.ids", [ids.tobytes()])
+        return pa.RecordBatch.from_pydict({"range": pa.array([number], pa.int32()), "shard": [self.name], "first_doc": [int(ids[0])], "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]})
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> list[dict]:
@@ -189,41 +228,38 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, part
     -1. Rows with the same doc_id are all written, those with fewer ids first, then
     in the order of their ids' bytes. An empty table gives an empty list. Each
     attempt of a task writes files of its own, and the manifest names those of the
-    attempt that ended. Texts are encoded where they are read; what is sorted is ids.
+    attempt that ended. Texts are encoded where they are read; what is shuffled is
+    ids, by ranges of doc_id whose bounds are approximate quantiles of all of them.
     """
     root = _local(folder)
     os.makedirs(root, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, lengths, ids = uuid.uuid4().hex, [], []
-        path = f"{root}/{shard}"
-        with open(f"{path}.bin.part", "wb") as out:
-            for batch in batches:
-                ids.append(batch.column(0).fill_null(-1).to_numpy().astype("<i8"))
-                lengths.append(batch.column(1).to_numpy())
-                for codes in batch.column(2):
-                    out.write(codes.as_buffer())
-        if not lengths:
-            os.remove(f"{path}.bin.part")
-            return
-        os.replace(f"{path}.bin.part", f"{path}.bin")
-        offsets, ids = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype("<i8"), np.concatenate(ids)
-        _put(f"{path}.idx", [offsets.tobytes()])
-        _put(f"{path}.ids", [ids.tobytes()])
-        row = {"shard": [shard], "first_doc": [int(ids[0])], "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]}
-        yield pa.RecordBatch.from_pydict(row)
+        shard, number = None, None
+        for batch in batches:
+            ranges = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(ranges, prepend=-1)).tolist()
+            for a, b in zip(sorted({0, *cuts}), [*sorted({0, *cuts})[1:], batch.num_rows]):
+                if a < b and ranges[a] != number:
+                    if shard:
+                        yield shard.close(number)
+                    shard, number = Shard(root), int(ranges[a])
+                if a < b:
+                    shard.add(batch.slice(a, b - a))
+        if shard:
+            yield shard.close(number)
 
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = stored(encoded_docs(docs, tokenizer, end_id), "encoded")
-    dealt = encoded.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
-    # one row a shard, in order of partitions and so of doc_id; sorting here would write once more to find ranges
-    shards = [x.asDict() for x in dealt.mapInArrow(write, MANIFEST).collect()]
+    quantiles = F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 100 * n)
+    bounds = sorted(set(docs.agg(quantiles.alias("q")).first()["q"] or ())) if n > 1 else []
+    dealt = encoded_docs(docs, tokenizer, end_id, bounds).repartition(n, "range").sortWithinPartitions("range", "doc_id", "n", "ids")
+    # one row a range
+    shards = sorted((x.asDict() for x in dealt.mapInArrow(write, f"range int, {MANIFEST}").collect()), key=lambda x: x.pop("range"))
     base = 0
     for x in shards:
         x["base"] = base
         base += x["n_tokens"]
     _put(f"{root}/bases.json", [json.dumps({"end_id": end_id, "shards": shards}).encode()])
-    discard(encoded)
     return shards
 
 
