@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -59,6 +60,46 @@ def ellipsoid_m(lat1, lon1, lat2, lon2) -> np.ndarray:
     return np.where(sin_s == 0, 0.0, b * big * (sigma - bend)).astype(np.float32)
 
 
+def single(x: float) -> float:
+    """A number as single precision holds it."""
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
+def one_ellipsoid_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """ellipsoid_m of two points, for walks in which one follows from the other; ends when longitudes settle."""
+    a, f = 6_378_137.0, 1 / 298.257223563
+    b = a * (1 - f)
+    lat1, lon1, lat2, lon2 = math.radians(lat1), math.radians(lon1), math.radians(lat2), math.radians(lon2)
+    u1, u2, far = math.atan((1 - f) * math.tan(lat1)), math.atan((1 - f) * math.tan(lat2)), lon2 - lon1
+    s1, c1, s2, c2 = math.sin(u1), math.cos(u1), math.sin(u2), math.cos(u2)
+    turn = far
+    for _ in range(20):
+        st, ct = math.sin(turn), math.cos(turn)
+        sin_s = math.hypot(c2 * st, c1 * s2 - s1 * c2 * ct)
+        if sin_s == 0:
+            return 0.0
+        cos_s = s1 * s2 + c1 * c2 * ct
+        sigma = math.atan2(sin_s, cos_s)
+        sin_a = c1 * c2 * st / sin_s
+        cos2a = 1 - sin_a * sin_a
+        mid = cos_s - 2 * s1 * s2 / cos2a if cos2a else 0.0
+        c = f / 16 * cos2a * (4 + f * (4 - 3 * cos2a))
+        last, turn = turn, far + (1 - c) * f * sin_a * (sigma + c * sin_s * (mid + c * cos_s * (2 * mid * mid - 1)))
+        if abs(turn - last) < 1e-15:
+            break
+    k = cos2a * (a * a - b * b) / (b * b)
+    big = 1 + k / 16384 * (4096 + k * (k * (320 - 175 * k) - 768))
+    small = k / 1024 * (256 + k * (k * (74 - 47 * k) - 128))
+    bend = small * sin_s * (mid + small / 4 * (cos_s * (2 * mid * mid - 1) - small / 6 * mid * (4 * sin_s * sin_s - 3) * (4 * mid * mid - 3)))
+    return single(b * big * (sigma - bend))
+
+
+def one_sphere_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """Metres on a sphere between two points."""
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_M * math.asin(math.sqrt(a))
+
+
 @F.pandas_udf(FloatType())
 def geo_distance_m(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """The ellipsoid's distance for queries; null where a coordinate is."""

@@ -7,6 +7,7 @@ one recording.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,15 @@ def near_m(lat1, lon1, lat2, lon2):
     return np.hypot(north, east)
 
 
+def one_near_m(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """near_m of two points."""
+    mid = math.radians((lat1 + lat2) / 2)
+    w = 1 - _E2 * math.sin(mid) ** 2
+    north = math.radians(lat2 - lat1) * _A * (1 - _E2) / w**1.5
+    east = math.radians(lon2 - lon1) * _A * math.cos(mid) / math.sqrt(w)
+    return math.hypot(north, east)
+
+
 class Fixes:
     """A recording's columns as arrays."""
 
@@ -89,14 +99,14 @@ def dwells_of(f: Fixes, rule: Dwell) -> list[tuple[int, int, float, float, int]]
     while i < len(t) - 1:
         y, x, n, inside = lat[i], lon[i], 1, i
         for j in range(i + 1, len(t)):
-            d = near_m(lat[j], lon[j], y, x)
+            d = one_near_m(lat[j], lon[j], y, x)
             if d <= rule.corral_m:
                 n += 1
                 y, x, inside = y + (lat[j] - y) / n, x + (lon[j] - x) / n, j
             elif d > rule.hard_exit_m or t[j] - t[inside] >= rule.soft_exit_s * 1000:
                 break
         span = t[inside] - t[i]
-        drift = near_m(lat[i], lon[i], lat[inside], lon[inside]) / (span / 60_000) if span else 0.0
+        drift = one_near_m(lat[i], lon[i], lat[inside], lon[inside]) / (span / 60_000) if span else 0.0
         if span >= rule.min_s * 1000 and drift <= rule.drift_m_min:
             found.append((t[i], t[inside], y, x, n))
             i = inside + 1
@@ -105,7 +115,7 @@ def dwells_of(f: Fixes, rule: Dwell) -> list[tuple[int, int, float, float, int]]
     joined = found[:1]
     for late in found[1:]:
         early = joined[-1]
-        if late[0] - early[1] <= rule.merge_s * 1000 and near_m(early[2], early[3], late[2], late[3]) <= rule.merge_m:
+        if late[0] - early[1] <= rule.merge_s * 1000 and one_near_m(early[2], early[3], late[2], late[3]) <= rule.merge_m:
             n = early[4] + late[4]
             mean = [(early[k] * early[4] + late[k] * late[4]) / n for k in (2, 3)]
             joined[-1] = (early[0], late[1], *mean, n)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.config import Live
+from waymark.functions.arrays import fold_rows
 from waymark.functions.geo import Distance, haversine_m
 from waymark.operators.points import TRACK, in_order
 
@@ -75,13 +76,12 @@ def arrivals(points: DataFrame, resume_ms: int = 180_000) -> DataFrame:
     p = points.withColumn("_run", F.sum((F.col("motion") == MOVING).cast("int")).over(w))
     fix = F.struct("ts_ms", "seq", (F.col("motion") == STOPPED).alias("stop"))
     runs = p.where(F.col("motion") != MOVING).groupBy(*TRACK, "_run").agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
-    kind = "array<struct<since_ms:bigint,at_ms:bigint>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("since"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(None).cast("bigint").alias("since"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         since = F.coalesce(acc["since"], F.when(x["stop"], x["ts_ms"]))
         fires = F.coalesce(x["ts_ms"] - since >= wait, F.lit(False))
-        row = F.array(F.struct(since.alias("since_ms"), x["ts_ms"].alias("at_ms")))
-        return F.struct(F.when(~fires, since).alias("since"), F.when(fires, F.concat(acc["out"], row)).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.when(~fires, since).alias("since")), F.when(fires, F.struct(since.alias("since_ms"), x["ts_ms"].alias("at_ms")))
 
-    return runs.select(*TRACK, F.explode(F.aggregate("fixes", start, step)["out"]).alias("x")).select(*TRACK, "x.*")
+    rows = fold_rows("fixes", start, step, "struct<since_ms:bigint,at_ms:bigint>")
+    return runs.select(*TRACK, F.explode(rows).alias("x")).select(*TRACK, "x.*")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.config import Stays
-from waymark.functions.geo import Distance, cell, ellipsoid_m, haversine_m
+from waymark.functions.geo import Distance, cell, haversine_m, one_ellipsoid_m
 
 #: Grid of the joins by distance, in degrees; a reach within it needs only neighbouring cells.
 CELL = 0.02
@@ -60,7 +63,7 @@ def summaries(visits: DataFrame, pins: DataFrame, now_ms: int) -> DataFrame:
 CLUSTERED = "device_id long, track_id long, is_start boolean, cluster long, seed long, anchor_lat double, anchor_lon double"
 
 
-def greedy_clusters(ends: DataFrame, pins: DataFrame, rule: Stays = Stays()) -> DataFrame:
+def greedy_clusters(ends: DataFrame, pins: DataFrame, rule: Stays = Stays(), distance: Callable[[float, float, float, float], float] = one_ellipsoid_m) -> DataFrame:
     """Each endpoint's cluster, by a leader rule that depends on the order of endpoints.
 
     ends: device_id, track_id, started_at, is_start, lat, lon. Pins are the first
@@ -68,7 +71,8 @@ def greedy_clusters(ends: DataFrame, pins: DataFrame, rule: Stays = Stays()) ->
     holds it, the first one on ties, or else founds an anchor. The order is by
     (started_at, track_id), start before end; endpoints without a place are left
     out. What a device holds is one ordered stream, so a device is one group;
-    anchors are kept in a grid, so an endpoint is measured only against near ones.
+    anchors are kept in a grid, so an endpoint is measured only against near ones:
+    those whose difference in latitude alone doesn't put them out of reach.
     """
     radius = rule.cluster_radius_m
 
@@ -77,32 +81,45 @@ def greedy_clusters(ends: DataFrame, pins: DataFrame, rule: Stays = Stays()) ->
         right = right.sort_values("seed_index")
         widest = max([radius, *right["radius_m"].tolist()])
         size = widest / 110_000 * 1.01
-        lat, lon, reach = list(right["lat"]), list(right["lon"]), list(right["radius_m"])
-        grid: dict[tuple[int, int], list[int]] = {}
+        lat, lon, reach = right["lat"].tolist(), right["lon"].tolist(), right["radius_m"].tolist()
+        grid: dict[int, dict[int, list[int]]] = {}
+        widths: dict[int, float] = {}
 
-        def place(y: float, x: float) -> tuple[int, int]:
-            row = int(np.floor(y / size))
+        def width(row: int) -> float:
             # longitudes shrink with latitude: a row's cells are as wide as its far edge needs
-            return row, int(np.floor(x / (size / max(0.01, np.cos(np.radians(min(89.4, (abs(row) + 2) * size)))))))
+            if row not in widths:
+                widths[row] = size / max(0.01, math.cos(math.radians(min(89.4, (abs(row) + 2) * size))))
+            return widths[row]
+
+        def put(k: int) -> None:
+            row = math.floor(lat[k] / size)
+            grid.setdefault(row, {}).setdefault(math.floor(lon[k] / width(row)), []).append(k)
 
         for k in range(len(lat)):
-            grid.setdefault(place(lat[k], lon[k]), []).append(k)
-        picks = np.empty(len(left), np.int64)
-        for n, (y, x) in enumerate(zip(left["lat"].to_numpy(), left["lon"].to_numpy())):
-            near = sorted(k for dy in (-1, 0, 1) for dx in (-1, 0, 1) for k in grid.get((place(y + dy * size, x)[0], place(y + dy * size, x)[1] + dx), ()))
-            pick = -1
-            if near:
-                d = ellipsoid_m(y, x, np.array([lat[k] for k in near]), np.array([lon[k] for k in near]))
-                fits = np.where(d <= np.array([reach[k] for k in near]), d, np.inf)
-                if np.isfinite(fits.min()):
-                    pick = near[int(fits.argmin())]
+            put(k)
+        picks = []
+        for y, x in zip(left["lat"].tolist(), left["lon"].tolist()):
+            at, pick, best = math.floor(y / size), -1, math.inf
+            for row in (at - 1, at, at + 1):
+                cells = grid.get(row)
+                if not cells:
+                    continue
+                column = math.floor(x / width(row))
+                for c in (column - 1, column, column + 1):
+                    for k in cells.get(c, ()):
+                        if abs(lat[k] - y) * 110_000 > reach[k]:
+                            continue
+                        d = distance(y, x, lat[k], lon[k])
+                        if d <= reach[k] and (d < best or d == best and k < pick):
+                            pick, best = k, d
             if pick < 0:
                 pick = len(lat)
                 lat.append(y)
                 lon.append(x)
                 reach.append(radius)
-                grid.setdefault(place(y, x), []).append(pick)
-            picks[n] = pick
+                put(pick)
+            picks.append(pick)
+        picks = np.array(picks, np.int64)
         out = left[["device_id", "track_id", "is_start"]].copy()
         out["cluster"] = picks
         out["seed"] = pd.array(np.where(picks < len(right), picks, -1), "Int64")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.config import Quality
+from waymark.functions.arrays import fold_rows
 from waymark.functions.geo import Distance, haversine_m
 from waymark.schemas import ceiling_kmh
 
@@ -116,22 +117,23 @@ def judged(points: DataFrame, distance: Distance = haversine_m, rule: Quality =
 
     A jump is a step from the last good fix that is faster than the activity
     allows, so each verdict depends on those before it: a fold over a track's
-    ordered fixes, in the JVM. A track is bounded by one recording.
+    ordered fixes, in the JVM, in blocks, so that it is linear in a track's fixes. A
+    track is bounded by one recording.
     """
     own = gate_reason(F.col("satellites") >= 1, F.col("accuracy"), rule)
     fix = F.struct("ts_ms", "seq", "lat", "lon", ceiling_kmh(F.col("activity")).alias("most"), own.alias("own"))
     t = points.groupBy(*TRACK).agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
-    kind = "array<struct<seq:int,reason:string>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array().cast(kind).alias("out"))
+    start = F.struct(F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         kmh = step_kmh(distance(acc["lat"], acc["lon"], x["lat"], x["lon"]), x["ts_ms"] - acc["ts"], rule)
         reason = F.coalesce(x["own"], F.when(acc["ts"].isNotNull() & (kmh > x["most"]), "jump"))
         keep = lambda new, old: F.when(reason.isNull(), new).otherwise(old)
-        row = F.array(F.struct(x["seq"].alias("seq"), reason.alias("reason")))
-        return F.struct(keep(x["ts_ms"], acc["ts"]).alias("ts"), keep(x["lat"], acc["lat"]).alias("lat"), keep(x["lon"], acc["lon"]).alias("lon"), F.concat(acc["out"], row).alias("out"))
+        after = F.struct(keep(x["ts_ms"], acc["ts"]).alias("ts"), keep(x["lat"], acc["lat"]).alias("lat"), keep(x["lon"], acc["lon"]).alias("lon"))
+        return after, F.struct(x["seq"].alias("seq"), reason.alias("reason"))
 
-    return t.select(*TRACK, F.explode(F.aggregate("fixes", start, step)["out"]).alias("x")).select(*TRACK, "x.seq", "x.reason")
+    rows = fold_rows("fixes", start, step, "struct<seq:int,reason:string>")
+    return t.select(*TRACK, F.explode(rows).alias("x")).select(*TRACK, "x.seq", "x.reason")
 
 
 def restored_jumps(judged_points: DataFrame, ceiling: float, distance: Distance = haversine_m) -> DataFrame:
@@ -141,17 +143,17 @@ def restored_jumps(judged_points: DataFrame, ceiling: float, distance: Distance
     """
     fix = F.struct("ts_ms", "seq", "lat", "lon", "reason")
     t = judged_points.groupBy(*TRACK).agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
-    start = F.struct(F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column) -> tuple[Column, Column]:
         base = x["reason"].isNull() | (x["reason"] == "edge_stay")
         fits = acc["ts"].isNull() | (step_kmh(distance(acc["lat"], acc["lon"], x["lat"], x["lon"]), x["ts_ms"] - acc["ts"]) <= ceiling)
         back = F.coalesce((x["reason"] == "jump") & fits, F.lit(False))
         keep = lambda new, old: F.when(base | back, new).otherwise(old)
-        out = F.when(back, F.concat(acc["out"], F.array(x["seq"]))).otherwise(acc["out"])
-        return F.struct(keep(x["ts_ms"], acc["ts"]).alias("ts"), keep(x["lat"], acc["lat"]).alias("lat"), keep(x["lon"], acc["lon"]).alias("lon"), out.alias("out"))
+        after = F.struct(keep(x["ts_ms"], acc["ts"]).alias("ts"), keep(x["lat"], acc["lat"]).alias("lat"), keep(x["lon"], acc["lon"]).alias("lon"))
+        return after, F.when(back, x["seq"])
 
-    return t.select(*TRACK, F.explode(F.aggregate("fixes", start, step)["out"]).alias("seq"))
+    return t.select(*TRACK, F.explode(fold_rows("fixes", start, step, "int")).alias("seq"))
 
 
 def mean_of_best(cn0: Column, top: int = 4) -> Column:
