@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from waymark.plans import catalog
+from waymark.plans import catalog, library  # noqa: F401  registers its queries too
 
 SF = Path("/root/testdata/sf0.001")
 

@@ -105,9 +105,18 @@ def test_carried_walk_is_renamed():
 
 def test_nothing_good_for_long():
     d = Driven().reading("DRIVING", 0)
-    for k in range(60):
+    for k in range(250):
         d.fix(k * 10_000, 0, accuracy=100.0)
-    assert [t for e, t in d.events if e == "GAVE_UP"] == [240_000, 480_000]
+    # tried again after 120, 240 and 480 s, for 240 s each time; nothing is recorded between
+    assert [(e, t // 1000) for e, t in d.events if e in ("GAVE_UP", "PROBED")] == [("GAVE_UP", 240), ("PROBED", 360), ("GAVE_UP", 600), ("PROBED", 840), ("GAVE_UP", 1080), ("PROBED", 1560), ("GAVE_UP", 1800), ("PROBED", 2280)]
+    assert not [t for e, t in d.events if e == "POINT" and (240_000 < t < 360_000 or 1_080_000 < t < 1_560_000)]
+
+
+def test_a_good_fix_ends_the_longer_waits():
+    d = Driven().reading("DRIVING", 0)
+    for k in range(100):
+        d.fix(k * 10_000, 0, accuracy=5.0 if k == 40 else 100.0)
+    assert [(e, t // 1000) for e, t in d.events if e in ("GAVE_UP", "PROBED")] == [("GAVE_UP", 240), ("PROBED", 360), ("GAVE_UP", 640), ("PROBED", 760)]
 
 
 def test_departure():

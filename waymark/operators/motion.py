@@ -85,3 +85,47 @@ def arrivals(points: DataFrame, resume_ms: int = 180_000) -> DataFrame:
 
     rows = fold_rows("fixes", start, step, "struct<since_ms:bigint,at_ms:bigint>")
     return runs.select(*TRACK, F.explode(rows).alias("x")).select(*TRACK, "x.*")
+
+
+#: How old the last satellite fix may be, least confidence of a snapshot, oldest reading that is live.
+GNSS_MS, LEAST_CONFIDENCE = 5_000, 50
+
+
+def gnss_backed(last_gnss_ms: Column, fix_ms: Column) -> Column:
+    """Whether satellites stand behind a fix: the last satellite fix is recent, or none was ever heard of (0)."""
+    return (last_gnss_ms == 0) | (fix_ms - last_gnss_ms <= GNSS_MS)
+
+
+def with_gnss(points: DataFrame) -> DataFrame:
+    """Adds gnss to points: by the last fix with satellites up to each one of its track."""
+    last = F.max(F.when(F.col("satellites") >= 1, F.col("ts_ms"))).over(in_order())
+    return points.withColumn("gnss", gnss_backed(F.coalesce(last, F.lit(0)), F.col("ts_ms")))
+
+
+def interpreted(activity: Column, enters: Column) -> Column:
+    """What a transition says: entering an activity is that activity, leaving one that moves is STILL, else nothing."""
+    return F.when(enters, activity).when(~activity.isin("STILL", "UNKNOWN"), "STILL")
+
+
+def confirmed(activity: Column, confidence: Column, had_transition: Column) -> Column:
+    """Whether a snapshot of the activity counts: known, sure enough, and before the first transition."""
+    return ~had_transition & (confidence >= LEAST_CONFIDENCE) & (activity != "UNKNOWN")
+
+
+def proves_deaf(event_ms: Column, reading_ms: Column, last_ms: Column, armed_ms: Column, now_ms: Column, stale_ms: int = 300_000, advance_ms: int = 0) -> Column:
+    """Whether a reading shows that earlier ones didn't get through: it is late, and newer than the last one and than arming."""
+    return event_ms.isNotNull() & (reading_ms > last_ms + advance_ms) & (reading_ms > armed_ms) & (now_ms - reading_ms > stale_ms)
+
+
+def card_state(armed: Column, tracking: Column, recording: Column, paused: Column, suspended: Column, points: Column, has_track: Column, set_up: Column) -> Column:
+    """What the recorder's card shows."""
+    state = (
+        F.when(~armed, "STATS_ONLY")
+        .when(recording & has_track & (points >= 2), "LIVE_MAP")
+        .when(recording & suspended, "NO_GPS_SIGNAL")
+        .when(recording, "WAITING_FOR_GPS")
+        .when(tracking & paused, "PAUSED")
+        .when(tracking, "WAITING_FOR_MOVEMENT")
+        .otherwise("STARTING")
+    )
+    return F.when(set_up | (state == "LIVE_MAP"), state).otherwise("SETUP")

@@ -136,18 +136,19 @@ def judged(points: DataFrame, distance: Distance = haversine_m, rule: Quality =
     return t.select(*TRACK, F.explode(rows).alias("x")).select(*TRACK, "x.seq", "x.reason")
 
 
-def restored_jumps(judged_points: DataFrame, ceiling: float, distance: Distance = haversine_m) -> DataFrame:
-    """Jumps that a higher ceiling takes back; each becomes the base of the next step.
+def restored_jumps(judged_points: DataFrame, ceiling: float | Column, distance: Distance = haversine_m) -> DataFrame:
+    """Jumps that a higher ceiling (km/h, a number or of each point) takes back; each becomes the base of the next step.
 
     judged_points: points with reason. Other ignored fixes are passed over.
     """
-    fix = F.struct("ts_ms", "seq", "lat", "lon", "reason")
+    most = ceiling if isinstance(ceiling, Column) else F.lit(float(ceiling))
+    fix = F.struct("ts_ms", "seq", "lat", "lon", "reason", most.alias("most"))
     t = judged_points.groupBy(*TRACK).agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
     start = F.struct(F.lit(None).cast("bigint").alias("ts"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
 
     def step(acc: Column, x: Column) -> tuple[Column, Column]:
         base = x["reason"].isNull() | (x["reason"] == "edge_stay")
-        fits = acc["ts"].isNull() | (step_kmh(distance(acc["lat"], acc["lon"], x["lat"], x["lon"]), x["ts_ms"] - acc["ts"]) <= ceiling)
+        fits = acc["ts"].isNull() | (step_kmh(distance(acc["lat"], acc["lon"], x["lat"], x["lon"]), x["ts_ms"] - acc["ts"]) <= x["most"])
         back = F.coalesce((x["reason"] == "jump") & fits, F.lit(False))
         keep = lambda new, old: F.when(base | back, new).otherwise(old)
         after = F.struct(keep(x["ts_ms"], acc["ts"]).alias("ts"), keep(x["lat"], acc["lat"]).alias("lat"), keep(x["lon"], acc["lon"]).alias("lon"))

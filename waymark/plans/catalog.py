@@ -6,44 +6,18 @@ Both engines measure on the sphere here; the ellipsoid is for production use.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
 from waymark.config import Dwell, Edge
 from waymark.operators import cities, dwells, finish, intervals, journeys, motion, places, points, suggest, totals, tracks
-from waymark.plans.ctes import BY_FIX, BY_START, DAY, TRACK, haversine, sql
+from waymark.plans.ctes import BY_FIX, BY_START, DAY, NEAR, TRACK, between, haversine, sql, verdict
 from waymark.plans.history import NOW_MS, History
+from waymark.plans.registry import KEY, QUERIES, SQL, long, query, r  # noqa: F401
 from waymark.schemas import NOT_VISITED
 from waymark.sources import gpx
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-KEY = ["device_id", "track_id"]
-
-
-def query(oracle: str | None = None):
-    def register(f: Callable[[History], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(History(spark, sf_dir))
-        if oracle:
-            SQL[f.__name__] = sql(oracle)
-        return f
-
-    return register
-
-
-def r(column: Column | str, digits: int = 3) -> Column:
-    name = column if isinstance(column, str) else None
-    out = F.round(column, digits)
-    return out.alias(name) if name else out
-
-
-def long(column: str) -> Column:
-    return F.col(column).cast("long").alias(column)
-
-
 # --- fixes of a track
 
 
@@ -123,8 +97,9 @@ def jumps_sql(ceiling: str) -> str:
         from walk w join numbered f on f.device_id = w.device_id and f.track_id = w.track_id and f.n = w.n + 1))"""
 
 
-def recursive(select: str, ctes: str) -> str:
-    heads = sql(f"select * from pts, ({select})").split("\nselect * from pts")[0].removeprefix("with ")
+def recursive(select: str, ctes: str, *needs: str) -> str:
+    """ctes, which may name themselves, and before them what they need of the common ones."""
+    heads = sql(" ".join(f"from {n}" for n in needs or ("pts",))).rsplit("\n", 1)[0].removeprefix("with ")
     return f"with recursive {heads},\n{ctes}\n{select}"
 
 
@@ -143,6 +118,21 @@ def jump_restores(h: History) -> DataFrame:
     return points.restored_jumps(judged, 220.0).select(*KEY, long("seq"))
 
 
+BACK_M = haversine("b.g_lat", "b.g_lon", "f.lat", "f.lon")
+BACK_KMH = f"case when f.ts_ms > b.g_ts then {BACK_M} / ((f.ts_ms - b.g_ts) / 1000e0) * 3.6e0 when {BACK_M} > 10 then 'inf'::double else 0e0 end"
+SQL["jump_restores"] = recursive(
+    f"select {TRACK}, seq::bigint as seq from backs where came",
+    jumps_sql(CEILING)
+    + f""",
+    told as (select w.*, p.ts_ms, p.lat, p.lon from walk w join pts p on p.device_id = w.device_id and p.track_id = w.track_id and p.seq = w.seq),
+    backs as (
+      select device_id, track_id, n, seq, coalesce(reason = 'jump', false) as came, case when reason is null or reason = 'jump' then ts_ms end as g_ts, case when reason is null or reason = 'jump' then lat end as g_lat, case when reason is null or reason = 'jump' then lon end as g_lon from told where n = 1
+      union all
+      select device_id, track_id, n, seq, came, case when came or reason is null then ts_ms else g_ts end, case when came or reason is null then lat else g_lat end, case when came or reason is null then lon else g_lon end
+      from (select f.*, b.g_ts, b.g_lat, b.g_lon, coalesce(f.reason = 'jump' and (b.g_ts is null or {BACK_KMH} <= 220), false) as came from backs b join told f on f.device_id = b.device_id and f.track_id = b.track_id and f.n = b.n + 1))""",
+)
+
+
 @query("select coalesce(reason, 'none') as reason, count(*) as fixes, count(distinct track_id) as tracks from (select track_id, case when ignored then 'accuracy' when satellites < 1 then 'no_gnss' end as reason from pts) group by all")
 def ignored_summary(h: History) -> DataFrame:
     reason = F.when(F.col("ignored"), "accuracy").when(F.col("satellites") < 1, "no_gnss").otherwise("none")
@@ -357,20 +347,59 @@ def recenter_targets(h: History) -> DataFrame:
     return t.select("device_id", "place_id", r("to_lat", 6), r("to_lon", 6), r("off_m"))
 
 
+#: A recursive walk over each device's endpoints in order: the anchors so far are carried along as a list.
+ANCHOR_M = haversine("lat", "lon", "anchors[i + 1].lat", "anchors[i + 1].lon")
+LEADERS = f"""led as (
+      select device_id, 0::bigint as n, list(struct_pack(lat := lat, lon := lon, r := radius_m) order by seed_index) as anchors, null::bigint as track_id, null::boolean as is_start, null::double as lat, null::double as lon, null::bigint as cluster from pins group by device_id
+      union all
+      select device_id, n, case when pick is null then list_append(anchors, struct_pack(lat := lat, lon := lon, r := 150e0)) else anchors end, track_id, is_start, lat, lon, coalesce(pick, len(anchors)) from (
+        select *, list_min(list_filter(list_transform(range(0, len(anchors)), lambda i: struct_pack(d := {ANCHOR_M}, i := i)), lambda x: x.d <= anchors[x.i + 1].r)).i as pick
+        from (select e.device_id, e.n, w.anchors, e.track_id, e.is_start, e.lat, e.lon from led w join epn e on e.device_id = w.device_id and e.n = w.n + 1))),
+    clu as (select * from led where n > 0)"""
+
+
+def clustered(h: History) -> DataFrame:
+    return places.greedy_clusters(h.endpoints, h.pins, distance=geo.one_sphere_m)
+
+
 @query()
 def clusters(h: History) -> DataFrame:
     """Endpoints and the places that they found or join, in their order."""
-    c = places.greedy_clusters(h.endpoints, h.pins)
-    return c.select("device_id", "track_id", "is_start", "cluster", "seed", r("anchor_lat", 6), r("anchor_lon", 6))
+    return clustered(h).select("device_id", "track_id", "is_start", "cluster", "seed", r("anchor_lat", 6), r("anchor_lon", 6))
+
+
+SQL["clusters"] = recursive(f"select {TRACK}, is_start, cluster, case when cluster < 4 then cluster end as seed, round(anchors[cluster + 1].lat, 6) as anchor_lat, round(anchors[cluster + 1].lon, 6) as anchor_lon from clu", LEADERS, "epn", "pins")
 
 
 @query()
 def cluster_centroids(h: History) -> DataFrame:
-    c = places.greedy_clusters(h.endpoints, h.pins)
-    e = h.endpoints.join(c.select(*KEY, "is_start", "cluster"), [*KEY, "is_start"])
+    e = h.endpoints.join(clustered(h).select(*KEY, "is_start", "cluster"), [*KEY, "is_start"])
     return places.centroids(e).select("device_id", "cluster", "members", r("lat", 6), r("lon", 6))
 
 
+SQL["cluster_centroids"] = recursive("select device_id, cluster, count(*) as members, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon from clu group by all", LEADERS, "epn", "pins")
+
+
+@query()
+def stays_by_cluster(h: History) -> DataFrame:
+    """What lies between neighbouring tracks; one cluster at both ends is one place."""
+    c = clustered(h)
+    side = lambda start, name: c.where(F.col("is_start") == start).select(*KEY, F.col("cluster").alias(name))
+    e = h.ends.join(side(True, "start_cluster"), KEY, "left").join(side(False, "end_cluster"), KEY, "left")
+    v = intervals.verdicts(intervals.between_tracks(e))
+    return v.select("device_id", "after_track_id", "kind", "reason", "start", "end", F.when(F.col("kind") == "STAY", F.coalesce("from_cluster", "to_cluster")).alias("cluster"))
+
+
+SQL["stays_by_cluster"] = recursive(
+    """select device_id, after_track_id, kind, reason, "start", "end", case when kind = 'STAY' then coalesce(from_cluster, to_cluster) end as cluster from cvl""",
+    LEADERS
+    + f""",
+    ced as (select e.*, s.cluster as start_cluster, f.cluster as end_cluster from ends e left join clu s on s.device_id = e.device_id and s.track_id = e.track_id and s.is_start left join clu f on f.device_id = e.device_id and f.track_id = e.track_id and not f.is_start),
+    cvl as ({verdict(f"({NEAR} or coalesce(from_cluster = to_cluster, false))")} from ({between("ced", ", end_cluster as from_cluster, lead(start_cluster) over w as to_cluster")}))""",
+    "epn", "pins", "ends",
+)
+
+
 @query("select device_id, place_id, case when place_id % 2 = 0 then 'place:' || place_id else format('cluster:{:.5f},{:.5f}', lat, lon) end as key from pins")
 def place_keys(h: History) -> DataFrame:
     known = F.when(F.col("place_id") % 2 == 0, F.col("place_id"))
@@ -546,6 +575,19 @@ def arrivals(h: History) -> DataFrame:
     return motion.arrivals(motion.verdicts(points.good(h.points), 200_000, Live(still_m=60.0, moving_m=120.0)))
 
 
+SLOW = MOTION.replace("moved >= 40", "moved >= 120").replace("<= 15", "<= 60")
+SQL["arrivals"] = recursive(
+    f"select {TRACK}, since as since_ms, ts_ms as at_ms from waits where fires",
+    f"""moves as (select *, row_number() over ({BY_FIX}) as k from {SLOW}),
+    waits as (
+      select device_id, track_id, k, ts_ms, case when motion = 'STOPPED' then ts_ms end as since, false as fires from moves where k = 1
+      union all
+      select device_id, track_id, k, ts_ms, since, coalesce(motion != 'MOVING' and ts_ms - since >= 240000, false) from (
+        select m.device_id, m.track_id, m.k, m.ts_ms, m.motion, case when m.motion = 'MOVING' then null else coalesce(case when not w.fires then w.since end, case when m.motion = 'STOPPED' then m.ts_ms end) end as since
+        from waits w join moves m on m.device_id = w.device_id and m.track_id = w.track_id and m.k = w.k + 1))""",
+)
+
+
 #: Tuned to fixes that are a minute or two apart.
 SPARSE = Dwell(corral_m=80.0, min_s=120.0, soft_exit_s=300.0, hard_exit_m=160.0, drift_m_min=40.0, decimate_s=1.0)
 

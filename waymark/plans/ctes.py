@@ -74,6 +74,7 @@ CTES = {
     "pname": """select p.device_id, p.seed_index as pin, p.place_id, case when p.category = 'home' then p.label else c.city end as name, c.city || ', ' || c.country as city, c.country from pins p join pcity c on c.place_id = p.place_id""",
     "endp": """select device_id, track_id, true as is_start, started_at as at_ms, start_lat as lat, start_lon as lon from ends where start_lat is not null
       union all select device_id, track_id, false, ended_at, end_lat, end_lon from ends where end_lat is not null""",
+    "epn": "select e.*, row_number() over (partition by e.device_id order by t.started_at, e.track_id, not e.is_start) as n from endp e join trk t on t.device_id = e.device_id and t.track_id = e.track_id",
     "near": f"""select e.*, p.seed_index as pin, {haversine('e.lat', 'e.lon', 'p.lat', 'p.lon')} as metres, p.radius_m from endp e join pins p on e.device_id = p.device_id
       where {haversine('e.lat', 'e.lon', 'p.lat', 'p.lon')} <= p.radius_m""",
     "best": f"select {TRACK}, is_start, min(struct_pack(metres := metres, pin := pin)) as b from near group by all",

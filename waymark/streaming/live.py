@@ -24,10 +24,12 @@ INPUT = "device_id long, kind string, at timestamp, at_ms long, seq long, lat do
 OUTPUT = "device_id long, event string, track_no long, at_ms long, seq long, activity string, reason string, motion string, segment_start boolean"
 STATE = (
     "phase string, activity string, confirmed string, held string, held_kind string, deadline long, track_no long, last_reading long, good_ts long, good_lat double, good_lon double, pending boolean, stopped_since long, "
-    "times array<long>, lats array<double>, lons array<double>, still_ms long, fast_ms long, sample_ms long, sample_still boolean, sample_fast boolean, accepted_ms long, anchor_lat double, anchor_lon double, anchor_m double, nearly boolean"
+    "times array<long>, lats array<double>, lons array<double>, still_ms long, fast_ms long, sample_ms long, sample_still boolean, sample_fast boolean, accepted_ms long, anchor_lat double, anchor_lon double, anchor_m double, nearly boolean, probe_ms long, failed int, retry_ms long"
 )
 #: Oldest reading that is believed, wait for an arrival, waits of the carrier rule, margins of a departure, sharp enough an anchor.
 OLDEST_READING_MS, ARRIVAL_MS, GIVE_UP_MS = 6 * 3_600_000, 240_000, 240_000
+#: After reception was given up, the first wait until it is tried again, and the longest.
+RETRY_MS, RETRY_MOST_MS = 120_000, 480_000
 CREDIT_MS, STILL_PROVES_MS, FAST_PROVES_MS = 35_000, 60_000, 120_000
 MARGIN_M, SOLO_MARGIN_M, SHARP_M = 50.0, 150.0, 50.0
 FOOT_KMH = 30.0
@@ -63,6 +65,9 @@ class Recorder:
     anchor_lon: float | None = None
     anchor_m: float | None = None
     nearly: bool = False
+    probe_ms: int | None = None
+    failed: int = 0
+    retry_ms: int | None = None
 
     def event(self, name: str, at: int, **more) -> dict:
         return {"event": name, "track_no": self.track_no, "at_ms": at, "activity": self.activity} | more
@@ -90,7 +95,8 @@ class Recorder:
         self.phase, self.activity, self.deadline = "RECORDING", activity, None
         self.good_ts = self.good_lat = self.good_lon = self.stopped_since = self.sample_ms = None
         self.still_ms = self.fast_ms = 0
-        self.pending, self.accepted_ms = False, at
+        self.pending, self.accepted_ms = False, None
+        self.probe_ms, self.failed, self.retry_ms = at, 0, None
         self.anchor_lat = self.anchor_lon = self.anchor_m = None
         return self.event("START", at)
 
@@ -98,7 +104,7 @@ class Recorder:
         proven = self.still_ms >= STILL_PROVES_MS or self.fast_ms >= FAST_PROVES_MS
         renamed = "UNKNOWN" if proven and group(self.activity) == "FOOT" else self.activity
         out = self.event("FINISH", at) | {"activity": renamed}
-        self.phase, self.activity, self.deadline = "IDLE", None, None
+        self.phase, self.activity, self.deadline, self.retry_ms = "IDLE", None, None, None
         return out
 
     def tick(self, now: int) -> list[dict]:
@@ -142,6 +148,11 @@ class Recorder:
         out = self.tick(at)
         if self.phase != "RECORDING":
             return out
+        if self.retry_ms is not None:
+            if at < self.retry_ms:
+                return out
+            self.retry_ms, self.probe_ms, self.accepted_ms = None, at, None
+            out.append(self.event("PROBED", at))
         motion, mps = self.motion(at, rule)
         reason = "no_gnss" if x["gnss_ok"] is False else "accuracy" if x["accuracy"] is not None and x["accuracy"] >= quality.max_accuracy_m else None
         if reason is None and self.good_ts is not None and not self.pending:
@@ -156,7 +167,7 @@ class Recorder:
         self.sample(at, motion, mps)
         begins = self.pending and reason is None
         if reason is None:
-            self.good_ts, self.good_lat, self.good_lon, self.pending, self.accepted_ms = at, lat, lon, False, at
+            self.good_ts, self.good_lat, self.good_lon, self.pending, self.accepted_ms, self.failed = at, lat, lon, False, at, 0
         out.append(self.event("POINT", at, seq=x["seq"], reason=reason, motion=motion, segment_start=begins))
         if self.held and not contradicts(self.held, motion, mps):
             out += self.settle(self.held, at, resume_ms)
@@ -188,10 +199,12 @@ class Recorder:
         return [self.event("ARRIVED", since), *stop, *self.tick(at)]
 
     def lost(self, at: int, motion: str) -> list[dict]:
-        """Nothing good for long, and not on the move: reception is given up for a while."""
-        if self.phase != "RECORDING" or motion == "MOVING" or self.accepted_ms is None or at - self.accepted_ms < GIVE_UP_MS:
+        """Nothing good for long, and not on the move: reception is given up, for longer each time that trying fails."""
+        since = max(self.probe_ms or 0, self.accepted_ms or 0)
+        if self.phase != "RECORDING" or motion == "MOVING" or at - since < GIVE_UP_MS:
             return []
-        self.accepted_ms = at
+        self.failed += 1
+        self.retry_ms = at + min(RETRY_MS << min(self.failed - 1, 2), RETRY_MOST_MS)
         return [self.event("GAVE_UP", at)]
 
     def position(self, x: dict) -> list[dict]:
