@@ -55,3 +55,20 @@ def test_nothing_to_learn(spark):
 def test_same_again(spark):
     one, two = (sorted(map(tuple, queries.op7_lang_id(spark, SF).collect())) for _ in range(2))
     assert one == two
+
+
+def test_rows_without_an_id_or_of_one_text_leave_the_sample_bounded(spark):
+    rows = [(None, f"words of the text number {i} in english", "en", None, None) for i in range(3000)] + [(i, "always the same text", "en", None, None) for i in range(3000)]
+    docs = frame(spark, rows, SCHEMA)
+    from waymark.llm.common import sampled
+
+    assert sampled(docs.select("lang", "text"), 100).count() < 160
+
+
+def test_columns_with_the_names_of_added_ones(spark):
+    docs = spark.createDataFrame([(1, "the words", 7, "x")], "doc_id long, text string, score int, lang_pred string")
+    model = lang_id.train(spark.createDataFrame([("en", "the words of a text"), ("fr", "les mots du texte")], "lang string, text string"))
+    got = lang_id.predict(docs, model).first()
+    assert got["lang_pred"] in ("en", "fr") and isinstance(got["score"], float)
+    kept = lang_id.predict(docs, model, "_l", "_s").first()
+    assert (kept["score"], kept["lang_pred"]) == (7, "x") and kept["_l"] in ("en", "fr")

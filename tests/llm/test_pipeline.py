@@ -66,6 +66,23 @@ def test_empty_documents(spark):
 
 
 def test_odd_documents(spark):
-    docs = frame(spark, [(None, None, None, None, None), (1, "", None, None, 0), (2, "the words of a text that is long enough to tell", "en", "web", 1), (2, "the words of a text that is long enough to tell", "en", "web", 1)], SCHEMA)
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, SF).collect()
+    text = "the words of a text that is long enough to tell"
+    rows = [(None, None, None, None, None), (1, "", None, None, 0), (2, text, "en", "web", 1), (2, text, "en", "web", 1), (3, (text + " ") * 40_000, "en", None, 1), (4, text.upper(), None, "web", 1)]
+    docs = frame(spark, rows, SCHEMA)
+    kept = [sorted(r["doc_id"] for r in stage(spark, docs, SF).collect() if r["doc_id"] is not None) for _, stage in corpus_pipeline.STAGES[:4]]
+    assert kept[0] == [2, 2, 3, 4]
+    assert kept[1] == [1, 2, 2, 3]  # a text in capitals is a copy; a repeated row stays or goes with its like
+    assert kept[2] == [1, 2, 2, 3, 4]
+    assert set(kept[3]) <= {1, 2, 3, 4} and max(map(kept[3].count, kept[3])) <= 4
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == len(rows)
+
+
+def test_columns_with_the_names_of_inner_ones(spark):
+    more = ["score", "lang_pred", "size", "target", "copies", "taken", "tokens", "rep", "component_id", "item_id"]
+    rows = [(i, f"the words of text number {i} are long enough to tell what they are in", "en" if i % 2 else "fr", "web", 1, *range(len(more))) for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", {c} int" for c in more))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and got
+        assert all([r[c] for c in more] == list(range(len(more))) for r in got)

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 
@@ -67,3 +69,37 @@ def test_models_tell_random_from_names(spark):
 def test_train_on_nothing(spark):
     none = frame(spark, [], "s string")
     assert set(secret_scan.train(none, none)) == {0.0}
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """A megabyte of one candidate, and a text of very many matches."""
+    rng = random.Random(3)
+    blob = "".join(rng.choice(secret_scan.ALPHABET[:64]) for _ in range(1_000_000))
+    many = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(16)) for _ in range(100_000))
+    ratios = secret_scan.train(secret_scan.random_strings(spark), spark.createDataFrame([("ordinary_names",), ("of_identifiers",)], "s string"))
+    for text, kind, n in ((blob, "n_markov", 1), (many, "n_hex", 100_000)):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = secret_scan.scan(df, ratios).first()
+        assert time.perf_counter() - began < 30
+        assert row[kind] == n
+
+
+def test_model_spans_stay_off_the_patterns(spark):
+    rng = random.Random(6)
+    piece = lambda n: "".join(rng.choice(secret_scan.ALPHABET[:64]) for _ in range(n))
+    rows = []
+    for i in range(120):
+        parts = [rng.choice([piece(30), "password = " + piece(20), "token=" + piece(9) + "." + piece(25), "0123456789abcdef0123", "plain words", "AKIA" + "ABCDEFGH12345678", piece(24)]) for _ in range(rng.randint(0, 8))]
+        rows.append((i, rng.choice([" ", "\n", ", "]).join(parts)))
+    ratios = secret_scan.train(secret_scan.random_strings(spark), spark.createDataFrame([("ordinary_names",)], "s string"))
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratios, least=-1e9, per_char=-1e9).collect()
+    texts, left_out = dict(rows), 0
+    for r in got:
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)]
+        base = [(a, b) for k, a, b in spans if k != "markov"]
+        runs = [(m.start(), m.end()) for m in re.finditer(secret_scan.CANDIDATE.replace("}+", "}"), texts[r["doc_id"]])]
+        free = [(a, b) for a, b in runs if not any(x < b and a < y for x, y in base)]
+        left_out += len(runs) - len(free)
+        assert [(a, b) for k, a, b in spans if k == "markov"] == free
+    assert left_out > 20

@@ -15,6 +15,7 @@ word's bucket, but those of very frequent words are dealt out by history as well
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 from waymark.llm.common import discard, mix, part_of, slices, stored, word_hashes
 
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 #: Bytes of text for each bucket of words, about.
 BUCKET_BYTES = 16 << 20
 #: Buckets are counted in so many rounds, so that what is shuffled at once is smaller.
-ROUNDS = 2
+ROUNDS = 3
 #: A word is frequent if it is every so many-eth token of a chunk; one that is every 2 x so many-eth of all is dealt out.
 FREQUENT = 1000
 #: Counts up to this are discounted.
@@ -340,19 +341,18 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, chunk_b
     often = chunks.select(F.explode(F.arrays_zip("often", "often_n")).alias("x")).groupBy("x.often").agg(F.sum("x.often_n").alias("n"))
     # fewer than 2 x FREQUENT words
     hot = np.sort(np.array([r["often"] for r in often.where(F.col("n") * (2 * FREQUENT) >= size["tokens"]).collect()], np.int64).view(np.uint64))
-    counted = None
-    for turn in range(ROUNDS):
-        part = stored(asked(chunks, buckets, hot, turn).groupBy("bucket").applyInArrow(lambda rows: _count(rows, hot), COUNTED), "counts")
-        counted = part if counted is None else counted.unionByName(part)
+    parts = [stored(asked(chunks, buckets, hot, turn).groupBy("bucket").applyInArrow(lambda rows: _count(rows, hot), COUNTED), "counts") for turn in range(ROUNDS)]
+    counted = reduce(DataFrame.unionByName, parts)
     model = Model({r["fact"]: r["n"] for r in counted.where("fact is not null").groupBy("fact").agg(F.sum("value").alias("n")).collect()})
     masses = stored(histories(counted, model), "histories")
     answers = counted.where("chunk is not null")
     home = answers.where("not away").select("chunk", "bucket", "words", "c", "c_large")
     bucket = F.pmod(F.shiftrightunsigned("h", 20).bitwiseAND(F.lit(0x7FFFFFFF)), F.lit(buckets)).cast("int")
-    weights = stored(home.groupBy("bucket").cogroup(masses.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(_weights, "chunk long, bucket int, away boolean, back binary"), "weights")
-    discard(masses)
+    weights = home.groupBy("bucket").cogroup(masses.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(_weights, "chunk long, bucket int, away boolean, back binary")
     none = F.lit(None).cast("binary")
     told = answers.select("chunk", "bucket", "away", "c", "c_large", "cs", "cs_large", none.alias("back"))
-    told = told.unionByName(weights.select("chunk", "bucket", "away", *[none.alias(k) for k in ("c", "c_large", "cs", "cs_large")], "back"))
+    told = stored(told.unionByName(weights.select("chunk", "bucket", "away", *[none.alias(k) for k in ("c", "c_large", "cs", "cs_large")], "back")), "answers")
+    for done in (*parts, masses):  # what the answers were made of
+        discard(done)
     d = chunks.select("chunk", "ids", "train", "sizes", "texts", "bytes")
     return d.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda left, right: _score(left, right, model, buckets, hot), SCORES)
