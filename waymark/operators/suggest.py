@@ -14,6 +14,8 @@ from waymark.schemas import CATEGORIES
 
 # Smoothing, the share of features that must be known, the spread of scores per feature, suggestions.
 ALPHA, KNOWN, SPREAD, MOST = 0.35, 0.6, 0.2, 3
+#: Categories that there may be; they are broadcast.
+MOST_CATEGORIES = 1000
 
 
 def features_of(folded: Column) -> Column:
@@ -46,15 +48,17 @@ def suggestions(names: DataFrame, places: DataFrame, order: dict | list = CATEGO
     examples = examples_of(places).groupBy("category").agg(F.count("*").alias("examples"))
     vocabulary = n.select("feature").distinct()
     per = n.groupBy("category").agg(F.sum("n").alias("total")).join(examples, "category")
-    every = per.agg(F.sum("examples").alias("all_examples")).crossJoin(vocabulary.agg(F.count("*").alias("vocabulary")))  # one row
-    per = per.crossJoin(F.broadcast(every)).withColumn("den", F.col("total") + ALPHA * F.col("vocabulary"))
+    every = per.agg(F.sum("examples").alias("all_examples"), F.count("*").alias("categories")).crossJoin(vocabulary.agg(F.count("*").alias("vocabulary")))  # one row
+    # what is broadcast is one row, and below a list of categories whose size is checked
+    per = per.crossJoin(F.broadcast(every)).withColumn("total", F.when(F.col("categories") <= MOST_CATEGORIES, F.col("total")).otherwise(F.raise_error(F.lit("too many categories")).cast("long")))
+    per = per.withColumn("den", F.col("total") + ALPHA * F.col("vocabulary"))
     per = per.withColumn("prior", F.log(F.col("examples") / F.col("all_examples"))).select("category", "den", "prior")
     name = names.select("name").distinct().withColumn("folded", fold_text("name")).withColumn("features", features_of(F.col("folded"))).withColumn("k", F.size("features")).where("k > 0")
     f = name.select("name", "k", F.explode("features").alias("feature"))
     known = f.join(vocabulary, "feature", "left_semi").groupBy("name", "k").agg(F.count("*").alias("known")).where(F.col("known") / F.col("k") >= KNOWN)
     # a category's score is that of a name it knows nothing of, and more for each feature that it has seen
     seen = f.join(n, "feature").groupBy("name", "category").agg(F.sum(F.log((F.col("n") + ALPHA) / ALPHA)).alias("more"))
-    pairs = known.select("name", "k").crossJoin(F.broadcast(per))  # categories are a closed list
+    pairs = known.select("name", "k").crossJoin(F.broadcast(per))
     s = pairs.join(seen, ["name", "category"], "left").withColumn("score", F.col("prior") + F.col("k") * F.log(F.lit(ALPHA) / F.col("den")) + F.coalesce("more", F.lit(0.0)))
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("category")), F.lit(0)), F.lit(1 << 20))
     w = Window.partitionBy("name").orderBy(F.desc("score"), place, "category")

@@ -765,23 +765,23 @@ def track_replay(h: History) -> DataFrame:
     return finish.replayed(h.points).select(*KEY, long("seq"), long("play_ms"))
 
 
-@query(f"""select device_id, coalesce(new_id, track_id) as track_id, count(*) as fixes from (select p.device_id, p.track_id, case when c.legal and p.ts_ms >= c.cut then p.track_id + 1000000 end as new_id from pts p
-    left join (select p.device_id, p.track_id, t.cut, count(*) filter (where ts_ms < t.cut) >= 2 and count(*) filter (where ts_ms >= t.cut) >= 2 as legal from pts p join (select {TRACK}, started_at + (ended_at - started_at) // 2 as cut from trk where track_id % 3 = 0) t on t.device_id = p.device_id and t.track_id = p.track_id
+@query(f"""select device_id, coalesce(new_id, track_id) as track_id, count(*) as fixes from (select p.device_id, p.track_id, case when c.legal and p.ts_ms >= c.cut then p.track_id + 1000000000000 end as new_id from pts p
+    left join (select p.device_id, p.track_id, t.cut, count(*) filter (where ts_ms < t.cut) >= 2 and count(*) filter (where ts_ms >= t.cut) >= 2 as legal from pts p join (select {TRACK}, started_at + (ended_at - started_at) // 2 as cut from trk) t on t.device_id = p.device_id and t.track_id = p.track_id
       where not ignored group by all) c on c.device_id = p.device_id and c.track_id = p.track_id) group by all""")
 def split_tracks(h: History) -> DataFrame:
-    """Every third track cut in the middle of its time."""
-    cuts = h.tracks.where("track_id % 3 = 0").select(*KEY, F.expr("started_at + (ended_at - started_at) div 2").alias("cut"), (F.col("track_id") + 1_000_000).alias("new_id"))
+    """Every track cut in the middle of its time."""
+    cuts = h.tracks.select(*KEY, F.expr("started_at + (ended_at - started_at) div 2").alias("cut"), (F.col("track_id") + 1_000_000_000_000).alias("new_id"))
     return finish.split(h.points, cuts).groupBy(*KEY).agg(F.count("*").alias("fixes"))
 
 
 @query(
-    f"""select d.device_id, d.track_id, d.started_at, d.ended_at from (select device_id, track_id, ended_at + 1000 as started_at, ended_at + 61000 as ended_at from trk where track_id % 4 = 0) d
+    f"""select d.device_id, d.track_id, d.started_at, d.ended_at from (select device_id, track_id, ended_at + 1000 as started_at, ended_at + 61000 as ended_at from trk) d
     where not exists (select 1 from gst g where g.device_id = d.device_id and g.first_ms < d.ended_at and g.last_ms > d.started_at)"""
 )
 def manual_tracks(h: History) -> DataFrame:
-    """A minute by hand after every fourth track, where nothing was recorded."""
+    """A minute by hand after every track, where nothing was recorded."""
     lat, lon = F.lit(38.0), F.lit(-9.0)
-    d = h.tracks.where("track_id % 4 = 0").select("device_id", F.col("track_id").alias("cand_id"), "activity", (F.col("ended_at") + 1000).alias("from_ms"), (F.col("ended_at") + 61_000).alias("to_ms"), lat.alias("from_lat"), lon.alias("from_lon"), lat.alias("to_lat"), lon.alias("to_lon"))
+    d = h.tracks.select("device_id", F.col("track_id").alias("cand_id"), "activity", (F.col("ended_at") + 1000).alias("from_ms"), (F.col("ended_at") + 61_000).alias("to_ms"), lat.alias("from_lat"), lon.alias("from_lon"), lat.alias("to_lat"), lon.alias("to_lon"))
     return finish.manual(d, h.points)[0].select(*KEY, "started_at", "ended_at")
 
 
