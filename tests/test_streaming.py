@@ -149,7 +149,7 @@ def test_replay_equals_batch(spark):
     for a, b in zip(cuts, cuts[1:]):  # files are read in the order in which they were written
         rows.where(F.col("at_ms").between(a, b - 1)).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    quiet = live.live(stream, late="40 days", resume_ms=0, rule=Live(moving_m=1e12, still_m=-1.0), quality=Quality())
+    quiet = live.live(stream, late="40 days", resume_ms=0, rule=Live(moving_m=1e12, still_m=-1.0, give_up_s=0), quality=Quality())
     q = quiet.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start()
     q.awaitTermination(300)
     got = spark.read.parquet(f"{out}/rows")

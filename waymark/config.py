@@ -71,3 +71,4 @@ class Live:
     moving_m: float = 40.0
     still_m: float = 15.0
     resume_s: float = 180.0
+    give_up_s: float = 240.0  # 0: reception is never given up

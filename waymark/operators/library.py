@@ -44,10 +44,10 @@ def retyped(tracks: DataFrame, fixes: DataFrame, changes: DataFrame, edge: Edge
     c = changes.select(*TRACK, F.col("activity").alias("_new"))
     old, new = F.col("activity"), F.col("_new")
     f = fixes.join(c, list(TRACK), "left")
-    faster = f.where(ceiling_kmh(new) > ceiling_kmh(old)).withColumn("reason", F.when(F.col("ignored"), F.coalesce("ignore_reason", F.lit("other"))))
+    faster = f.where(new.isNotNull() & (ceiling_kmh(new) > ceiling_kmh(old))).withColumn("reason", F.when(F.col("ignored"), F.coalesce("ignore_reason", F.lit("other"))))
     back = points.restored_jumps(faster, ceiling_kmh(new)).withColumn("_back", F.lit(True))
     f = f.join(back, [*TRACK, "seq"], "left").withColumn("ignored", F.col("ignored") & F.col("_back").isNull())
-    f = f.withColumn("ignore_reason", F.when(F.col("ignored"), F.col("ignore_reason"))).withColumn("_again", F.coalesce(group_of(new) != group_of(old), F.lit(False)))
+    f = f.withColumn("ignore_reason", F.when(F.col("ignored"), F.col("ignore_reason"))).withColumn("_again", new.isNotNull() & (group_of(new) != group_of(old)))
     f = f.withColumn("activity", F.coalesce("_new", "activity")).drop("_new", "_back")
     settled = dwells.settled(f.where("_again"), edge, dwell)
     t = tracks.join(c, list(TRACK), "left").withColumn("activity", F.coalesce("_new", "activity")).drop("_new")

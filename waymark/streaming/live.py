@@ -27,7 +27,7 @@ STATE = (
     "times array<long>, lats array<double>, lons array<double>, still_ms long, fast_ms long, sample_ms long, sample_still boolean, sample_fast boolean, accepted_ms long, anchor_lat double, anchor_lon double, anchor_m double, nearly boolean, probe_ms long, failed int, retry_ms long"
 )
 #: Oldest reading that is believed, wait for an arrival, waits of the carrier rule, margins of a departure, sharp enough an anchor.
-OLDEST_READING_MS, ARRIVAL_MS, GIVE_UP_MS = 6 * 3_600_000, 240_000, 240_000
+OLDEST_READING_MS, ARRIVAL_MS = 6 * 3_600_000, 240_000
 #: After reception was given up, the first wait until it is tried again, and the longest.
 RETRY_MS, RETRY_MOST_MS = 120_000, 480_000
 CREDIT_MS, STILL_PROVES_MS, FAST_PROVES_MS = 35_000, 60_000, 120_000
@@ -171,7 +171,7 @@ class Recorder:
         out.append(self.event("POINT", at, seq=x["seq"], reason=reason, motion=motion, segment_start=begins))
         if self.held and not contradicts(self.held, motion, mps):
             out += self.settle(self.held, at, resume_ms)
-        return out + self.arrived(at, motion, resume_ms) + self.lost(at, motion)
+        return out + self.arrived(at, motion, resume_ms) + self.lost(at, motion, rule)
 
     def sample(self, at: int, motion: str, mps: float) -> None:
         """Evidence that something carries the device: it moves while the body is still, or too fast for its legs."""
@@ -198,10 +198,10 @@ class Recorder:
         stop = self.settle("STILL", since, resume_ms)
         return [self.event("ARRIVED", since), *stop, *self.tick(at)]
 
-    def lost(self, at: int, motion: str) -> list[dict]:
+    def lost(self, at: int, motion: str, rule: Live) -> list[dict]:
         """Nothing good for long, and not on the move: reception is given up, for longer each time that trying fails."""
         since = max(self.probe_ms or 0, self.accepted_ms or 0)
-        if self.phase != "RECORDING" or motion == "MOVING" or at - since < GIVE_UP_MS:
+        if not rule.give_up_s or self.phase != "RECORDING" or motion == "MOVING" or at - since < rule.give_up_s * 1000:
             return []
         self.failed += 1
         self.retry_ms = at + min(RETRY_MS << min(self.failed - 1, 2), RETRY_MOST_MS)
