@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from waymark.llm.common import discard, mix, part_of, slices, stored, word_hashes
 
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 5 << 20
 #: Bytes of text for each bucket of words, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Buckets are counted in so many rounds, so that what is shuffled at once is smaller.
 ROUNDS = 3
 #: A word is frequent if it is every so many-eth token of a chunk; one that is every 2 x so many-eth of all is dealt out.
