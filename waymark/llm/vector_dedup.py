@@ -93,7 +93,7 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
 
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     # (budget - squared distance) / 2 as one product, in single precision: it only leaves out what is clearly farther
-    block = units[:, parts[b]]
+    block, single = units[:, parts[b]], units.astype(np.float32)
     half = ((block * block).sum(axis=1) / 2)[:, None]
     one = np.ones_like(half)
     x, y = (np.hstack(v).astype(np.float32) for v in ((block, -half, one), (block, one, share[b] / 2 - half)))
@@ -106,6 +106,9 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
         i, j = i[ok], j[ok]
         for at in range(0, len(i), 50_000):
             p, q = i[at : at + 50_000], j[at : at + 50_000]
+            # cosines in single precision leave out nearly all, and of the rest the first block that finds a pair counts it
+            close = np.einsum("ij,ij->i", single[p], single[q]) >= cosine - 1e-4
+            p, q = p[close], q[close]
             gaps = np.stack([((units[p, s] - units[q, s]) ** 2).sum(axis=1) for s in parts], axis=1) <= np.array(share)
             p, q = (v[gaps[:, b] & ~gaps[:, :b].any(axis=1)] for v in (p, q))
             dot = (units[p] * units[q]).sum(axis=1)
@@ -115,7 +118,10 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
             p, q = p[links], q[links]
             np.add.at(counts, p, n[q])
             np.add.at(counts, q, n[p])
-            for u, v in zip(p.tolist(), q.tolist()):
+            while (up[up] != up).any():
+                up = up[up]
+            apart = up[p] != up[q]
+            for u, v in zip(p[apart].tolist(), q[apart].tolist()):
                 u, v = root(u), root(v)
                 if u != v:
                     up[max(u, v)] = min(u, v)
