@@ -79,7 +79,7 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
     total = budget(cosine) + SLACK
     ids, n = group.column("rep").to_numpy(), group.column("n").to_numpy()
     side = group.column("side").to_numpy()
-    units = np.array(group.column("unit").to_pylist(), np.float64)
+    units = group.column("unit").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
     b = group.column("block")[0].as_py()
     parts = blocks(units.shape[1])
     share = [total * (p.stop - p.start) / units.shape[1] for p in parts]
