@@ -162,12 +162,12 @@ def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, in order; offsets of each text's words."""
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, A-Z lower-cased unless told not to; offsets of each text's words."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     space = _SPACE[data]
     before = np.concatenate(([True], space[:-1]))
     starts = np.flatnonzero(~space & before)
     ends = np.flatnonzero(space & ~before)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return window_hashes(BYTE_CODES[_FOLD[data]], starts, ends), np.searchsorted(starts, bounds)
+    return window_hashes(BYTE_CODES[_FOLD[data] if fold else data], starts, ends), np.searchsorted(starts, bounds)

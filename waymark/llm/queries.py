@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat_tools, decontaminate, katz, lang_id, mixing, ngram_join, secret_scan, token_bin, url_rules, vector_dedup
-from waymark.llm.common import stored, table, word_count
+from waymark.llm import chat_tools, decontaminate, katz, lang_id, mixing, ngram_join, periodic_runs, secret_scan, token_bin, url_rules, vector_dedup
+from waymark.llm.common import WORD, stored, table, word_count
 from waymark.llm.oracle import ORACLE_SQL  # noqa: F401
 
 #: The rules that op9 judges by.
@@ -93,4 +93,36 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_tools, op2_vector_dedup, op3_decontaminate, op4_token_bin, op5_secret_scan, op6_ngram_join, op7_lang_id, op8_mixing, op9_url_rules, op10_katz)}
+def id_hash(doc_id) -> F.Column:
+    """crc32 of the id in decimal; a null id counts as the text 'null'."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """op13's documents: doc_id, text.
+
+    With h the crc32 of the doc_id and g = floor(h / 10), texts whose h is divisible
+    by 10 repeat, from word a = g % n on, the p = 1 + floor((n - a) / (3 + g % 8))
+    words that stand there; n is the number of words. Other texts stay as they are.
+    """
+    d = docs.select("doc_id", "text", id_hash(F.col("doc_id")).alias("_h"))
+    d = d.withColumn("_w", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    d = d.withColumns({"_n": F.size("_w"), "_g": F.floor(F.col("_h") / 10)})
+    d = d.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int"))
+    d = d.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    times = F.ceil((F.col("_n") - F.col("_a")) / F.col("_p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_w", F.col("_a") + 1, F.col("_p")), times)), F.lit(1), F.col("_n") - F.col("_a"))
+    changed = F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), " ")
+    return d.select("doc_id", F.when(F.col("_a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic_runs.longest(F.col("runs")).alias("r"), digest(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * r.length div r.period")
+    return out.select("doc_id", "n_runs", "r.*", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_tools, op2_vector_dedup, op3_decontaminate, op4_token_bin, op5_secret_scan, op6_ngram_join, op7_lang_id, op8_mixing, op9_url_rules, op10_katz, op13_periodic_runs)}
