@@ -59,4 +59,8 @@ URLS = f"""with r(host, path, verdict) as (values ('com', '/', 'allow'), ('examp
   m as (select p.n, arg_max(r.host || r.path, length(r.host) + length(r.path)) as rule, arg_max(r.verdict, length(r.host) + length(r.path)) as verdict from p join r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by p.n)
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join m on m.n = p.n"""
 
-ORACLE_SQL = {"op1_chat_tools": CHAT, "op2_vector_dedup": VECTORS, "op6_ngram_join": SHINGLES, "op8_mixing": MIXING, "op9_url_rules": URLS}
+TOP_K = """with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+  s as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id != q.vec_id where q.vec_id % 20 = 0)
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s qualify rank <= 20"""
+
+ORACLE_SQL = {"op1_chat_tools": CHAT, "op2_vector_dedup": VECTORS, "op6_ngram_join": SHINGLES, "op8_mixing": MIXING, "op9_url_rules": URLS, "op12_top_k": TOP_K}
