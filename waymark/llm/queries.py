@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat_tools, decontaminate, katz, lang_id, mixing, ngram_join, periodic_runs, secret_scan, token_bin, top_k, url_rules, vector_dedup
+from waymark.llm import chat_tools, decontaminate, katz, lang_id, mixing, ngram_join, periodic_runs, secret_scan, spelling, token_bin, top_k, url_rules, vector_dedup
 from waymark.llm.common import WORD, stored, table, word_count
 from waymark.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -98,6 +98,10 @@ def id_hash(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.vocabulary(table(spark, sf_dir, "documents"), 97))
+
+
 def whole_components(vectors: DataFrame) -> DataFrame:
     """op12's vectors: vec_id and v, floor(64 x) of each component; only those all of whose components are finite."""
     e = F.col("embedding").cast("array<double>")
@@ -137,4 +141,4 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", "r.*", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_tools, op2_vector_dedup, op3_decontaminate, op4_token_bin, op5_secret_scan, op6_ngram_join, op7_lang_id, op8_mixing, op9_url_rules, op10_katz, op12_top_k, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_chat_tools, op2_vector_dedup, op3_decontaminate, op4_token_bin, op5_secret_scan, op6_ngram_join, op7_lang_id, op8_mixing, op9_url_rules, op10_katz, op11_spelling, op12_top_k, op13_periodic_runs)}
