@@ -23,12 +23,12 @@ FIX = ("ts_ms", "seq", "lat", "lon", "speed")
 _A, _E2 = 6_378_137.0, 0.00669437999014
 
 
-def recordings(points: DataFrame) -> DataFrame:
-    """One row per track: device_id, track_id, floor_mps, fixes in order; only good fixes."""
+def recordings(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
+    """One row per track, or by other columns: by, floor_mps, fixes in order; only good fixes."""
     p = points.where(~F.col("ignored"))
     fix = F.struct("ts_ms", "seq", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("speed").cast("double").alias("speed"))
     moves = F.when(group_of(F.col("activity")).isin("VEHICLE", "AIR"), F.lit(5 / 3.6)).otherwise(F.lit(0.0))
-    return p.groupBy(*TRACK).agg(F.max(moves).alias("floor_mps"), F.array_sort(F.collect_list(fix)).alias("fixes"))
+    return p.groupBy(*by).agg(F.max(moves).alias("floor_mps"), F.array_sort(F.collect_list(fix)).alias("fixes"))
 
 
 def near_m(lat1, lon1, lat2, lon2):
@@ -60,21 +60,23 @@ class Fixes:
 
 
 def walked(recordings: DataFrame, walk, schema: str, names: list[str]) -> DataFrame:
-    """Rows that ``walk(fixes, floor_mps)`` yields for each recording, after its device_id and track_id."""
+    """Rows that ``walk(fixes, floor_mps)`` yields for each recording, after the columns that it is told by."""
+    by = [c for c in recordings.columns if c not in ("floor_mps", "fixes")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            devices, tracks, floors, lists = batch.columns
+            floors, lists = batch.columns[-2:]
             values, at = lists.values, lists.offsets.to_numpy()
             out: list[tuple] = []
-            for k, (device, track, floor) in enumerate(zip(devices.to_pylist(), tracks.to_pylist(), floors.to_pylist())):
-                out += [(device, track, *row) for row in walk(Fixes(values.slice(at[k], at[k + 1] - at[k])), floor)]
-            columns = list(zip(*out)) or [()] * (2 + len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], [*TRACK, *names])
+            for k, floor in enumerate(floors.to_pylist()):
+                out += [(k, *row) for row in walk(Fixes(values.slice(at[k], at[k + 1] - at[k])), floor)]
+            rows, *columns = list(zip(*out)) or [()] * (1 + len(names))
+            told = batch.select(by).take(pa.array(list(rows), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*told.columns, *(pa.array(list(c), kind) for c, kind in zip(columns, kinds))], [*by, *names])
 
-    whole = f"device_id long, track_id long, {schema}"
-    kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]] for x in whole.split(", ")]
-    return recordings.select(*TRACK, "floor_mps", "fixes").mapInArrow(run, whole)
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
+    whole = ", ".join(f"{c} {recordings.schema[c].dataType.simpleString()}" for c in by)
+    return recordings.select(*by, "floor_mps", "fixes").mapInArrow(run, f"{whole}, {schema}")
 
 
 def thinned(t: np.ndarray, every_ms: float) -> np.ndarray:
@@ -149,13 +151,15 @@ def moving_bins(f: Fixes, rule: Edge, floor_mps: float, solo_mps: float = 2.5) -
         pace = near_m(f.lat[anchor], f.lon[anchor], f.lat[i], f.lon[i]) / (dt / 1000)
     own = f.speed[i].astype(float)
     votes = (dt >= look / 3) & (pace >= rule.moving_mps) & ~(own < rule.moving_mps)
-    out = []
-    for b in np.unique(bins[i][votes]).tolist():
-        fast = votes & (bins[i] == b)
-        peak, needed = pace[fast].max(), max(least, int((bins == b).sum() * rule.fraction))
-        if peak >= solo_mps or (fast.sum() >= needed and peak >= floor_mps):
-            out.append(b)
-    return np.array(out, np.int64)
+    if not votes.any():
+        return np.zeros(0, np.int64)
+    # a bin's fixes stand together, so each bin is a stretch of the arrays
+    own_bins, first = np.unique(bins[i], return_index=True)
+    fast = np.add.reduceat(votes.astype(np.int64), first)
+    peak = np.maximum.reduceat(np.where(votes, pace, -np.inf), first)
+    held = np.searchsorted(bins, own_bins, "right") - np.searchsorted(bins, own_bins)
+    needed = np.maximum(least, (held * rule.fraction).astype(np.int64))
+    return own_bins[(fast > 0) & ((peak >= solo_mps) | ((fast >= needed) & (peak >= floor_mps)))]
 
 
 def edge_stays_of(f: Fixes, floor_mps: float, rule: Edge, dwell: Dwell) -> list[tuple[str, int, int]]:
@@ -253,6 +257,6 @@ def line_rows(lat: np.ndarray, lon: np.ndarray, tolerance: float) -> np.ndarray:
     return rows[keep]
 
 
-def simplified(points: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """device_id, track_id, seq of the good fixes that a line within a tolerance in degrees keeps."""
-    return walked(recordings(points), lambda f, _: [(int(f.seq[i]),) for i in line_rows(f.lat, f.lon, tolerance)], "seq long", ["seq"])
+def simplified(points: DataFrame, tolerance: float = 1e-4, by: tuple[str, ...] = TRACK) -> DataFrame:
+    """device_id, track_id, seq of the good fixes that a line within a tolerance in degrees keeps; a line a track, or by other columns."""
+    return walked(recordings(points, by), lambda f, _: [(int(f.seq[i]),) for i in line_rows(f.lat, f.lon, tolerance)], "seq long", ["seq"])

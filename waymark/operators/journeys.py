@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -81,16 +79,16 @@ def windows(journeys: DataFrame, home_stays: DataFrame, now_ms: int) -> DataFram
     """
     # neighbours in time: stays' ends before a journey's first night, their starts after its last
     past = Window.partitionBy("device_id").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("device_id").orderBy("at", F.desc("rank")).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("device_id").orderBy(F.desc("at"), "rank").rowsBetween(Window.unboundedPreceding, 0)
 
-    def nearest(of: str, stay: str, window: WindowSpec, pick: Callable, name: str) -> DataFrame:
+    def nearest(of: str, stay: str, window: WindowSpec, name: str) -> DataFrame:
         asked = journeys.select("device_id", F.col(of).alias("at"), F.lit(1).alias("rank"), F.lit(None).cast("long").alias("found"), "first_night")
         known = home_stays.select("device_id", F.col(stay).alias("at"), F.lit(0).alias("rank"), F.col(stay).alias("found"), F.lit(None).cast(journeys.schema["first_night"].dataType).alias("first_night"))
-        rows = asked.unionByName(known.where("at is not null")).withColumn("found", pick("found", True).over(window))
+        rows = asked.unionByName(known.where("at is not null")).withColumn("found", F.last("found", True).over(window))
         return rows.where("first_night is not null").select("device_id", "first_night", F.col("found").alias(name))
 
-    left = nearest("first_at", "end", past, F.last, "left_home")
-    back = nearest("last_at", "start", ahead, F.first, "reached_home")
+    left = nearest("first_at", "end", past, "left_home")
+    back = nearest("last_at", "start", ahead, "reached_home")
     j = journeys.join(left, ["device_id", "first_night"]).join(back, ["device_id", "first_night"])
     day = lambda c, n: (F.floor(F.col(c) / DAY_MS) + n) * DAY_MS
     a = F.greatest("left_home", day("first_at", -1))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.config import Stays
 from waymark.functions.geo import arc
 from waymark.operators import dwells, points
+from waymark.operators.intervals import overlap_join
 from waymark.operators.points import TRACK
 
 #: Visits that a place needs so as not to be rare.
@@ -116,14 +117,11 @@ def manual_arcs(fixes: DataFrame) -> DataFrame:
 
 def journey_lines(windows: DataFrame, tracks: DataFrame, fixes: DataFrame, tolerance: float = 2e-5) -> DataFrame:
     """device_id, first_night, track_id, stretch, seq: fixes of the thinned lines of a journey's tracks, by stretch."""
-    w = windows.select("device_id", "first_night", "a", "b")
-    t = tracks.select(*TRACK, "started_at", "ended_at").join(w, "device_id").where("started_at < b and a < ended_at").select(*TRACK, "first_night")
+    w = windows.select("device_id", "first_night", F.col("a").alias("c"), F.col("b").alias("d"))
+    t = overlap_join(tracks.select(*TRACK, F.col("started_at").alias("a"), F.col("ended_at").alias("b")), w).select(*TRACK, "first_night")
     f = points.stretches(points.carried_breaks(fixes.join(t.select(*TRACK).distinct(), list(TRACK), "left_semi")))
     # each stretch is a line of its own
-    key = F.struct("track_id", "stretch")
-    s = f.withColumn("_key", key).withColumn("track_id", F.xxhash64("track_id", "stretch"))
-    kept = dwells.simplified(s, tolerance).join(s.select(*TRACK, "_key").distinct(), list(TRACK))
-    kept = kept.select("device_id", F.col("_key.track_id").alias("track_id"), F.col("_key.stretch").alias("stretch"), "seq")
+    kept = dwells.simplified(f, tolerance, (*TRACK, "stretch"))
     return t.join(kept, list(TRACK)).select("device_id", "first_night", "track_id", "stretch", "seq")
 
 
