@@ -1,7 +1,9 @@
 import random
+import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cases import SF, frame, same_as_sql
 from waymark.llm import mixing, queries
@@ -110,3 +112,14 @@ def test_names_that_clash(spark):
     more = mixing.mix_sources(spark.createDataFrame([(*r, *range(9), 7.0, 8) for r in rows], f"doc_id long, source string, size long, {', '.join(f'{x} int' for x in names)}, target double, taken int"))
     assert {r["doc_id"]: r["taken"] for r in more.collect()} == plain and more.columns == ["doc_id", "source", "size", *names, "source_size", "target", "copies", "taken"]
     assert all([r[x] for x in names] == list(range(9)) and r["target"] > 8 for r in more.collect())
+
+
+def test_very_many_sizes(spark):
+    rows = spark.range(40_000).select(F.lit("s").alias("_s"), (F.col("id") + 1).alias("size"), F.lit(1).cast("long").alias("n"), F.lit(5e8).alias("need"))
+    began = time.perf_counter()
+    r = mixing.inclusion(rows).collect()[0]
+    assert time.perf_counter() - began < 15
+    # expected words make up what is needed, and no probability is above 1
+    certain = range(r["_largest"] + 1, 40_001)
+    assert sum(certain) + r["_rate"] * sum(k * k for k in range(1, r["_largest"] + 1)) == pytest.approx(5e8)
+    assert r["_rate"] * r["_largest"] <= 1

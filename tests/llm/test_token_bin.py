@@ -38,7 +38,6 @@ TEXTS = ["", None, " ", "\n\n", "a  b", " a b ", "tab\tand\r\nline", "it's  we'l
 
 def test_odd_texts(spark):
     rows = [(i * 7 - 20, t, 0) for i, t in enumerate(TEXTS)] + [(5, "again", 0), (5, "again", 0), (5, None, 0)]
-    rows = [r if r[0] >= 0 else (r[0] + 1000, *r[1:]) for r in rows]
     df = token_bin.token_rows(frame(spark, rows, SCHEMA), PATH)
     # a null text sorts before an empty one
     key = lambda r: (r[0], r[1] is not None, r[1] or "")
@@ -58,6 +57,16 @@ def test_empty_and_null_id(spark):
     assert [r[0] for r in rows] == [None, 0] and rows[1][1] == rows[0][2]
 
 
+def test_every_id_stays(spark):
+    ids = [-5, -1, 3, None, -(1 << 62), (1 << 63) - 1, 0]
+    rows = [(i, f"text {i}", 1, 2) for i in ids]
+    df = token_bin.token_rows(frame(spark, rows, "doc_id long, text string, start int, n_tokens int"), PATH)
+    assert [r[0] for r in got(df)] == [None, -(1 << 62), -5, -1, 0, 3, (1 << 63) - 1]
+    assert got(df) == want([r[:2] for r in rows])
+    with pytest.raises(Exception, match="stands for null"):
+        token_bin.token_rows(frame(spark, [(-(1 << 63), "x", 0)], SCHEMA), PATH)
+
+
 @pytest.mark.parametrize("name,size", [("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 2)])
 def test_files(spark, name, size):
     folder = tempfile.mkdtemp(prefix="spark-")

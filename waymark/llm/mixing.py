@@ -25,9 +25,9 @@ def source_targets(sources: DataFrame, share: float = SHARE, most: float = MOST,
     w = sources.withColumn("weight", F.element_at(turn, (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(cycle))) + 1).cast("int")).cast("double"))
     w = w.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
     order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    all_rows = Window.partitionBy()
-    level = (F.lit(float(share)) * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
+    before, all_rows = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    rest = F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    level = (F.lit(float(share)) * F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / rest
     w = w.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
     free = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(all_rows)["level"]
     return w.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(free * F.col("weight"))).drop("level", "capped", "cap")
@@ -50,8 +50,10 @@ def inclusion(sizes: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("_s").orderBy(F.desc("size"))
     words, squares = F.col("n") * F.col("size").cast("decimal(38,0)"), F.col("n") * F.col("size").cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")
-    larger = F.coalesce(F.sum(words).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
-    rest = F.sum(squares).over(w.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    # what is larger is a running sum, what isn't is the total without it
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    larger = F.coalesce(F.sum(words).over(before), F.lit(0)).cast("double")
+    rest = (F.sum(squares).over(Window.partitionBy("_s")) - F.coalesce(F.sum(squares).over(before), F.lit(0))).cast("double")
     s = sizes.where("size > 0").withColumns({"_left": F.col("need") - larger, "_squares": rest})
     s = s.where(F.col("_left") * F.col("size") <= F.col("_squares"))
     return s.groupBy("_s").agg(F.max(F.struct("size", (F.col("_left") / F.col("_squares")).alias("rate"))).alias("m")).select("_s", F.col("m.size").alias("_largest"), F.col("m.rate").alias("_rate"))

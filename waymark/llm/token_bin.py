@@ -2,8 +2,8 @@
 
 A data set is a folder of shards. Shard ``x.bin`` holds the ids of its documents
 one after the other (little-endian, uint16 or uint32), ``x.idx`` holds n + 1
-64-bit offsets into it, and ``x.ids`` the n document ids. ``bases.json`` lists the
-shards in document order with the number of ids before each: the prefix sums of
+64-bit offsets into it, and ``x.ids`` the n document ids, with the lowest 64-bit
+integer for a null one. ``bases.json`` lists the shards in document order with the number of ids before each: the prefix sums of
 the shards' totals. Readers map the files into memory.
 """
 
@@ -26,6 +26,8 @@ from waymark.llm.common import BYTE_CODES, shared_dir, slices, window_hashes
 #: Ids of chunks of text that a task remembers, at most.
 CACHE_IDS = 4_000_000
 MANIFEST = "shard string, first_doc long, n_docs long, n_tokens long"
+#: Stands for a null doc_id in ``x.ids``; a doc_id that equals it is an error.
+NO_ID = -(1 << 63)
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -187,7 +189,7 @@ def encoded_docs(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             encoder = encoder_of(tokenizer, end_id)
-            ranges = np.searchsorted(np.array(bounds, np.int64), batch.column(0).fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
+            ranges = np.searchsorted(np.array(bounds, np.int64), batch.column(0).fill_null(NO_ID).to_numpy(), "right").astype(np.int32)
             for first, texts in slices(batch.column(1)):
                 codes, n = encoder(texts)
                 ends = np.concatenate(([0], np.cumsum(n))) * codes.itemsize
@@ -206,7 +208,9 @@ class Shard:
         self.out = open(f"{self.path}.bin.part", "wb")  # noqa: SIM115
 
     def add(self, rows: pa.RecordBatch) -> None:
-        self.ids.append(rows.column(1).fill_null(-1).to_numpy().astype("<i8"))
+        if (found := rows.column(1).drop_null().to_numpy()).size and found.min() == NO_ID:
+            raise ValueError(f"doc_id {NO_ID} stands for null in the files")
+        self.ids.append(rows.column(1).fill_null(NO_ID).to_numpy().astype("<i8"))
         self.lengths.append(rows.column(2).to_numpy())
         for codes in rows.column(3):
             self.out.write(codes.as_buffer())
@@ -217,15 +221,15 @@ class Shard:
         offsets, ids = np.concatenate(([0], np.cumsum(np.concatenate(self.lengths)))).astype("<i8"), np.concatenate(self.ids)
         _put(f"{self.path}.idx", [offsets.tobytes()])
         _put(f"{self.path}.ids", [ids.tobytes()])
-        return pa.RecordBatch.from_pydict({"range": pa.array([number], pa.int32()), "shard": [self.name], "first_doc": [int(ids[0])], "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]})
+        return pa.RecordBatch.from_pydict({"range": pa.array([number], pa.int32()), "shard": [self.name], "first_doc": pa.array([None if ids[0] == NO_ID else int(ids[0])], pa.int64()), "n_docs": [len(ids)], "n_tokens": [int(offsets[-1])]})
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> list[dict]:
     """Encodes whole texts and writes the shards in ascending doc_id order; returns bases.json.
 
     docs: doc_id long, text string; other columns are ignored. A null text is
-    empty and holds only the end id. A null doc_id sorts first and is written as
-    -1. Rows with the same doc_id are all written, those with fewer ids first, then
+    empty and holds only the end id. A null doc_id sorts first and is written as the
+    lowest 64-bit integer, which no document may have; all others are kept. Rows with the same doc_id are all written, those with fewer ids first, then
     in the order of their ids' bytes. An empty table gives an empty list. Each
     attempt of a task writes files of its own, and the manifest names those of the
     attempt that ended. Texts are encoded where they are read; what is shuffled is
@@ -279,9 +283,9 @@ def read_tokens(spark, folder: str, item_size: int = 2) -> DataFrame:
                 ids = np.memmap(f"{path}.ids", "<i8", "r")
                 for a in range(0, len(ids), 8192):
                     b = min(a + 8192, len(ids))
-                    at = offsets[a : b + 1]
+                    at, docs = offsets[a : b + 1], np.array(ids[a:b])
                     crc = [zlib.crc32(tokens[x:y].astype("<u4")) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NO_ID), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     rows = [(x["shard"], x["base"]) for x in shards]
     frame = spark.createDataFrame(rows, "shard string, base long")
@@ -296,4 +300,4 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, folder, tokenizer, end_id)
     wide = Tokenizer.from_file(tokenizer).get_vocab_size() > 1 << 16
-    return read_tokens(spark, folder, 4 if wide else 2).withColumn("doc_id", F.when(F.col("doc_id") >= 0, F.col("doc_id")))
+    return read_tokens(spark, folder, 4 if wide else 2)
