@@ -1,24 +1,39 @@
 """Backup files: one JSON document per device, gzipped; points are arrays that a header describes.
 
 Written as lines, a track on each, so that no task holds more than one track as
-text; read by Spark's JSON reader, a document a row.
+text; read by a data source that takes a document a track at a time, however its
+lines are broken.
 """
 
 from __future__ import annotations
 
+import gzip
+import io
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from waymark.sources.pull import Pull
 
 FORMAT, VERSION = "waymark-backup", 1
 # The order of a point's fields in files that are written.
 POINT_FIELDS = ("timestamp", "lat", "lon", "alt", "accuracy", "speed", "bearing", "verticalAccuracy", "speedAccuracy", "bearingAccuracy", "satellitesInFix", "cn0", "ignored", "ignoreReason", "segmentStart")
 COLUMNS = {"timestamp": "ts_ms", "verticalAccuracy": "vertical_accuracy", "speedAccuracy": "speed_accuracy", "bearingAccuracy": "bearing_accuracy", "satellitesInFix": "satellites", "ignoreReason": "ignore_reason", "segmentStart": "segment_start"}
-KINDS = {"timestamp": "long", "lat": "double", "lon": "double", "alt": "double", "satellitesInFix": "int", "ignored": "int", "ignoreReason": "string", "segmentStart": "int"}
-DOCUMENT = (
-    "format string, version int, exportedAt long, trackCount long, pointFields array<string>, "
-    "tracks array<struct<id:long,activityType:string,startedAt:long,endedAt:long,source:string,distanceMeters:double,pointCount:int,ignoredCount:int,startLat:double,startLon:double,endLat:double,endLon:double,points:array<array<string>>>>, "
-    "places array<struct<id:long,label:string,lat:double,lon:double,createdAt:long,radiusM:double,category:string>>"
-)
+_ROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "boolean": pa.bool_()}
+KINDS = {"timestamp": "long", "lat": "double", "lon": "double", "alt": "double", "satellitesInFix": "int", "ignored": "boolean", "ignoreReason": "string", "segmentStart": "boolean"}
+#: What the source gives, by kind; device_id is the folder's.
+SCHEMAS = {
+    "tracks": "device_id long, track_id long, activity string, started_at long, ended_at long, source string, distance_m double, ignored_count int, good_count int",
+    "points": "device_id long, track_id long, seq int, " + ", ".join(f"{COLUMNS.get(f, f)} {KINDS.get(f, 'float')}" for f in POINT_FIELDS),
+    "places": "device_id long, place_id long, seed_index long, label string, lat double, lon double, created_at long, radius_m double, category string",
+}
+RADIUS_M = 150.0
 
 
 def _json(value: Column) -> Column:
@@ -80,31 +95,161 @@ def _in_device():
     return Window.partitionBy("device_id").orderBy("part", "at")
 
 
+class _Fields:
+    """Where a document's points have each field; built once from its header."""
+
+    def __init__(self, names):
+        self.at = {f: names.index(f) for f in POINT_FIELDS if f in (names or ())}
+        for f in ("timestamp", "lat", "lon"):
+            if f not in self.at:
+                raise ValueError("pointFields lacks a needed field")
+
+    def column(self, points: list[list], f: str) -> pa.Array:
+        """One field of a track's points; points may be shorter than the header."""
+        k, kind = self.at.get(f), KINDS.get(f, "float")
+        cells = [None] * len(points) if k is None else [p[k] if k < len(p) else None for p in points]
+        if f in ("timestamp", "lat", "lon") and None in cells:
+            raise ValueError(f"point without {f}")
+        if kind == "boolean":
+            cells = [bool(c) for c in cells]
+        elif kind in ("long", "int"):
+            cells = [None if c is None else int(c) for c in cells]
+        return pa.array(cells, _ROW[kind])
+
+    def recorded(self, points: list[list]) -> bool:
+        k = self.at.get("accuracy")
+        return k is not None and any(k < len(p) and p[k] is not None for p in points)
+
+
+def documents(stream: io.TextIOBase, formats: tuple[str, ...]) -> Iterator[tuple[str, dict, _Fields | None]]:
+    """("tracks", track, fields) and ("places", place, None) of a document, one after the other.
+
+    A document of another format or version fails, and so does one whose tracks come
+    before its header. Other keys are passed over without being held.
+    """
+    json, known, version, fields = Pull(stream), False, False, None
+    for key in json.members():
+        if key == "format":
+            if not (known := json.value() in formats):
+                raise ValueError("no backup of a known version")
+        elif key == "version":
+            given = json.value()
+            if not (version := isinstance(given, int) and 1 <= given <= VERSION):
+                raise ValueError("no backup of a known version")
+        elif key == "pointFields":
+            fields = _Fields(json.value())
+        elif key == "tracks":
+            if not (known and version):
+                raise ValueError("no backup of a known version")
+            if fields is None:
+                raise ValueError("pointFields lacks a needed field")
+            for track in json.elements():
+                yield key, track, fields
+        elif key == "places":
+            for place in json.elements():
+                yield key, place, None
+        else:
+            json.skip()
+    json.end()
+    if not (known and version):
+        raise ValueError("no backup of a known version")
+
+
+def _track(device: int | None, t: dict, fields: _Fields) -> pa.RecordBatch:
+    if t.get("activityType") is None:
+        raise ValueError("track without activityType")
+    points = t.get("points") or []
+    # a file that doesn't say who wrote a track is told by its fixes
+    source = t.get("source") or (("recorded" if fields.recorded(points) else "imported") if points else None)
+    n, ignored = t.get("pointCount") or 0, t.get("ignoredCount") or 0
+    row = (device, t.get("id") or 0, t["activityType"], t.get("startedAt") or 0, t.get("endedAt"), source, float(t.get("distanceMeters") or 0), ignored, n - ignored)
+    return _batch("tracks", [[c] for c in row])
+
+
+def _points(device: int | None, t: dict, fields: _Fields) -> pa.RecordBatch:
+    points = t.get("points") or []
+    n = len(points)
+    return _batch("points", [pa.array([device] * n, pa.int64()), pa.array([t.get("id") or 0] * n, pa.int64()), pa.array(range(n), pa.int32()), *(fields.column(points, f) for f in POINT_FIELDS)])
+
+
+def _place(device: int | None, p: dict, seed: int) -> pa.RecordBatch:
+    radius, category = p.get("radiusM"), p.get("category")
+    row = (device, p.get("id") or 0, seed, p.get("label") or "", float(p.get("lat") or 0), float(p.get("lon") or 0), p.get("createdAt") or 0, RADIUS_M if radius is None else float(radius), category if isinstance(category, str) else None)
+    return _batch("places", [[c] for c in row])
+
+
+def _batch(kind: str, columns: list) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split() for c in SCHEMAS[kind].split(", ")))
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, _ROW[k]) for c, k in zip(columns, kinds)], list(names))
+
+
+def batches(stream: io.TextIOBase, kind: str, device: int | None, formats: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of one kind of one document, a track's points at a time."""
+    seed = 0
+    for key, item, fields in documents(stream, formats):
+        if key == kind == "tracks":
+            yield _track(device, item, fields)
+        elif key == "tracks" and kind == "points":
+            yield _points(device, item, fields)
+        elif key == kind == "places":
+            yield _place(device, item, seed)
+            seed += 1
+
+
+@dataclass
+class Document(InputPartition):
+    path: str
+    device: int | None
+
+
+class BackupReader(DataSourceReader):
+    """One partition a document; a gzipped one can't be entered in its middle."""
+
+    def __init__(self, options):
+        self.where, self.kind = options["path"], options.get("kind", "points")
+        self.formats = tuple(options.get("formats", FORMAT).split(","))
+
+    def partitions(self) -> list[Document]:
+        system, path = fs.FileSystem.from_uri(self.where)
+        found = system.get_file_info([path])[0]
+        if found.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.where)
+        files = [found] if found.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
+        names = [f.path for f in files if f.is_file and not f.base_name.startswith(("_", "."))]
+        device = lambda name: int(m[1]) if (m := re.search(r"(?:^|/)device_id=(-?\d+)/", name)) else None
+        return [Document(name, device(name)) for name in sorted(names)]
+
+    def read(self, partition: Document) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(self.where)
+        with system.open_input_stream(partition.path, compression=None) as raw:
+            bytes_ = io.BufferedReader(raw)
+            packed = bytes_.peek(2)[:2] == b"\x1f\x8b"
+            yield from batches(io.TextIOWrapper(gzip.GzipFile(fileobj=bytes_) if packed else bytes_, "utf-8"), self.kind, partition.device, self.formats)
+
+
+class BackupSource(DataSource):
+    """spark.read.format("waymark_backup"): path, kind (tracks, points or places), formats (comma-separated)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "waymark_backup"
+
+    def schema(self) -> str:
+        return SCHEMAS[self.options.get("kind", "points")]
+
+    def reader(self, schema) -> BackupReader:
+        return BackupReader(self.options)
+
+
 def read_backup(spark: SparkSession, path: str, formats: tuple[str, ...] = (FORMAT,)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tracks, points, places) of the documents under a path; the device is the folder's name.
 
     A document of another format or version fails, as does a header without the
-    fields that a point needs. Unknown fields and keys are passed over; what is
-    missing gets its default.
+    fields that a point needs, one that comes after the tracks, or a point without
+    them. Unknown fields and keys are passed over; what is missing gets its default.
+    A document is a partition; a task holds one of its tracks at a time. The path may
+    be of any file system that Arrow knows.
     """
-    doc = spark.read.schema(DOCUMENT + ", device_id long").json(path, multiLine=True)
-    wrong = ~F.coalesce(F.col("format").isin(*formats), F.lit(False)) | ~F.coalesce(F.col("version").between(1, VERSION), F.lit(False))
-    lacks = ~F.coalesce(F.forall(F.array(F.lit("timestamp"), F.lit("lat"), F.lit("lon")), lambda f: F.array_contains("pointFields", f)), F.lit(False))
-    checked = F.when(wrong, F.raise_error(F.lit("no backup of a known version")).cast("int")).when(lacks, F.raise_error(F.lit("pointFields lacks a needed field")).cast("int")).otherwise(1)
-    doc = doc.withColumn("_ok", checked).where("_ok = 1")
-    at = {f: F.array_position("pointFields", f).alias(f"at_{f}") for f in POINT_FIELDS}
-    t = doc.select("device_id", F.struct(*at.values()).alias("at"), F.explode("tracks").alias("t"))
-    tracks = t.select("device_id", F.col("t.id").alias("track_id"), F.col("t.activityType").alias("activity"), F.col("t.startedAt").alias("started_at"), F.col("t.endedAt").alias("ended_at"), F.col("t.source").alias("source"), F.col("t.distanceMeters").alias("distance_m"), F.col("t.ignoredCount").alias("ignored_count"), (F.col("t.pointCount") - F.col("t.ignoredCount")).alias("good_count"))
-    p = t.select("device_id", F.col("t.id").alias("track_id"), "at", F.posexplode("t.points").alias("seq", "p"))
-
-    def field(f: str) -> Column:
-        text = F.get("p", (F.col(f"at.at_{f}") - 1).cast("int"))
-        value = text.cast(KINDS.get(f, "float"))
-        return (F.coalesce(value, F.lit(0)) == 1 if f in ("ignored", "segmentStart") else value).alias(COLUMNS.get(f, f))
-
-    points = p.select("device_id", "track_id", "seq", *[field(f) for f in POINT_FIELDS])
-    accurate = points.groupBy("device_id", "track_id").agg(F.when(F.bool_or(F.col("accuracy").isNotNull()), "recorded").otherwise("imported").alias("inferred"))
-    tracks = tracks.join(accurate, ["device_id", "track_id"], "left").withColumn("source", F.coalesce("source", "inferred")).drop("inferred")
-    s = doc.select("device_id", F.posexplode("places").alias("seed_index", "s"))
-    places = s.select("device_id", F.col("s.id").alias("place_id"), F.col("seed_index").cast("long").alias("seed_index"), "s.label", "s.lat", "s.lon", F.col("s.createdAt").alias("created_at"), F.coalesce("s.radiusM", F.lit(150.0)).alias("radius_m"), "s.category")
-    return tracks, points, places
+    spark.dataSource.register(BackupSource)
+    read = lambda kind: spark.read.format(BackupSource.name()).option("kind", kind).option("formats", ",".join(formats)).load(path)
+    return read("tracks"), read("points"), read("places")
