@@ -72,3 +72,5 @@ class Live:
     still_m: float = 15.0
     resume_s: float = 180.0
     give_up_s: float = 240.0  # 0: reception is never given up
+    hold_s: float = 0.0  # how long a stop that nothing bears out is held; 0: it needs no bearing out
+    departures_open: bool = False  # whether a departure alone opens a track
