@@ -34,6 +34,16 @@ def without(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(chosen.select(*TRACK), list(TRACK), "left_anti")
 
 
+def taken_back(fixes: DataFrame, changes: DataFrame) -> DataFrame:
+    """Fixes with _new, the activity that a change (device_id, track_id, activity) gives their track, and without the jumps that it allows."""
+    f = fixes.join(changes.select(*TRACK, F.col("activity").alias("_new")), list(TRACK), "left")
+    old, new = F.col("activity"), F.col("_new")
+    faster = f.where(new.isNotNull() & (ceiling_kmh(new) > ceiling_kmh(old))).withColumn("reason", F.when(F.col("ignored"), F.coalesce("ignore_reason", F.lit("other"))))
+    back = points.restored_jumps(faster, ceiling_kmh(new)).withColumn("_back", F.lit(True))
+    f = f.join(back, [*TRACK, "seq"], "left").withColumn("ignored", F.col("ignored") & F.col("_back").isNull())
+    return f.withColumn("ignore_reason", F.when(F.col("ignored"), F.col("ignore_reason"))).drop("_back")
+
+
 def retyped(tracks: DataFrame, fixes: DataFrame, changes: DataFrame, edge: Edge = Edge(), dwell: Dwell = BRIEF) -> tuple[DataFrame, DataFrame]:
     """(tracks, fixes) with another activity for some; changes: device_id, track_id, activity.
 
@@ -43,12 +53,8 @@ def retyped(tracks: DataFrame, fixes: DataFrame, changes: DataFrame, edge: Edge
     """
     c = changes.select(*TRACK, F.col("activity").alias("_new"))
     old, new = F.col("activity"), F.col("_new")
-    f = fixes.join(c, list(TRACK), "left")
-    faster = f.where(new.isNotNull() & (ceiling_kmh(new) > ceiling_kmh(old))).withColumn("reason", F.when(F.col("ignored"), F.coalesce("ignore_reason", F.lit("other"))))
-    back = points.restored_jumps(faster, ceiling_kmh(new)).withColumn("_back", F.lit(True))
-    f = f.join(back, [*TRACK, "seq"], "left").withColumn("ignored", F.col("ignored") & F.col("_back").isNull())
-    f = f.withColumn("ignore_reason", F.when(F.col("ignored"), F.col("ignore_reason"))).withColumn("_again", new.isNotNull() & (group_of(new) != group_of(old)))
-    f = f.withColumn("activity", F.coalesce("_new", "activity")).drop("_new", "_back")
+    f = taken_back(fixes, changes).withColumn("_again", new.isNotNull() & (group_of(new) != group_of(old)))
+    f = f.withColumn("activity", F.coalesce("_new", "activity")).drop("_new")
     settled = dwells.settled(f.where("_again"), edge, dwell)
     t = tracks.join(c, list(TRACK), "left").withColumn("activity", F.coalesce("_new", "activity")).drop("_new")
     return t, f.where("not _again").unionByName(settled.select(*f.columns)).drop("_again")

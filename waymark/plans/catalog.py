@@ -120,17 +120,14 @@ def jump_restores(h: History) -> DataFrame:
 
 BACK_M = haversine("b.g_lat", "b.g_lon", "f.lat", "f.lon")
 BACK_KMH = f"case when f.ts_ms > b.g_ts then {BACK_M} / ((f.ts_ms - b.g_ts) / 1000e0) * 3.6e0 when {BACK_M} > 10 then 'inf'::double else 0e0 end"
-SQL["jump_restores"] = recursive(
-    f"select {TRACK}, seq::bigint as seq from backs where came",
-    jumps_sql(CEILING)
-    + f""",
+BACKS = f""",
     told as (select w.*, p.ts_ms, p.lat, p.lon from walk w join pts p on p.device_id = w.device_id and p.track_id = w.track_id and p.seq = w.seq),
     backs as (
       select device_id, track_id, n, seq, coalesce(reason = 'jump', false) as came, case when reason is null or reason = 'jump' then ts_ms end as g_ts, case when reason is null or reason = 'jump' then lat end as g_lat, case when reason is null or reason = 'jump' then lon end as g_lon from told where n = 1
       union all
       select device_id, track_id, n, seq, came, case when came or reason is null then ts_ms else g_ts end, case when came or reason is null then lat else g_lat end, case when came or reason is null then lon else g_lon end
-      from (select f.*, b.g_ts, b.g_lat, b.g_lon, coalesce(f.reason = 'jump' and (b.g_ts is null or {BACK_KMH} <= 220), false) as came from backs b join told f on f.device_id = b.device_id and f.track_id = b.track_id and f.n = b.n + 1))""",
-)
+      from (select f.*, b.g_ts, b.g_lat, b.g_lon, coalesce(f.reason = 'jump' and (b.g_ts is null or {BACK_KMH} <= 220), false) as came from backs b join told f on f.device_id = b.device_id and f.track_id = b.track_id and f.n = b.n + 1))"""
+SQL["jump_restores"] = recursive(f"select {TRACK}, seq::bigint as seq from backs where came", jumps_sql(CEILING) + BACKS)
 
 
 @query("select coalesce(reason, 'none') as reason, count(*) as fixes, count(distinct track_id) as tracks from (select track_id, case when ignored then 'accuracy' when satellites < 1 then 'no_gnss' end as reason from pts) group by all")
