@@ -1,9 +1,12 @@
 """Edits of whole tracks and how they are taken back."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.config import Keep
-from waymark.operators import edits, points
+from waymark.operators import edits, finish, points
 from waymark.operators.edits import STATS
 
 M = 1 / 111_195
@@ -11,6 +14,18 @@ TRACKS = "device_id long, track_id long, activity string, source string, started
 FIXES = "device_id long, track_id long, activity string, seq int, ts_ms long, lat double, lon double, speed double, accuracy double, ignored boolean, ignore_reason string, segment_start boolean"
 
 
+@pytest.fixture(autouse=True, scope="module")
+def small_plans(spark):
+    """The tables are tiny and the plans are wide: compiling them would take most of the time."""
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "1"}
+    before = {k: spark.conf.get(k, None) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def drive(i, stops, activity="DRIVING", at=0, ended=True, device=1):
     """A track of fixes 5 s apart that stands still for minutes, drives, stands still, and so on; stops: minutes of each."""
     fixes, t, metres = [], at, 0.0
@@ -123,14 +138,34 @@ def test_import_drops_strays_one_by_one(spark):
     rows = {r.track_id: r for r in u.collect()}
     assert rows[2].ended_at is None and rows[2].started_at == 8_000_000 and rows[2].good_count == len(running[1])
     assert (rows[1].started_at, rows[1].ended_at) == (1_000_000, 1_495_000) and rows[1].good_count + rows[1].ignored_count == fixes.where("track_id = 1").count()
-    # the plain way: look at the first good fixes, ignore the first, look again
-    left = fixes.where("track_id = 1")
-    seen = []
-    while len(seen) < edits.STRAYS and points.leading_stray(left).first().stray:
-        first = left.orderBy("ts_ms", "seq").first().seq
-        seen.append(first)
-        left = left.where(F.col("seq") != first)
-    assert sorted(seen) == [-2, -1]
+
+
+def test_strays_one_by_one_at_random(spark):
+    """The rounds' result is that of looking at the first good fix again and again."""
+    rng = random.Random(5)
+    made = []
+    for i in range(40):
+        metres, rows = 0.0, []
+        for n in range(rng.randint(1, 12)):
+            metres += rng.choice([5, 40, {1: 900_000, 2: 30_000, 3: 1_000}.get(n, 60)])
+            rows.append((1, i, "DRIVING", n, (n - (rng.random() < 0.1)) * 5000, 38 + metres * M, -9.0, None, 4.0, rng.random() < 0.1, None, False))
+        made.append(rows)
+    fixes = spark.createDataFrame([r for rows in made for r in rows], FIXES)
+    got = {(r.track_id, r.seq) for r in edits.stray_heads(fixes).collect()}
+    left = fixes
+    want = set()
+    for _ in range(edits.STRAYS):
+        off = points.leading_stray(points.good(left)).where("stray").select("track_id")
+        first = points.good(left).join(off, "track_id").groupBy("track_id").agg(F.min_by("seq", F.struct("ts_ms", "seq")).alias("seq")).collect()
+        want |= {tuple(r) for r in first}
+        left = spark.createDataFrame([r for rows in made for r in rows if (r[1], r[3]) not in want], FIXES)
+    assert got == want and len(want) > 5
+
+
+def test_dangling_tracks_end_at_their_last_fix(spark):
+    t, f = frames(spark, drive(1, (1, 1), ended=False), drive(2, (1, 1), at=9_000_000))
+    t = t.unionByName(spark.createDataFrame([(1, 3, "WALKING", "recorded", 77, None, None, None)], TRACKS))
+    assert {r.track_id: r.ended_at for r in finish.closed(t, f).collect()} == {1: 415_000, 2: 9_415_000, 3: 77}
 
 
 def test_restore_counts_only_where_a_flag_moved(spark):

@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.config import BRIEF, Dwell, Edge, Keep
+from waymark.config import BRIEF, Dwell, Edge, Keep, Quality
 from waymark.functions.geo import Distance, haversine_m
 from waymark.operators import dwells, library, points, tracks
 from waymark.operators.points import TRACK
 
 #: What is measured of a track's good fixes.
 STATS = ("ignored_count", "good_count", "distance_m", "start_lat", "start_lon", "end_lat", "end_lon", "first_ms", "last_ms", "extent_m")
-#: First fixes of an imported track that can be off, at most, and how many behind them are looked at.
+#: First fixes of an imported track that can be off, at most, and fixes that each is judged by.
 STRAYS, AHEAD = 5, 5
 #: Measures that differ by less are the same.
 SAME = 1e-6
@@ -60,20 +60,23 @@ def finished(trips: DataFrame, fixes: DataFrame, renames: DataFrame, edge: Edge
     return t.drop("_at", "seconds", "verdict"), f.join(t.select(*TRACK), list(TRACK), "left_semi")
 
 
-def stray_heads(fixes: DataFrame, rounds: int = STRAYS) -> DataFrame:
-    """(device_id, track_id, seq) of first good fixes that are off: one a round, while a track has one.
+def stray_heads(fixes: DataFrame, rounds: int = STRAYS, rule: Quality = Quality(), distance: Distance = haversine_m) -> DataFrame:
+    """(device_id, track_id, seq) of first good fixes that are off: the first one goes while it is, a few times at most.
 
-    Only as many fixes of a track are looked at as the rounds can reach.
+    The first of what is left is off if its seam is fast, and much longer than the
+    next three. A seam stays what it is when a fix before it goes, so all rounds read
+    the same seams.
     """
-    n = F.row_number().over(points.in_order())
-    head = points.good(fixes).withColumn("_n", n).where(F.col("_n") <= rounds + AHEAD).drop("_n")
-    out = None
-    for _ in range(rounds):
-        off = points.leading_stray(head).where("stray").select(*TRACK)
-        first = head.withColumn("_n", n).where("_n = 1").join(off, list(TRACK), "left_semi").select(*TRACK, "seq")
-        out = first if out is None else out.unionByName(first)
-        head = head.join(first, [*TRACK, "seq"], "left_anti")
-    return out
+    p = points.with_seams(points.good(fixes), distance).withColumn("_n", F.row_number().over(points.in_order())).where(F.col("_n") <= rounds + AHEAD - 1)
+    kmh = F.when(F.col("dt_ms") > 0, F.col("seam_m") / (F.col("dt_ms") / F.lit(1000.0)) * 3.6)
+    most = lambda a, b: F.max(F.when(F.col("_n").between(a, b), kmh))
+    g = p.groupBy(*TRACK).agg(F.count("*").alias("_rows"), *[f(*x).alias(f"_{name}{r}") for r in range(1, rounds + 1) for name, f, x in (("first", most, (r + 1, r + 1)), ("later", most, (r + 2, r + AHEAD - 1)))])
+    off = F.lit(rounds)
+    for r in range(rounds, 0, -1):
+        first, later = F.col(f"_first{r}"), F.col(f"_later{r}")
+        stray = (F.col("_rows") >= r + 2) & (first >= rule.stray_kmh) & (first >= rule.stray_times * later)
+        off = F.when(F.coalesce(stray, F.lit(False)), off).otherwise(r - 1)
+    return p.join(g.select(*TRACK, off.alias("_off")), list(TRACK)).where("_n <= _off").select(*TRACK, "seq")
 
 
 def imported(trips: DataFrame, fixes: DataFrame, edge: Edge = Edge(), dwell: Dwell = BRIEF, distance: Distance = haversine_m) -> tuple[DataFrame, DataFrame]:
