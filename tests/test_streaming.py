@@ -194,3 +194,42 @@ def test_refresh_equals_rebuild(spark):
     upkeep.follow(stream, lambda: ends, derive, f"{folder}/intervals", f"{folder}/check", parts=8).awaitTermination(200)
     upkeep.rebuild(ends, derive, f"{folder}/fresh", parts=8)
     assert read("intervals") == read("fresh")
+
+
+def test_a_running_view_reads_the_parts_that_changed(spark):
+    h = History(spark, SF)
+    folder = tempfile.mkdtemp(prefix="spark-")
+    ends = h.ends.where("device_id < 12").select("device_id", "track_id", "started_at", "ended_at", "start_lat", "start_lon", "end_lat", "end_lon")
+    upkeep.dealt(ends, f"{folder}/ends", parts=8)
+    dealt = spark.read.parquet(f"{folder}/ends")
+    derive = lambda e: intervals.verdicts(intervals.between_tracks(e))
+    upkeep.rebuild(dealt.drop("part"), derive, f"{folder}/intervals", parts=8)
+    assert upkeep.parts_of(spark, f"{folder}/intervals") == 8
+    changed = spark.createDataFrame([(3,)], "device_id long")
+    with pytest.raises(ValueError, match="8 parts"):
+        upkeep.refresh(spark, changed, dealt, derive, f"{folder}/intervals", parts=16)
+    # the filter on parts reaches the scan's folders
+    plan = upkeep.of_parts(dealt, [1, 2], 8)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [part#" in plan
+    seen = []
+
+    def counted(e):
+        seen.append({r["device_id"] for r in e.select("device_id").distinct().collect()})
+        return derive(e).where("kind != 'GAP'")  # so that it shows which parts were derived anew
+
+    changed.limit(0).write.parquet(f"{folder}/changes")
+    stream = spark.readStream.schema(changed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes")
+    q = upkeep.follow(stream, lambda: spark.read.parquet(f"{folder}/ends"), counted, f"{folder}/intervals", f"{folder}/check", every="100 milliseconds")
+    try:
+        for device in (3, 5):
+            spark.createDataFrame([(device,)], "device_id long").coalesce(1).write.mode("append").parquet(f"{folder}/changes")
+            q.processAllAvailable()
+        assert q.isActive
+    finally:
+        q.stop()
+    number = {r["device_id"]: r["part"] for r in dealt.select("device_id", "part").distinct().collect()}
+    touched = [{d for d in number if number[d] == number[x]} for x in (3, 5)]
+    assert [s for s in seen if s] == touched
+    gaps = {r["device_id"] for r in spark.read.parquet(f"{folder}/intervals").where("kind = 'GAP'").select("device_id").distinct().collect()}
+    had = {r["device_id"] for r in derive(dealt.drop("part")).where("kind = 'GAP'").select("device_id").distinct().collect()}
+    assert gaps == had - touched[0] - touched[1] and had & (touched[0] | touched[1])
