@@ -130,3 +130,15 @@ def test_other_columns_may_have_any_name(spark):
     calls = spark.createDataFrame([(1, "x", 0, "add", "{}", ["y"], 1, 2, 3), (1, "y", 0, "add", "{}", [], 1, 2, 3)], CALLS.replace("text string", "level int, floor int, r int"))
     out = chat_tools.link_calls(calls, frame(spark, [], RESULTS), frame(spark, TOOLS, SCHEMAS)).collect()
     assert {r["call_id"]: r["level"] for r in out} == {"x": 1, "y": 0}
+
+
+def test_calls_are_not_dealt_by_tool(spark, monkeypatch):
+    """A tool that most calls name is no task of its own, be the schemas few or many."""
+    import re
+
+    plan = lambda: queries.op1_chat_tools(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"BroadcastHashJoin \[tool#\d+\]", plan())
+    monkeypatch.setattr(chat_tools, "SCHEMA_ROWS", 0)
+    assert re.search(r"HashJoin \[tool#\d+, _share#\d+L?\]", plan()) and not re.search(r"Join \[tool#\d+\]", plan())
+    got, want = same_as_sql(spark, "op1_chat_tools")
+    assert got == want

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import discard, stored
 
 KEY = ["conv_id", "call_id"]
+#: Rows of schemas that are broadcast, at most; the rows of more meet their calls in so many shares of a tool.
+SCHEMA_ROWS, SHARES = 10_000, 256
 
 
 def topological_levels(calls: DataFrame) -> DataFrame:
@@ -60,7 +62,14 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """
     tools = schemas.groupBy("tool").agg(F.collect_list(F.struct("name", "type", "required")).alias("fields"))
     v = F.try_parse_json("arguments")
-    c = calls.withColumn("args", F.when(F.schema_of_variant(v).startswith("OBJECT"), v)).join(tools.hint("shuffle_hash"), "tool", "left")
+    c = calls.withColumn("args", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+    # most calls may name one tool, so they aren't dealt by it
+    if schemas.count() <= SCHEMA_ROWS:
+        c = c.join(F.broadcast(tools), "tool", "left")
+    else:
+        share = F.pmod(F.xxhash64(*KEY), F.lit(SHARES))
+        shares = tools.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+        c = c.withColumn("_share", share).join(shares.hint("shuffle_hash"), ["tool", "_share"], "left").drop("_share")
     c = c.withColumn("given", F.try_variant_get("args", "$", "map<string,variant>"))
     kind = lambda f: F.regexp_extract(F.schema_of_variant(F.element_at("given", f["name"])), "^[A-Z]+", 0)
     has = lambda f: F.map_contains_key("given", f["name"])
