@@ -49,6 +49,16 @@ def test_random_clusters(spark, dims, seed):
     assert got == brute(rows)
 
 
+def test_cells_of_several_parts(spark, monkeypatch):
+    """Cells that are dealt into parts find the same links, each once."""
+    monkeypatch.setattr(vector_dedup, "PART", 8)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((6, 16))
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.standard_normal(16) * 0.2], 0, "x") for i in range(150)]
+    got, _ = run(spark, rows)
+    assert got == brute(rows)
+
+
 def test_odd_vectors(spark):
     e = [1.0, 0.0, 0.5]
     rows = [(1, e, 1, None), (2, e, 1, None), (3, [2.0, 0.0, 1.0], 1, None), (4, e, 2, None), (5, e, None, None), (6, None, 1, None), (7, [0.0] * 3, 1, None), (8, [float("nan"), 1.0, 0.0], 1, None), (9, [float("inf"), 1.0, 0.0], 1, None), (10, [None, 1.0, 0.0], 1, None), (11, [], 1, None), (12, [1.0, 0.0], 1, None), (13, [-1.0, 0.0, -0.5], 1, None), (14, [1e30, 0.0, 5e29], 1, None)]

@@ -21,8 +21,9 @@ from waymark.llm.components import components
 
 #: Dimensions of a block.
 BLOCK_DIMS = 8
-#: Vectors of one grid cell in one group, about; a cell with more meets itself in parts.
-PART = 512
+#: Vectors of one grid cell in one group, about; a cell with more meets itself in parts. A vector goes to
+#: about three groups for each part of its cell, so parts are as large as a task's memory easily holds: megabytes.
+PART = 4096
 SEED = 20240517
 #: Added to budgets, against rounding.
 SLACK = 1e-9
@@ -46,19 +47,20 @@ def budget(cosine: float) -> float:
 
 
 def rotated(vectors: DataFrame, id_col: str, cosine: float) -> DataFrame:
-    """Adds unit (array<double>, rotated) and cells (array<int>, by block) to label, n, id, embedding."""
+    """label, rep, n, dims, unit (rotated; doubles as binary, which no row unpacks before its group does), cells (array<int>, by block)."""
     total = budget(cosine) + SLACK
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, cells = [], []
+            dims, units, cells = [], [], []
             for values in batch.column(3).to_pylist():
                 x = np.array(values, np.float64)
                 x /= np.abs(x).max()
                 x = (x / np.sqrt((x * x).sum())) @ rotation_of(len(x))
-                units.append(x.tolist())
+                dims.append(len(x))
+                units.append(x.tobytes())
                 cells.append([int(np.floor(x[b.start] / np.sqrt(total * (b.stop - b.start) / len(x)))) for b in blocks(len(x))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(units, pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int32()))], ["label", "rep", "n", "unit", "cells"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dims, pa.int32()), pa.array(units, pa.binary()), pa.array(cells, pa.list_(pa.int32()))], ["label", "rep", "n", "dims", "unit", "cells"])
 
     made: dict[int, np.ndarray] = {}
 
@@ -68,7 +70,7 @@ def rotated(vectors: DataFrame, id_col: str, cosine: float) -> DataFrame:
         return made[dims]
 
     kind = dict(vectors.dtypes)
-    return vectors.select("label", id_col, "n", "embedding").mapInArrow(turn, f"label {kind['label']}, rep long, n long, unit array<double>, cells array<int>")
+    return vectors.select("label", id_col, "n", "embedding").mapInArrow(turn, f"label {kind['label']}, rep long, n long, dims int, unit binary, cells array<int>")
 
 
 def _links(group: pa.Table, cosine: float) -> pa.Table:
@@ -79,7 +81,7 @@ def _links(group: pa.Table, cosine: float) -> pa.Table:
     total = budget(cosine) + SLACK
     ids, n = group.column("rep").to_numpy(), group.column("n").to_numpy()
     side = group.column("side").to_numpy()
-    units = group.column("unit").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    units = np.frombuffer(b"".join(group.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
     b = group.column("block")[0].as_py()
     parts = blocks(units.shape[1])
     share = [total * (p.stop - p.start) / units.shape[1] for p in parts]
@@ -158,7 +160,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     same = v.where("fine").groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     same = stored(same, "vectors")
     units = stored(rotated(same, "rep", cosine), "units")
-    spot = units.select("label", "rep", "n", "unit", F.size("unit").alias("dims"), F.posexplode("cells").alias("block", "cell"))
+    spot = units.select("label", "rep", "n", "unit", "dims", F.posexplode("cells").alias("block", "cell"))
     cell = ["label", "dims", "block", "cell"]
     counts = spot.groupBy(*cell).agg(F.count("*").alias("held"))
     k = lambda c: F.coalesce(F.ceil(F.col(c) / PART), F.lit(0)).cast("int")
