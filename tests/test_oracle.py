@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from waymark.plans import catalog, edits, ledger, library  # noqa: F401  register their queries too
+from waymark.plans import catalog, edits, ledger, library, shown  # noqa: F401  register their queries too
 
 SF = Path("/root/testdata/sf0.001")
 

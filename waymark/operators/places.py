@@ -15,6 +15,8 @@ from waymark.functions.geo import Distance, cell, haversine_m, one_ellipsoid_m
 
 #: Grid of the joins by distance, in degrees; a reach within it needs only neighbouring cells.
 CELL = 0.02
+#: The radius of a place that is new, in metres.
+NEW_RADIUS_M = 150.0
 
 
 def near_pairs(points: DataFrame, pins: DataFrame, distance: Distance = haversine_m) -> DataFrame:
@@ -32,6 +34,29 @@ def near_pairs(points: DataFrame, pins: DataFrame, distance: Distance = haversin
     return j.where("metres <= pin_radius_m").drop("_y", "_x")
 
 
+def captured(points: DataFrame, pins: DataFrame, distance: Distance = haversine_m) -> DataFrame:
+    """Pins with captured, the number of points within their radius; 0 for a pin without any."""
+    n = near_pairs(points, pins, distance).groupBy("device_id", F.col("pin_seed_index").alias("seed_index")).agg(F.count("*").alias("captured"))
+    return pins.join(n, ["device_id", "seed_index"], "left").withColumn("captured", F.coalesce("captured", F.lit(0)).cast("long"))
+
+
+def end_places(drafts: DataFrame, pins: DataFrame, keys: list[str], distance: Distance = haversine_m) -> DataFrame:
+    """keys, side (from, to), label, lat, lon, radius_m: the places that trips entered by hand add at their ends.
+
+    drafts: keys, with device_id among them, from_lat, from_lon, from_label, to_lat,
+    to_lon, to_label. An end adds a place unless its trimmed label is null or empty,
+    its coordinates are null, or a pin holds it; the second end, unless the place that
+    the first one adds holds it. Trips are judged one by one, against the same pins.
+    """
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.trim(f"{s}_label").alias("label"), F.col(f"{s}_lat").alias("lat"), F.col(f"{s}_lon").alias("lon"))
+    ends = drafts.select(*keys, F.explode(F.array(side("from"), side("to"))).alias("x")).select(*keys, "x.*")
+    ends = nearest_pin(ends.where("label != '' and lat is not null and lon is not null"), pins, [*keys, "side"], distance).where("pin is null").drop("pin", "metres")
+    first = ends.where("side = 'from'").select(*keys, F.col("lat").alias("_y"), F.col("lon").alias("_x"))
+    e = ends.join(first, keys, "left")
+    held = (F.col("side") == "to") & (distance(F.col("_y"), F.col("_x"), F.col("lat"), F.col("lon")) <= NEW_RADIUS_M)
+    return e.where(~F.coalesce(held, F.lit(False))).drop("_y", "_x").withColumn("radius_m", F.lit(NEW_RADIUS_M))
+
+
 def nearest_pin(points: DataFrame, pins: DataFrame, keys: list[str], distance: Distance = haversine_m) -> DataFrame:
     """points with pin (seed_index) and metres of the nearest pin that holds them, the first one on ties; else null."""
     best = near_pairs(points, pins, distance).groupBy(*keys).agg(F.min(F.struct("metres", F.col("pin_seed_index").alias("pin"))).alias("best"))

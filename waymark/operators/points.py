@@ -38,13 +38,18 @@ def with_speeds(points: DataFrame) -> DataFrame:
     return p.withColumn("speed_kmh", F.coalesce(F.last(own, True).over(in_order()), F.lit(0.0)))
 
 
-def carried_breaks(points: DataFrame) -> DataFrame:
-    """Good points with break: one on an ignored fix moves on to the next good fix."""
+def with_breaks(points: DataFrame) -> DataFrame:
+    """All points with break: one on an ignored fix moves on to the next good fix."""
     ahead = Window.partitionBy(*TRACK).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     island = F.coalesce(F.count_if(~F.col("ignored")).over(ahead), F.lit(0))
     p = points.withColumn("island", island)
-    p = p.withColumn("break", F.bool_or("segment_start").over(Window.partitionBy(*TRACK, "island")))
-    return good(p).drop("island")
+    broken = F.bool_or("segment_start").over(Window.partitionBy(*TRACK, "island"))
+    return p.withColumn("break", ~F.col("ignored") & broken).drop("island")
+
+
+def carried_breaks(points: DataFrame) -> DataFrame:
+    """Good points with break."""
+    return good(with_breaks(points))
 
 
 def stretches(points: DataFrame) -> DataFrame:

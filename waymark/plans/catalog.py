@@ -623,9 +623,9 @@ def city_naming(h: History) -> DataFrame:
     return cities.named(h.pins, h.atlas, geo.sphere_m).select("device_id", "place_id", "city", "country", r("city_m"))
 
 
-@query("select name, country, population_k, starts_with(lower(name), 'city 1') as prefix from atl where contains(lower(name), 'city 1') order by prefix desc, population_k desc, lat, lon, name limit 10")
+@query("select name, country, population_k, starts_with(lower(name), 'nation_1 2') as prefix from atl where contains(lower(name), 'nation_1 2') order by prefix desc, population_k desc, lat, lon, name limit 10")
 def top_cities_by_name(h: History) -> DataFrame:
-    return cities.by_name(h.atlas, " Citý 1").select("name", "country", long("population_k"), "prefix")
+    return cities.by_name(h.atlas, " Natión_1 2").select("name", "country", long("population_k"), "prefix")
 
 
 LABELS = "(select n_name as label, r_name as category from nation join region on n_regionkey = r_regionkey)"

@@ -63,7 +63,7 @@ CTES = {
         38e0 + device_id * 0.01e0 + i * 0.004e0 as lat, -9e0 + device_id * 0.01e0 + i * i * 0.002e0 as lon, 150e0 + i * 50e0 as radius_m
       from (select distinct device_id, unnest(range(0, 4)) as i from trk)""",
     "atl": """select *, case when k % 13 = 0 then 'XB' when lon < -8e0 then 'XA' else 'XC' end as country
-      from (select k, 37.9e0 + (k * 37 % 400) * 0.01e0 as lat, -9.2e0 + (k * 53 % 400) * 0.008e0 as lon, case when k % 9 = 0 then 0 else k * k % 89 end as population_k, 'City ' || k as name from (select unnest(range(0, 400)) as k))""",
+      from (select k, 37.9e0 + (k * 37 % 400) * 0.01e0 as lat, -9.2e0 + (k * 53 % 400) * 0.008e0 as lon, case when k % 9 = 0 then 0 else k * k % 89 end as population_k, case when k % 3 = 0 then 'New ' else '' end || n_name || ' ' || k as name from (select n_name, n_nationkey * 16 + unnest(range(0, 16)) as k from nation))""",
     "reach": f"select *, min(d) over (partition by place_id) as d0, row_number() over (partition by place_id order by d) as n from (select p.device_id, p.place_id, a.name, a.country, a.population_k, {haversine('p.lat', 'p.lon', 'a.lat', 'a.lon')} as d from pins p cross join atl a)",
     "voted": "select place_id, country from (select *, row_number() over (partition by place_id order by votes desc, first) as k from (select place_id, country, count(*) as votes, min(n) as first from reach where n <= 5 and d <= d0 + 25000 group by all)) where k = 1",
     "own": "select r.* from reach r join voted v on v.place_id = r.place_id and v.country = r.country where d <= d0 + 25000",

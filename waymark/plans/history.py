@@ -36,7 +36,7 @@ class History:
 
     @cached_property
     def atlas(self) -> DataFrame:
-        return event_tracks.atlas(self.spark)
+        return event_tracks.atlas(event_tracks.table(self.spark, self.sf_dir, "nation"))
 
     @cached_property
     def stats(self) -> DataFrame:

@@ -81,10 +81,11 @@ def pins(tracks: DataFrame) -> DataFrame:
     return p.select("device_id", (F.col("device_id") * 10 + i).alias("place_id"), i.cast("long").alias("seed_index"), label.alias("label"), category.alias("category"), place_lat(F.col("device_id"), i).alias("lat"), place_lon(F.col("device_id"), i).alias("lon"), (F.lit(150.0) + i * F.lit(50.0)).alias("radius_m"))
 
 
-def atlas(spark: SparkSession, cities: int = 400) -> DataFrame:
-    """An atlas of made-up cities around the devices' places, by a rule."""
+def atlas(nations: DataFrame, each: int = 16) -> DataFrame:
+    """An atlas of some cities a nation, around the devices' places, by a rule; nations: n_nationkey, n_name."""
     k = F.col("id")
-    a = spark.range(cities).withColumn("lat", F.lit(37.9) + (k * 37 % 400) * F.lit(0.01)).withColumn("lon", F.lit(-9.2) + (k * 53 % 400) * F.lit(0.008))
+    a = nations.select(F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("_i"), "n_nationkey", "n_name").withColumn("id", F.col("n_nationkey").cast("long") * each + F.col("_i"))
+    a = a.withColumn("lat", F.lit(37.9) + (k * 37 % 400) * F.lit(0.01)).withColumn("lon", F.lit(-9.2) + (k * 53 % 400) * F.lit(0.008))
     country = F.when(k % 13 == 0, "XB").when(F.col("lon") < -8.0, "XA").otherwise("XC")
     people = F.when(k % 9 == 0, 0).otherwise(k * k % 89).cast("int")
-    return a.select("lat", "lon", people.alias("population_k"), country.alias("country"), F.when(country == "XC", "Europe/Madrid").otherwise("Europe/Lisbon").alias("zone"), F.concat(F.lit("City "), k.cast("string")).alias("name"))
+    return a.select("lat", "lon", people.alias("population_k"), country.alias("country"), F.when(country == "XC", "Europe/Madrid").otherwise("Europe/Lisbon").alias("zone"), F.concat(F.when(k % 3 == 0, "New ").otherwise(""), "n_name", F.lit(" "), k.cast("string")).alias("name"))
