@@ -105,3 +105,14 @@ def test_short_items_fit_as_they_are(spark):
             if f" {p} " in t:
                 want[d, i] = (0, t.index(f" {p} "), t.index(f" {p} ") + len(p))
     assert got == want and {i for _, i in got} == set(range(1, 9))
+
+
+def test_blocks_of_items_change_nothing(spark, monkeypatch):
+    """Items in many blocks, whose indexes come and go one by one, are found as they are in one."""
+    items = [r[:2] for r in table("benchmark")][:40]
+    docs = [(i, f"before it. {t} and after", 0) for i, (_, t) in enumerate(items)] + [(100, None, 0), (101, "nothing of the kind", 0)]
+    found = lambda: sorted(tuple(r) for r in decontaminate.contaminated(frame(spark, docs, DOCS), frame(spark, [(*r, 0) for r in items], ITEMS)).collect())
+    whole = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 400)
+    assert found() == whole
+    assert {r[0] for r in whole} == {i for i, (_, t) in enumerate(items) if t}

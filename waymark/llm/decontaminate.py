@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import mix, window_hashes
+from waymark.llm.common import mix, stored, window_hashes
 
 Q = 12
 #: Edits allowed, as a share of an item's characters.
@@ -149,7 +149,8 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int)
 
 
 def scan_block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index(items))  # of BLOCK_CHARS at most
+    """What one block of items has in docs, as a stored table; its index, of BLOCK_CHARS at most, is gone from all machines after that."""
+    index = docs.sparkSession.sparkContext.broadcast(Index(items))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +166,9 @@ def scan_block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "edits", "start", "end"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, FOUND)
+    found = stored(docs.select("doc_id", "text").mapInArrow(scan, FOUND), "found")
+    index.destroy()
+    return found
 
 
 def scan_texts(index: Index, ids: list, texts: list[str]) -> list[tuple]:
@@ -218,7 +221,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     One of fewer than 40 characters fits as it is only, between white space or at an
     end. Null and empty texts match nothing, on either side. Repeated rows
     give repeated rows; an empty table on either side gives an empty result. All
-    documents are scanned against one bounded block of items after another.
+    documents are scanned against one bounded block of items after another, and one
+    block's index is held at a time.
     """
     scans = [scan_block(docs, items) for items in item_blocks(benchmark)]
     if not scans:
