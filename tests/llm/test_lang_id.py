@@ -1,6 +1,8 @@
+import math
 import zlib
 from collections import Counter
 
+import numpy as np
 from cases import SF, frame, table
 from waymark.llm import lang_id, queries
 
@@ -72,3 +74,46 @@ def test_columns_with_the_names_of_added_ones(spark):
     assert got["lang_pred"] in ("en", "fr") and isinstance(got["score"], float)
     kept = lang_id.predict(docs, model, "_l", "_s").first()
     assert (kept["score"], kept["lang_pred"]) == (7, "x") and kept["_l"] in ("en", "fr")
+
+
+def test_fit_reaches_the_least_loss():
+    """Squared hinge loss of the fit against that of a long plain descent."""
+    rng = np.random.default_rng(2)
+    for n, apart in ((60, 2.0), (200, 0.5)):
+        y = np.where(rng.random(n) < 0.3, 1.0, -1.0)
+        x = (rng.standard_normal((n, 5)) + apart * y[:, None] * np.array([1, 0, 0.5, 0, 0])).astype(np.float32)
+        weight = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        x1 = np.hstack([x.astype(float), np.ones((n, 1))])
+
+        def loss(v):
+            return v @ v / 20 + weight @ np.maximum(0, 1 - y * (x1 @ v)) ** 2
+
+        v = np.zeros(6)
+        for _ in range(20_000):
+            v -= 0.02 * (v / 10 - 2 * x1.T @ (weight * y * np.maximum(0, 1 - y * (x1 @ v))))
+        w, b = lang_id.fit_svm(x, y)
+        assert loss(v) - 1e-9 <= loss(np.append(w, b)) <= loss(v) * 1.01 + 1e-6
+
+
+def test_predictions_by_brute_force(spark):
+    """Family first, then votes of the pairs in it, out of each text's dense features."""
+    docs = [d for d in table("documents") if d[1]]
+    model = lang_id.train(frame(spark, [(d[0], d[1], d[2], "", "") for d in docs], SCHEMA))
+    texts = [d[1].encode() for d in docs[:60]] + [b"x", "été à Paris".encode()]
+    langs, scores = model.predict(texts)
+    for text, lang, score in zip(texts, langs, scores):
+        mixed, _ = lang_id.grams([text])
+        x = np.bincount(mixed.ravel(), minlength=lang_id.FEATURES) / mixed.shape[1]
+        sure = [1 / (1 + math.exp(-4 * max(-8, min(8, float(x @ model.weights[:, k].astype(float) + model.offsets[k]))))) for k in range(model.weights.shape[1])]
+        nf = len(model.families)
+        family = max(range(nf), key=lambda f: sure[f])
+        members = [v for v in model.languages if lang_id.FAMILY.get(v, v) == model.families[family]]
+        votes, means = dict.fromkeys(members, 0), {v: [] for v in members}
+        for (i, j), p in zip(model.pairs, sure[nf:]):
+            for v, q, won in ((model.languages[i], p, p >= 0.5), (model.languages[j], 1 - p, p < 0.5)):
+                if v in votes:
+                    votes[v] += won
+                    means[v].append(q)
+        mean = {v: sum(q) / len(q) if q else 1.0 for v, q in means.items()}
+        assert lang == max(members, key=lambda v: votes[v] + mean[v] / 2)
+        assert abs(score - mean[lang] * sure[family]) < 1e-4

@@ -1,3 +1,4 @@
+import math
 import hashlib
 import random
 import re
@@ -103,3 +104,36 @@ def test_model_spans_stay_off_the_patterns(spark):
         left_out += len(runs) - len(free)
         assert [(a, b) for k, a, b in spans if k == "markov"] == free
     assert left_out > 20
+
+
+def test_ratios_by_brute_force(spark):
+    """Both models from plain counts, each candidate's sum of log ratios, and the spans that reach the bound."""
+    rng = random.Random(8)
+    piece = lambda n: "".join(rng.choice(secret_scan.ALPHABET) for _ in range(n))
+    secret = [piece(rng.randint(1, 40)) for _ in range(1500)] + ["é" + piece(5)]
+    plain = ["customer_name", "orderLineItems", "a", "", "shipping-address", "ordinary"] * 300
+
+    def model(strings):
+        alphabet = ["other", *secret_scan.ALPHABET]
+        of = lambda c: c if c in secret_scan.ALPHABET else "other"
+        n = {}
+        for s in strings:
+            for a, b in zip(s, s[1:]):
+                n[of(a), of(b)] = n.get((of(a), of(b)), 0) + 1
+        total = {a: sum(n.get((a, b), 0) for b in alphabet) for a in alphabet}
+        return lambda a, b: math.log((1 + n.get((of(a), of(b)), 0)) / (len(alphabet) + total[of(a)]))
+
+    p, q = model(secret), model(plain)
+    one = lambda strings: spark.createDataFrame([(s,) for s in strings], "s string")
+    ratios = secret_scan.train(one(secret), one(plain))
+    words = [rng.choice([piece(rng.randint(16, 40)), "shipping_address_of_customer", "ordinaryordinaryordinary", "order-line-items-" + piece(4)]) for _ in range(300)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), ratios).collect()}
+    judged = set()
+    for i, w in enumerate(words):
+        base = [x for x in got[i].split(",") if x and not x.startswith("markov")]
+        runs = [(m.start(), m.end(), m.group()) for m in re.finditer(secret_scan.CANDIDATE.replace("}+", "}"), w)]
+        want = [(a, b) for a, b, s in runs if sum(p(x, y) - q(x, y) for x, y in zip(s, s[1:])) >= max(secret_scan.LEAST, secret_scan.LEAST_PER_CHAR * len(s))]
+        if not base:
+            assert [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x] == want
+            judged.add(bool(want))
+    assert judged == {True, False}

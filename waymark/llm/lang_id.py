@@ -56,9 +56,11 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     b = _CLEAN[raw]
     latin = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E)
     b[1:][latin] += 0x20
-    two, three = b[:-2] * 0x1F3 + b[1:-1] * 0x2B5, b[2:] * 0x4C7
-    mixed = np.stack([two * 0x9E3779B1 >> 9, (two + three) * 0x85EBCA77 >> 11]) & (FEATURES - 1)
     starts = np.cumsum([0, *(len(t) + 2 for t in texts[:-1])])
+    third = b[2:].copy()
+    third[starts[1:] - 1] = 0x20  # a text's last gram doesn't reach into the next one
+    two, three = b[:-2] * 0x1F3 + b[1:-1] * 0x2B5, third * 0x4C7
+    mixed = np.stack([two * 0x9E3779B1 >> 9, (two + three) * 0x85EBCA77 >> 11]) & (FEATURES - 1)
     return mixed, starts
 
 
