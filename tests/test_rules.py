@@ -104,6 +104,20 @@ def test_city_table(at, want):
     assert book.rows["name"][book.name(*at)[0]] == want
 
 
+@pytest.mark.parametrize("distance", [geo.sphere_m, geo.ellipsoid_m])
+@pytest.mark.parametrize("at", [(180 - 48.872, 2.361 + 180), (360 + 48.872, 2.361 - 360), (-180 - 48.872, 2.361 + 180)])
+def test_city_beyond_a_pole(distance, at):
+    book = cities.Atlas(pd.DataFrame(ATLAS, columns=["lat", "lon", "population_k", "country", "zone", "name"]), distance)
+    row, metres = book.name(*at)
+    assert book.rows["name"][row] == "Paris" and metres == pytest.approx(book.name(48.872, 2.361)[1], abs=0.01)
+
+
+def test_city_far_beyond_a_pole():
+    # the nearest city lies much further off in latitude than in metres
+    book = cities.Atlas(pd.DataFrame([(38.0, -9.0, 5, "XA", "UTC", "A")], columns=["lat", "lon", "population_k", "country", "zone", "name"]), geo.sphere_m)
+    assert book.name(120.0, 171.0)[1] == pytest.approx(float(geo.sphere_m(60.0, -9.0, 38.0, -9.0)), abs=0.01)
+
+
 def test_city_of_nothing(spark):
     atlas = spark.createDataFrame([], cities.ATLAS)
     p = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0)], "id long, lat double, lon double")
