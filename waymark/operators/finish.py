@@ -17,7 +17,7 @@ RULE_VERSION = 1
 def finished(trips: DataFrame, fixes: DataFrame, edge: Edge = Edge(), dwell: Dwell = BRIEF, keep: Keep = Keep(), distance: Distance = haversine_m) -> tuple[DataFrame, DataFrame]:
     """(tracks, fixes): stops at the edges are ignored, then bounds, statistics and the verdict are taken of what is left."""
     settled = dwells.settled(fixes, edge, dwell)
-    t = trips.drop("from_ms", "to_ms").join(tracks.bounds(trips, settled), list(TRACK)).join(tracks.stats(settled, distance), list(TRACK))
+    t = trips.drop("from_ms", "to_ms").join(tracks.bounds(trips, settled).hint("merge"), list(TRACK)).join(tracks.stats(settled, distance).hint("merge"), list(TRACK))
     t = t.withColumn("seconds", (F.col("to_ms") - F.col("from_ms")) / F.lit(1000.0))
     return t.withColumn("verdict", tracks.verdict(t, keep)).withColumn("rule_version", F.lit(RULE_VERSION)), settled
 

@@ -119,10 +119,10 @@ def journey_lines(windows: DataFrame, tracks: DataFrame, fixes: DataFrame, toler
     """device_id, first_night, track_id, stretch, seq: fixes of the thinned lines of a journey's tracks, by stretch."""
     w = windows.select("device_id", "first_night", F.col("a").alias("c"), F.col("b").alias("d"))
     t = overlap_join(tracks.select(*TRACK, F.col("started_at").alias("a"), F.col("ended_at").alias("b")), w).select(*TRACK, "first_night")
-    f = points.stretches(points.carried_breaks(fixes.join(t.select(*TRACK).distinct(), list(TRACK), "left_semi")))
+    f = points.stretches(points.carried_breaks(fixes.join(t.select(*TRACK).distinct().hint("merge"), list(TRACK), "left_semi")))
     # each stretch is a line of its own
     kept = dwells.simplified(f, tolerance, (*TRACK, "stretch"))
-    return t.join(kept, list(TRACK)).select("device_id", "first_night", "track_id", "stretch", "seq")
+    return t.join(kept.hint("merge"), list(TRACK)).select("device_id", "first_night", "track_id", "stretch", "seq")
 
 
 def draw_split(fixes: DataFrame) -> DataFrame:

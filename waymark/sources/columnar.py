@@ -48,7 +48,7 @@ def packed(points: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     edge = lambda f, c: f(F.transform(good, lambda x: x[c]))
     box = F.struct(edge(F.array_min, "lat").alias("south"), edge(F.array_min, "lon").alias("west"), edge(F.array_max, "lat").alias("north"), edge(F.array_max, "lon").alias("east"))
     rows = rows.select(*TRACK, F.size("f").alias("fixes"), F.col("f.ts_ms").alias("time"), F.col("f.seq").alias("seq"), *[F.col(f"f.{c}").alias(c) for c in ("lat", "lon", *measures)], F.col("f.break").alias("breaks"), F.col("f.reason").alias("reasons"), F.when(F.size(good) > 0, box).alias("bbox"))
-    return rows.join(lines(p, levels), list(TRACK), "left").withColumn("lines", F.coalesce("lines", F.array_repeat(F.array().cast("array<array<int>>"), len(levels))))
+    return rows.join(lines(p, levels).hint("merge"), list(TRACK), "left").withColumn("lines", F.coalesce("lines", F.array_repeat(F.array().cast("array<array<int>>"), len(levels))))
 
 
 def lines(p: DataFrame, levels: tuple[float, ...]) -> DataFrame:

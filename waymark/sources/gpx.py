@@ -60,7 +60,7 @@ def gpx_documents(tracks: DataFrame, points: DataFrame) -> DataFrame:
     text = F.concat(cut, F.lit('      <trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('">\n'), ele, F.lit("        <time>"), _time(F.col("ts_ms")), F.lit("</time>\n"), speed, F.lit("      </trkpt>\n"))
     body = p.select("device_id", "track_id", "_n", text.alias("x")).groupBy("device_id", "track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "x"))), lambda v: v["x"]), "").alias("body"))
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="waymark" xmlns="http://www.topografix.com/GPX/1/1" xmlns:gpxtpx="http://www.garmin.com/xmlschemas/TrackPointExtension/v2">\n  <trk>\n    <name>'
-    j = tracks.join(body, ["device_id", "track_id"])
+    j = tracks.join(body.hint("merge"), ["device_id", "track_id"])
     doc = F.concat(F.lit(head), F.col("activity"), F.lit(" "), _time(F.col("started_at")), F.lit("</name>\n    <type>"), F.col("activity"), F.lit("</type>\n    <trkseg>\n"), F.col("body"), F.lit("    </trkseg>\n  </trk>\n</gpx>"))
     stamp = F.date_format(F.timestamp_millis("started_at"), "yyyyMMdd-HHmmss")
     return j.select("device_id", "track_id", F.concat(F.lower("activity"), F.lit("-"), stamp, F.lit(".gpx")).alias("file_name"), doc.alias("gpx"))
