@@ -118,6 +118,12 @@ def test_city_far_beyond_a_pole():
     assert book.name(120.0, 171.0)[1] == pytest.approx(float(geo.sphere_m(60.0, -9.0, 38.0, -9.0)), abs=0.01)
 
 
+def test_short_arcs_bend_where_asked(spark):
+    ends = spark.createDataFrame([(89.99, 0.0, 89.99, 40.0), (90.0, 0.0, 90.0, 0.0)], "a double, b double, c double, d double")
+    size = lambda **k: [r["n"] for r in ends.select(F.size(geo.arc(F.col("a"), F.col("b"), F.col("c"), F.col("d"), **k)).alias("n")).collect()]
+    assert size() == [2, 2] and size(straight=0.0) == [3, 2]
+
+
 def test_city_of_nothing(spark):
     atlas = spark.createDataFrame([], cities.ATLAS)
     p = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0)], "id long, lat double, lon double")
