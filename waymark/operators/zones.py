@@ -23,7 +23,7 @@ def with_zones(rows: DataFrame, place_zones: DataFrame, start: str, end: str, fa
     names = (("_start_place", start, "_zone"), ("_end_place", end, "_end_zone"))
     out = rows
     for column, place, name in names:
-        out = out.withColumn(column, F.col(place)).join(of(column, name), ["device_id", column], "left")
+        out = out.withColumn(column, F.col(place)).join(of(column, name).hint("merge"), ["device_id", column], "left")
     out = out.withColumns({"zone": F.coalesce("_zone", F.lit(fallback)), "end_zone": F.coalesce("_end_zone", F.lit(fallback))})
     return out.select(*rows.columns, "zone", "end_zone")
 
