@@ -4,6 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
+from waymark.llm import common
 from waymark.llm.common import slices, word_hashes
 
 
@@ -21,3 +22,22 @@ def test_hashing_a_batch_takes_little_memory():
     _, most = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert most < 100e6
+
+
+def test_hashing_many_texts_at_once_takes_little_memory():
+    texts = [b"some words of a text " * 50] * 5_000
+    common._POWERS.clear()
+    tracemalloc.start()
+    hashes, bounds = word_hashes(texts)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 100e6 and len(hashes) == bounds[-1]
+
+
+def test_hashes_are_the_same_however_texts_are_sliced(monkeypatch):
+    texts = [b"", b"a b  A", b" c", b"", b"a" * 70 + b" b", b"\tb\n"]
+    whole = word_hashes(texts)
+    monkeypatch.setattr(common, "SLICE_BYTES", 3)
+    hashes, bounds = word_hashes(texts)
+    assert hashes.tolist() == whole[0].tolist() and bounds.tolist() == whole[1].tolist() == [0, 0, 3, 4, 4, 6, 7]
+    assert word_hashes([])[1].tolist() == [0]

@@ -114,6 +114,7 @@ class Chunk:
         self.n = np.bincount(rank, weight, len(self.words)).astype(np.int64)
         self.n[start] = self.train.sum()
         key = rank << 32 | h
+        del h, w, inner, hashes, texts, body  # a chunk's arrays are most of a worker's memory
         order = np.argsort(key)
         new = np.flatnonzero(np.diff(key[order], prepend=-1))
         self.pair = np.empty(len(key), np.int64)  # each token's pair
@@ -171,7 +172,9 @@ def asked(chunks: DataFrame, buckets: int, hot: np.ndarray, turn: int) -> DataFr
                 hs = _binary(t.words[t.pair_h[t.order]].astype("<u8").view(np.uint8), t.pair_at * 8)
                 columns = [pa.array(t.sections // 2, pa.int32()), pa.array(away), pa.array(np.full(len(away), row["chunk"])), words, *_packed(counts, t.entry_at), *_packed(t.pairs_of, t.entry_at), hs, *_packed(t.ns[t.order], t.pair_at)]
                 out = pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ASKED.split(", ")])
-                yield out.filter(pa.array(t.sections // 2 % ROUNDS == turn))
+                out = out.filter(pa.array(t.sections // 2 % ROUNDS == turn))
+                del t, counts, words, hs, columns, row  # not beside the next chunk's
+                yield out
 
     return chunks.select("chunk", "train", "sizes", "texts", "bytes").mapInArrow(ask, ASKED)
 
