@@ -26,3 +26,16 @@ def test_fixes_are_in_as_many_parts_as_are_shuffled_to(spark):
 def test_colour_runs_shuffle_fixes_once(spark):
     plan = catalog.QUERIES["color_runs"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["journey_lines", "journey_names", "journey_slice", "journey_spent", "journey_stay_overlap", "journey_windows"])
+def test_no_growing_table_is_broadcast_to_what_is_written_on_the_way(spark, name):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    catalog.QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList(before, 1000)
+    plans = [runs.apply(k).physicalPlanDescription() for k in range(runs.size())]
+    assert len(plans) > 3  # ends, pinned, journeys and what is made of them
+    broadcast = [line for p in plans for line in p.split("\n\n")[0].split("\n") if "BroadcastExchange" in line]
+    assert not broadcast, broadcast
