@@ -1,5 +1,6 @@
 """Fixes are dealt into more parts where there are more tracks, and what is made of all of them is made once."""
 
+from waymark.operators import places
 from waymark.plans import catalog, history
 from waymark.sources import shared
 
@@ -23,3 +24,16 @@ def test_fixes_are_not_made_again_for_each_use_of_their_ends(spark):
     for df in (h.end_pins, h.pin_stays):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [event_id") == 1, plan  # the devices of pins
+
+
+def test_devices_are_walked_in_one_stream_and_whole(spark):
+    h = catalog.History(spark, SF)
+    df = places.greedy_clusters(h.endpoints, h.pins)
+    assert "FlatMapCoGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    whole = sorted(map(tuple, df.collect()), key=str)
+    # a device's rows come in several batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, df.collect()), key=str) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
