@@ -104,3 +104,17 @@ def test_empty(spark):
     e = frame(spark, [])
     assert dwells.dwells(e).count() == dwells.edge_stays(e).count() == dwells.simplified(e).count() == dwells.settled(e).count() == 0
     assert BRIEF.min_s == 30.0
+
+
+def test_long_and_short_chords_keep_the_same_places(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (3, 20, 200):
+        y, x = np.cumsum(rng.normal(0, 1e-4, n)), np.cumsum(rng.normal(0, 1e-4, n))
+        for gap in (None, n // 2):
+            if gap:
+                y[gap] = np.nan
+            kept = []
+            for least in (0, 1000):
+                monkeypatch.setattr(dwells, "LONG_CHORD", least)
+                kept.append(dwells.line_rows(y, x, 1e-4).tolist())
+            assert kept[0] == kept[1]

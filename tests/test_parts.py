@@ -2,7 +2,7 @@
 
 from waymark.operators import places
 from waymark.plans import catalog, history
-from waymark.sources import shared
+from waymark.sources import columnar, shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +37,9 @@ def test_devices_are_walked_in_one_stream_and_whole(spark):
         assert sorted(map(tuple, df.collect()), key=str) == whole
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_track_and_its_lines_are_packed_where_its_fixes_are(spark):
+    plan = columnar.packed(catalog.History(spark, SF).points)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Exchange hashpartitioning(device_id#") == 2, plan  # by device for the events before, then by track

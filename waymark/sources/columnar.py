@@ -6,11 +6,13 @@ those of its measures; Parquet reads only the columns that are asked for.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators import dwells
-from waymark.operators.points import TRACK, in_order, stretches, with_breaks
+from waymark.operators.dwells import line_places
+from waymark.operators.points import TRACK, with_breaks
 
 # The byte of each reason for which a fix is ignored; 0 is none.
 REASONS = {"accuracy": 1, "jump": 2, "no_gnss": 3, "edge_stay": 4}
@@ -41,29 +43,35 @@ def packed(points: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
     """
     reason = F.col("ignore_reason") if "ignore_reason" in points.columns else F.lit(None).cast("string")
     measures = [m for m in MEASURES if m in points.columns]
-    p = with_breaks(points).withColumn("_reason", reason_byte(F.col("ignored"), reason)).withColumn("_at", F.row_number().over(in_order()) - 1)
+    p = with_breaks(points).withColumn("_reason", reason_byte(F.col("ignored"), reason))
     fix = F.struct("ts_ms", "seq", "lat", "lon", *measures, F.col("break"), F.col("_reason").alias("reason"))
     rows = p.groupBy(*TRACK).agg(F.array_sort(F.collect_list(fix)).alias("f"))
     good = F.filter("f", lambda x: x["reason"] == 0)
     edge = lambda f, c: f(F.transform(good, lambda x: x[c]))
     box = F.struct(edge(F.array_min, "lat").alias("south"), edge(F.array_min, "lon").alias("west"), edge(F.array_max, "lat").alias("north"), edge(F.array_max, "lon").alias("east"))
     rows = rows.select(*TRACK, F.size("f").alias("fixes"), F.col("f.ts_ms").alias("time"), F.col("f.seq").alias("seq"), *[F.col(f"f.{c}").alias(c) for c in ("lat", "lon", *measures)], F.col("f.break").alias("breaks"), F.col("f.reason").alias("reasons"), F.when(F.size(good) > 0, box).alias("bbox"))
-    return rows.join(lines(p, levels).hint("merge"), list(TRACK), "left").withColumn("lines", F.coalesce("lines", F.array_repeat(F.array().cast("array<array<int>>"), len(levels))))
-
-
-def lines(p: DataFrame, levels: tuple[float, ...]) -> DataFrame:
-    """device_id, track_id, lines of points with break and _at, the position in a track: all levels in one walk."""
-
-    def walk(f, _):
-        return [(level, int(n)) for level, t in enumerate(levels) for n in f.seq[dwells.line_rows(f.lat, f.lon, t)]] if len(f.lat) > 1 else []
-
-    # positions stand for seq, so that a line says where its fixes are in the arrays
-    good = stretches(p.where(~F.col("ignored"))).withColumn("seq", F.col("_at").cast("long"))
-    cut = dwells.walked(dwells.recordings(good, (*TRACK, "stretch")), walk, "level long, at long", ["level", "at"])
-    cut = cut.groupBy(*TRACK, "level", "stretch").agg(F.array_sort(F.collect_list(F.col("at").cast("int"))).alias("line"))
-    by_level = cut.groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("level", "stretch", "line"))).alias("x"))
-    of = lambda level: F.transform(F.filter("x", lambda s: s["level"] == level), lambda s: s["line"])
-    return by_level.select(*TRACK, F.array(*map(of, range(len(levels)))).alias("lines"))
+    return rows.withColumn("lines", lines(levels)("lat", "lon", "breaks", "reasons"))
+
+
+def lines(levels: tuple[float, ...]):
+    """A function of a track's arrays that gives its lines; beside them no more of the track goes to Python, and no row moves."""
+
+    @F.arrow_udf("array<array<array<int>>>")
+    def of_tracks(lat: pa.Array, lon: pa.Array, breaks: pa.Array, reasons: pa.Array) -> pa.Array:
+        ends = np.cumsum(lat.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        y, x, cut, why = (c.flatten().to_numpy(zero_copy_only=False).tolist() for c in (lat, lon, breaks, reasons))
+        at, out = 0, []
+        for end in ends:
+            good = [i for i in range(at, end) if not why[i]]
+            # a stretch starts at each break but the first good fix's
+            cuts = [0, *(k for k in range(1, len(good)) if cut[good[k]]), len(good)]
+            parts = [good[a:b] for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+            places = [([y[i] for i in p], [x[i] for i in p]) for p in parts]
+            out.append([[[p[k] - at for k in line_places(*yx, t)] for p, yx in zip(parts, places)] for t in levels])
+            at = end
+        return pa.array(out, pa.list_(pa.list_(pa.list_(pa.int32()))))
+
+    return of_tracks
 
 
 def unpacked(columns: DataFrame) -> DataFrame:
