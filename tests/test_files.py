@@ -159,6 +159,13 @@ def test_gpx_round_trip(spark):
     assert gpx.importable(read).where("segment_start").count() == breaks
 
 
+def test_gpx_gathers_measures_not_text(spark):
+    h = History(spark, SF)
+    plan = gpx.gpx_documents(h.tracks, h.points)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.rsplit("collect_list", 1)
+    assert "trkpt" in above + below.split("+- ", 1)[0] and "trkpt" not in below.split("+- ", 1)[1], plan
+
+
 GPX = """<?xml version="1.0"?><gpx xmlns:gpxtpx="x"><metadata><time>2024-01-01T00:00:00Z</time></metadata>
 <trk><type>Mountain biking</type><trkseg>
 <trkpt lat="2" lon="2"><time>2024-01-01T10:00:10Z</time></trkpt><trkpt lat="2" lon="2"><time>2024-01-01T10:00:10Z</time></trkpt>

@@ -51,14 +51,19 @@ def _time(ms: Column) -> Column:
 
 def gpx_documents(tracks: DataFrame, points: DataFrame) -> DataFrame:
     """device_id, track_id, file_name, gpx: one document a track, a segment from each break on. Times are to the second, in UTC."""
-    n = F.row_number().over(Window.partitionBy("device_id", "track_id").orderBy("ts_ms", "seq"))
-    p = points.withColumn("_n", n)
-    has = lambda c, text: F.when(F.col(c).isNotNull(), text).otherwise("") if c in points.columns else F.lit("")
-    cut = F.when((F.col("_n") > 1) & F.col("segment_start"), "    </trkseg>\n    <trkseg>\n").otherwise("")
-    ele = has("alt", F.concat(F.lit("        <ele>"), F.col("alt").cast("string"), F.lit("</ele>\n"))) if "alt" in points.columns else F.lit("")
-    speed = has("speed", F.concat(F.lit("        <extensions><gpxtpx:TrackPointExtension><gpxtpx:speed>"), F.col("speed").cast("string"), F.lit("</gpxtpx:speed></gpxtpx:TrackPointExtension></extensions>\n")))
-    text = F.concat(cut, F.lit('      <trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('">\n'), ele, F.lit("        <time>"), _time(F.col("ts_ms")), F.lit("</time>\n"), speed, F.lit("      </trkpt>\n"))
-    body = p.select("device_id", "track_id", "_n", text.alias("x")).groupBy("device_id", "track_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "x"))), lambda v: v["x"]), "").alias("body"))
+    # measures are gathered, and become text within their track: text takes several times as much
+    carried = [c for c in ("alt", "speed") if c in points.columns]
+    fix = F.struct("ts_ms", "seq", "lat", "lon", *carried, "segment_start")
+    fixes = points.groupBy("device_id", "track_id").agg(F.array_sort(F.collect_list(fix)).alias("fixes"))
+
+    def text(x: Column, n: Column) -> Column:
+        has = lambda c, before, after: F.when(x[c].isNotNull(), F.concat(F.lit(before), x[c].cast("string"), F.lit(after))).otherwise("") if c in carried else F.lit("")
+        cut = F.when((n > 0) & x["segment_start"], "    </trkseg>\n    <trkseg>\n").otherwise("")
+        ele = has("alt", "        <ele>", "</ele>\n")
+        speed = has("speed", "        <extensions><gpxtpx:TrackPointExtension><gpxtpx:speed>", "</gpxtpx:speed></gpxtpx:TrackPointExtension></extensions>\n")
+        return F.concat(cut, F.lit('      <trkpt lat="'), x["lat"].cast("string"), F.lit('" lon="'), x["lon"].cast("string"), F.lit('">\n'), ele, F.lit("        <time>"), _time(x["ts_ms"]), F.lit("</time>\n"), speed, F.lit("      </trkpt>\n"))
+
+    body = fixes.select("device_id", "track_id", F.array_join(F.transform("fixes", text), "").alias("body"))
     head = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="waymark" xmlns="http://www.topografix.com/GPX/1/1" xmlns:gpxtpx="http://www.garmin.com/xmlschemas/TrackPointExtension/v2">\n  <trk>\n    <name>'
     j = tracks.join(body.hint("merge"), ["device_id", "track_id"])
     doc = F.concat(F.lit(head), F.col("activity"), F.lit(" "), _time(F.col("started_at")), F.lit("</name>\n    <type>"), F.col("activity"), F.lit("</type>\n    <trkseg>\n"), F.col("body"), F.lit("    </trkseg>\n  </trk>\n</gpx>"))
