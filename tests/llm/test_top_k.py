@@ -80,3 +80,24 @@ def test_scan_prunes_most(spark):
     for r in bounds:
         assert r.least <= 2 * int(rows[r.q] @ rows[r.rep]) <= r.most
     told.destroy()
+
+
+def test_second_scan_keeps_what_reaches_the_first_ones_scores(spark):
+    rng = np.random.default_rng(2)
+    rows = rng.normal(size=(3000, 64))
+    rows = np.floor(64 * rows / np.sqrt((rows**2).sum(axis=1, keepdims=True))).astype(int)
+    exact = frame(spark, [(i, v.tolist()) for i, v in enumerate(rows)], "rep long, v array<long>").repartition(2)
+    starts, low, high = top_k.cells_of(exact)
+    approx = top_k.approximations(exact, starts)
+    told = spark.sparkContext.broadcast(top_k.Bounds(rows[:50], low, high))
+    scores = rows[:50] @ rows.T
+    first = {(r.q, r.rep) for r in top_k.promising(approx, told, 21).collect()}
+    assert len(first) == 2 * 50 * 21  # of each task
+    kth = [sorted((scores[q, rep] for a, rep in first if a == q), reverse=True)[20] for q in range(50)]
+    floors = spark.sparkContext.broadcast(2.0 * np.array(kth))
+    left = {(r.q, r.rep) for r in top_k.reaching(approx, told, floors).collect()}
+    assert {(q, i) for q in range(50) for i in np.flatnonzero(scores[q] >= kth[q])} <= left
+    found, sent = top_k.candidates(approx, rows[:50], low, high, 21)
+    assert len(left) < found.count() / 2
+    for t in (told, floors, sent):
+        t.destroy()

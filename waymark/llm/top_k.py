@@ -2,9 +2,9 @@
 
 Every distinct vector has an approximation: in each dimension the number of the cell
 that its component lies in, a few bits. A scan of the approximations bounds each
-score from both sides; what can't be among a query's best k falls out. Of the rest
-exact vectors are read in the order of their bounds, the most promising ones first,
-until the k-th result is certain.
+score from both sides. A first scan finds the most promising vectors of each query,
+whose exact scores say what its k-th result reaches at least; a second scan keeps only
+what may reach that, and of it exact vectors are read.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ BITS = 5
 QUERIES = 4096
 #: Components of approximations that a task unpacks at once.
 UNPACKED = 1 << 16
-#: Exact vectors are read for so many candidates a result, in the first round; four times as many in each further one.
-FIRST, MORE = 2, 4
+#: Exact vectors are read for so many promising candidates a result before the second scan.
+FIRST = 2
 
 
 def cells_of(vectors: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -89,43 +89,84 @@ def approximations(exact: DataFrame, starts: list[np.ndarray]) -> DataFrame:
     return exact.select("rep", "v").mapInArrow(approximate, "rep long, cells binary")
 
 
+class Bounds:
+    """A block of queries, and from approximations the middles and half widths of the bounds of twice their scores."""
+
+    def __init__(self, queries: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.dims = len(low)
+        # bounds of twice the score are whole numbers: middles (low + high) and widths (high - low)
+        middle, width = low + high, high - low
+        largest = sum(int(np.abs(middle[i]).max() + width[i].max()) * int(np.abs(queries[:, i].astype(object)).max(initial=0)) for i in range(self.dims))
+        kind = np.float32 if largest < 1 << 24 else np.float64
+        # where products don't fit into a mantissa, bounds are widened by more than rounding can take
+        self.slack = 0.0 if largest < 1 << 53 else float(largest) * 2.0**-50 * (self.dims + 1)
+        self.queries, self.kind = len(queries), kind
+        self.q, self.size, self.middles, self.widths = (np.ascontiguousarray(m, np.float64).astype(kind) for m in (queries.T, np.abs(queries.T.astype(np.float64)), middle.astype(np.float64), width.astype(np.float64)))
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """reps, and a row a query of middles and of half widths, for some approximations at a time."""
+        at = np.arange(self.dims)
+        for batch in batches:
+            for first in range(0, batch.num_rows, step := max(1, min(1024, UNPACKED // max(1, self.dims)))):
+                part = batch.slice(first, step)
+                cells = part.column(1)
+                rows = np.frombuffer(cells.buffers()[2] or b"", np.uint8).reshape(-1, (self.dims * BITS + 7) // 8)[cells.offset :][: len(cells)] if self.dims else np.zeros((len(cells), 0), np.uint8)
+                codes = unpacked(rows, self.dims)
+                yield part.column(0).to_numpy(), (self.middles[at, codes] @ self.q).T, (self.widths[at, codes] @ self.size).T + self.kind(self.slack)
+
+
+def promising(approx: DataFrame, told: Broadcast, k: int) -> DataFrame:
+    """(q, rep, middle): of the approximations of each task those with the k greatest middles for each query."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = told.value
+        best, reps = np.full((bounds.queries, k), -np.inf, bounds.kind), np.zeros((bounds.queries, k), np.int64)
+        for rep, middle, _ in bounds.of(batches):
+            # most rows overtake none of a query's best, so only the few that do are sorted in
+            least = best.min(axis=1)
+            for i in np.flatnonzero((middle > least[:, None]).any(axis=1)):
+                new = np.flatnonzero(middle[i] > least[i])
+                m, r = np.concatenate([best[i], middle[i, new]]), np.concatenate([reps[i], rep[new]])
+                top = np.argpartition(-m, k - 1)[:k]
+                best[i], reps[i] = m[top], r[top]
+        i, j = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(reps[i, j]), pa.array(best[i, j].astype(np.float64))], ["q", "rep", "middle"])
+
+    return approx.mapInArrow(scan, "q int, rep long, middle double")
+
+
+def reaching(approx: DataFrame, told: Broadcast, floors: Broadcast) -> DataFrame:
+    """(q, rep): what may reach a query's floor, a number that twice a score is compared to."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rep, middle, width in told.value.of(batches):
+            i, j = np.nonzero(middle + width >= floors.value[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(rep[j])], ["q", "rep"])
+
+    return approx.mapInArrow(scan, "q int, rep long")
+
+
 def candidates(approx: DataFrame, queries: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[DataFrame, Broadcast]:
-    """(q, rep, least, most): vectors that may be among the k best of the q-th query, with bounds of twice their score.
+    """(q, rep, least, most): vectors that may be among the k best of the q-th query by their bounds alone, with bounds of twice their score.
 
     A task scans its approximations against all queries of the block and keeps what
     may be among the k best of those that it has seen.
     """
-    dims = len(low)
-    # bounds of twice the score are whole numbers: middles (low + high) and widths (high - low)
-    middle, width = low + high, high - low
-    largest = sum(int(np.abs(middle[i]).max() + width[i].max()) * int(np.abs(queries[:, i].astype(object)).max(initial=0)) for i in range(dims))
-    kind = np.float32 if largest < 1 << 24 else np.float64
-    # where products don't fit into a mantissa, bounds are widened by more than rounding can take
-    slack = 0.0 if largest < 1 << 53 else float(largest) * 2.0**-50 * (dims + 1)
-    sent = queries.shape, [np.ascontiguousarray(m, np.float64).astype(kind) for m in (queries.T, np.abs(queries.T.astype(np.float64)), middle.astype(np.float64), width.astype(np.float64))]
-    told = approx.sparkSession.sparkContext.broadcast(sent)
+    told = approx.sparkSession.sparkContext.broadcast(Bounds(queries, low, high))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (n, _), (q, size, middles, widths) = told.value
-        best = np.full((n, k), -np.inf, kind)  # the k best lower bounds so far, in no order
+        best = np.full((told.value.queries, k), -np.inf, told.value.kind)  # the k best lower bounds so far, in no order
         kept: list[tuple[np.ndarray, ...]] = []
         held = 0
-        for batch in batches:
-            for first in range(0, batch.num_rows, step := max(1, min(1024, UNPACKED // max(1, dims)))):
-                part = batch.slice(first, step)
-                cells = part.column(1)
-                rows = np.frombuffer(cells.buffers()[2] or b"", np.uint8).reshape(-1, (dims * BITS + 7) // 8)[cells.offset :][: len(cells)] if dims else np.zeros((len(cells), 0), np.uint8)
-                codes = unpacked(rows, dims)
-                at = np.arange(dims)
-                mid, wide = middles[at, codes] @ q, widths[at, codes] @ size
-                lower, upper = (mid - wide - slack).T, (mid + wide + slack).T
-                best = -np.partition(-np.concatenate([best, lower], axis=1), k - 1, axis=1)[:, :k]
-                i, j = np.nonzero(upper >= best.min(axis=1)[:, None])
-                kept.append((i.astype(np.int32), part.column(0).to_numpy()[j], lower[i, j].astype(np.float64), upper[i, j].astype(np.float64)))
-                held += len(i)
-                if held > 4_000_000:  # those that later rows have overtaken go
-                    kept = [_still(kept, best)]
-                    held = len(kept[0][0])
+        for rep, middle, width in told.value.of(batches):
+            lower, upper = middle - width, middle + width
+            best = -np.partition(-np.concatenate([best, lower], axis=1), k - 1, axis=1)[:, :k]
+            i, j = np.nonzero(upper >= best.min(axis=1)[:, None])
+            kept.append((i.astype(np.int32), rep[j], lower[i, j].astype(np.float64), upper[i, j].astype(np.float64)))
+            held += len(i)
+            if held > 4_000_000:  # those that later rows have overtaken go
+                kept = [_still(kept, best)]
+                held = len(kept[0][0])
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _still(kept, best)], ["q", "rep", "least", "most"])
 
@@ -159,32 +200,25 @@ def scored(pairs: DataFrame, exact: DataFrame, queries: np.ndarray) -> tuple[Dat
 
 def best_of_block(approx: DataFrame, exact: DataFrame, queries: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[DataFrame, list[DataFrame]]:
     """(q, rep, score): the k best distinct vectors of each query of a block, ties to the smaller rep; the tables to discard later."""
-    by_bound = Window.partitionBy("q").orderBy(F.desc("least"))
-    found, scan = candidates(approx, queries, low, high, k)
-    found = stored(found, "bounds")
-    certain = found.withColumn("_n", F.row_number().over(by_bound)).where(F.col("_n") == k).select("q", F.col("least").alias("_least"))
-    left = found.join(certain, "q", "left").where("_least is null or most >= _least")
-    in_order = Window.partitionBy("q").orderBy(F.desc("most"), "rep")
-    left = stored(left.select("q", "rep", "most", F.row_number().over(in_order).alias("place")), "in-order")
-    discard(found)
-    scan.destroy()
-    until, rounds = FIRST * k, []
-    pairs = left.where(F.col("place") <= until)
-    while True:
-        read, sent = scored(pairs.select("q", "rep"), exact, queries)
-        rounds.append(stored(read, "scores"))
-        sent.destroy()
-        done = rounds[0]
-        for r in rounds[1:]:
-            done = done.unionByName(r)
-        kth = done.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("_n") == k).select("q", F.col("score").alias("_kth"))
-        # bounds are of twice the score; one that equals the k-th score may still tie with it
-        rest = left.where(F.col("place") > until).join(kth, "q", "left").where("_kth is null or most >= 2.0D * _kth")
-        if rest.isEmpty():
-            break
-        pairs, until = rest.where(F.col("place") <= MORE * until), MORE * until
+    context = approx.sparkSession.sparkContext
+    told = context.broadcast(Bounds(queries, low, high))
+    by_middle = Window.partitionBy("q").orderBy(F.desc("middle"), "rep")
+    first = promising(approx, told, k).withColumn("_n", F.row_number().over(by_middle)).where(F.col("_n") <= FIRST * k)
+    read, sent = scored(first.select("q", "rep"), exact, queries)
+    kth = read.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("_n") == k)
+    floor = np.full(len(queries), -np.inf)
+    for r in kth.select("q", "score").collect():  # a row a query of the block
+        # a double below twice a score that it can't hold; what only ties with the k-th score stays
+        floor[r.q] = np.nextafter(2.0 * r.score, -np.inf)
+    floors = context.broadcast(floor)
+    pairs = stored(reaching(approx, told, floors), "reaching")
+    read, again = scored(pairs, exact, queries)
+    done = stored(read, "scores")
+    for t in (told, floors, sent, again):
+        t.destroy()
+    discard(pairs)
     ranked = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "rep"))
-    return done.withColumn("_n", ranked).where(F.col("_n") <= k).drop("_n"), [left, *rounds]
+    return done.withColumn("_n", ranked).where(F.col("_n") <= k).drop("_n"), [done]
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "v") -> DataFrame:
@@ -201,7 +235,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "v
 
     Equal vectors are one with its k + 1 smallest ids, so copies are scanned and read
     once; equal queries are one too. Queries are taken in blocks of QUERIES; for each
-    block one scan of the approximations and a few rounds of exact reads.
+    block two scans of the approximations, each followed by exact reads.
     """
     spark = vectors.sparkSession
     fine = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v")).where("id is not null and v is not null and not exists(v, x -> x is null)").groupBy("id").agg(F.min("v").alias("v"))
