@@ -1,5 +1,8 @@
 """Fixes are dealt into more parts where there are more tracks, and what is made of all of them is made once."""
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from waymark.operators import places
 from waymark.plans import catalog, history
 from waymark.sources import columnar, shared
@@ -39,6 +42,14 @@ def test_devices_are_walked_in_one_stream_and_whole(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_device_is_walked_whole_though_its_pins_and_ends_come_dealt_alike(spark):
+    ends = spark.createDataFrame([(d, t, 0, True, 38.0, -9.0) for d in range(20) for t in range(3)], "device_id long, track_id long, started_at long, is_start boolean, lat double, lon double")
+    ends = ends.withColumn("started_at", F.row_number().over(Window.partitionBy("device_id").orderBy("track_id")).cast("long"))  # small parts, which Spark merges
+    pins = spark.createDataFrame([(d, 0, 38.0, -9.0, 150.0) for d in range(20)], "device_id long, seed_index int, lat double, lon double, radius_m double")
+    got = places.greedy_clusters(ends, shared.dealt(pins, "device_id")).collect()
+    assert len(got) == 60 and {r.seed for r in got} == {0}
+
+
 def test_a_track_and_its_lines_are_packed_where_its_fixes_are(spark):
     plan = columnar.packed(catalog.History(spark, SF).points)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
