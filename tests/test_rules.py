@@ -124,6 +124,12 @@ def test_short_arcs_bend_where_asked(spark):
     assert size() == [2, 2] and size(straight=0.0) == [3, 2]
 
 
+def test_an_arc_works_out_each_value_once(spark):
+    df = spark.range(1).select(geo.arc(F.col("id") * 1.0, F.lit(2.0), F.col("id") * 3.0, F.lit(40.0)).alias("path"))
+    plan = df._jdf.queryExecution().analyzed().toString().lower()
+    assert [plan.count(f"{f}(") for f in ("acos", "atan2", "sqrt", "ceil")] == [1, 2, 1, 1], plan
+
+
 def test_city_of_nothing(spark):
     atlas = spark.createDataFrame([], cities.ATLAS)
     p = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0)], "id long, lat double, lon double")
