@@ -1,10 +1,13 @@
 """Fixes are dealt into more parts where there are more tracks, and what is made of all of them is made once."""
 
+import re
+
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.operators import places
-from waymark.plans import catalog, history
+from waymark.operators import places, tracks
+from waymark.plans import catalog, edits, history  # noqa: F401  edits registers its queries
 from waymark.sources import columnar, shared
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +57,21 @@ def test_a_track_and_its_lines_are_packed_where_its_fixes_are(spark):
     plan = columnar.packed(catalog.History(spark, SF).points)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
     assert plan.count("Exchange hashpartitioning(device_id#") == 2, plan  # by device for the events before, then by track
+
+
+@pytest.mark.parametrize("name", ["finished_fixes", "jump_restores"])
+def test_verdicts_are_told_where_the_fixes_are(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    # by device for the events before, then by track; nothing is joined back to fixes by their numbers
+    assert not re.findall(r"(?:Exchange hashpartitioning\(|SortMergeJoin \[)[^\])\n]*seq#", plan), plan
+
+
+def test_a_pass_over_fixes_gives_their_statistics(spark):
+    rows = [(1, 1, 0, 0, 38.0, -9.0, True), (1, 1, 1, 10, 38.0, -9.0, False), (1, 1, 2, 20, 39.0, -9.0, True), (1, 1, 3, 30, None, None, False), (1, 1, 4, 40, 38.001, -9.0, False), (1, 1, 5, 50, 38.002, -9.0, False), (1, 2, 0, 0, 38.0, -9.0, True)]
+    s = tracks.stats(spark.createDataFrame(rows, "device_id long, track_id long, seq int, ts_ms long, lat double, lon double, ignored boolean"))
+    got = {r.track_id: r for r in s.collect()}
+    assert (got[1].good_count, got[1].ignored_count, got[1].start_lat, got[1].end_lat, got[1].first_ms, got[1].last_ms) == (4, 2, 38.0, 38.002, 10, 50)
+    assert got[1].distance_m == pytest.approx(111.195, abs=0.01)  # none over a fix without a place
+    assert (got[2].good_count, got[2].ignored_count, got[2].distance_m, got[2].extent_m, got[2].start_lat, got[2].first_ms) == (0, 1, 0.0, 0.0, None, None)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
