@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.operators import places, tracks
+from waymark.operators import ledger, places, tracks
 from waymark.plans import catalog, edits, history  # noqa: F401  edits registers its queries
+from waymark.plans import ledger as plan_ledger
 from waymark.sources import columnar, shared
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +54,22 @@ def test_a_device_is_walked_whole_though_its_pins_and_ends_come_dealt_alike(spar
     assert len(got) == 60 and {r.seed for r in got} == {0}
 
 
+def test_endpoints_that_are_walked_are_not_joined_back(spark):
+    h = catalog.History(spark, SF)
+    ends = h.ends.select("device_id", "track_id", *ledger.ENDS)
+    members = ledger.derive(ends, ledger.seeds(h.pins, "seed_index")).members
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Join", plan)) == 1 and "started_at" in plan, plan  # with the places' names
+
+
+def test_a_reconciliation_of_clusters_writes_them_and_ends_alone(spark, monkeypatch):
+    written = []
+    for module in (history, plan_ledger):
+        monkeypatch.setattr(module, "kept", lambda df, what, *path: written.append(what) or shared.kept(df, what, *path))
+    catalog.QUERIES["reconciled_clusters"](spark, SF)
+    assert sorted(written) == ["clusters", "ends"]
+
+
 def test_a_track_and_its_lines_are_packed_where_its_fixes_are(spark):
     plan = columnar.packed(catalog.History(spark, SF).points)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan

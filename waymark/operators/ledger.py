@@ -68,23 +68,26 @@ def named(founder: Column) -> Column:
     return F.concat(F.lit("t"), founder["track_id"], F.when(founder["is_end"] == 1, "e").otherwise("s"), again)
 
 
-def claimed(ends: DataFrame, clusters: DataFrame, rule: Stays, one: Callable) -> DataFrame:
+def claimed(ends: DataFrame, clusters: DataFrame, rule: Stays, one: Callable, founded: bool = True) -> DataFrame:
     """Endpoints of tracks with the cluster that each joins or founds: MEMBERS, founder and anchor, the last two null where it was there.
 
     Clusters are tried in their order: places first, then the others as they were founded.
+    Where none was founded yet (founded is false), no founder's name is looked for.
     """
     n = F.row_number().over(Window.partitionBy("device_id").orderBy(F.col("seed").asc_nulls_last(), "founder")) - 1
     held = clusters.withColumn("seed_index", n)
-    e = endpoints(ends)
-    picks = places.greedy_clusters(e, held.select("device_id", "seed_index", F.col("anchor_lat").alias("lat"), F.col("anchor_lon").alias("lon"), "radius_m"), rule, one)
-    e = e.join(picks, [*TRACK, "is_start"])
+    pins = held.select("device_id", "seed_index", F.col("anchor_lat").alias("lat"), F.col("anchor_lon").alias("lon"), "radius_m")
+    e = places.greedy_clusters(endpoints(ends), pins, rule, one, along=("started_at", "at_ms", "lat", "lon")).where("device_id is not null and track_id is not null")
     known = held.select("device_id", F.col("seed_index").cast("long").alias("seed"), F.col("cluster_id").alias("_known"))
     e = e.join(known, ["device_id", "seed"], "left")
     first = F.min(F.struct(F.col("started_at").alias("at"), "track_id", (~F.col("is_start")).cast("int").alias("is_end"))).over(Window.partitionBy("device_id", "cluster"))
     e = e.withColumn("_first", F.when(F.col("_known").isNull(), first))
-    # an endpoint that founded a cluster before founds another one under another name
-    were = clusters.where("founder is not null").groupBy("device_id", F.col("founder.track_id").alias("_t"), F.col("founder.is_end").alias("_e")).agg((F.max("founder.again") + 1).alias("_again"))
-    e = e.withColumns({"_t": F.col("_first.track_id"), "_e": F.col("_first.is_end")}).join(were, ["device_id", "_t", "_e"], "left")
+    if founded:
+        # an endpoint that founded a cluster before founds another one under another name
+        were = clusters.where("founder is not null").groupBy("device_id", F.col("founder.track_id").alias("_t"), F.col("founder.is_end").alias("_e")).agg((F.max("founder.again") + 1).alias("_again"))
+        e = e.withColumns({"_t": F.col("_first.track_id"), "_e": F.col("_first.is_end")}).join(were, ["device_id", "_t", "_e"], "left")
+    else:
+        e = e.withColumn("_again", F.lit(None).cast("int"))
     founder = F.when(F.col("_first").isNotNull(), F.struct("_first.at", "_first.track_id", "_first.is_end", F.coalesce("_again", F.lit(0)).cast("int").alias("again")))
     e = e.withColumn("founder", founder.cast(_FOUNDER))
     cluster = F.coalesce("_known", named(F.col("founder"))).alias("cluster_id")
@@ -120,7 +123,7 @@ def between(ends: DataFrame, members: DataFrame, clusters: DataFrame, rule: Stay
 
 def derive(ends: DataFrame, seeds: DataFrame, rule: Stays = Stays(), distance: Distance = haversine_m, one: Callable = one_ellipsoid_m) -> Derivation:
     """The derivation of whole histories; ends: device_id, track_id and ENDS, one row a kept track."""
-    arriving = claimed(ends, seeds, rule, one)
+    arriving = claimed(ends, seeds, rule, one, founded=False)
     members = arriving.select(*[c.split()[0] for c in MEMBERS.split(", ")])
     clusters = shifted(seeds, arriving, members.limit(0), rule)
     return Derivation(clusters, members, between(ends, members, clusters, rule, distance))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
+from dataclasses import fields, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,8 +80,10 @@ SQL["repaired_clusters"] = recursive(
 @query()
 def reconciled_clusters(h: History) -> DataFrame:
     """Clusters after places were edited: one reaches less far, one is gone, one is new; ids last where places and founders do."""
-    e = kept(ends(h), "ends")
-    stored = held(ledger.derive(e, ledger.seeds(h.pins, "seed_index"), **SPHERE))
+    e = h.ends.select(*KEY, *ledger.ENDS)
+    stored = ledger.derive(e, ledger.seeds(h.pins, "seed_index"), **SPHERE)
+    # of what is stored only the clusters are read here
+    stored = replace(stored, clusters=kept(stored.clusters, "clusters"))
     d = ledger.reconcile(stored, e, ledger.seeds(edited_pins(h).where("label != 'Gym'")), **SPHERE)
     return d.clusters.select("device_id", "cluster_id", "members", r("sum_lat", 7), r("sum_lon", 7))
 
